@@ -14,12 +14,13 @@ A document's set holds the 64-bit hashes of its distinct ``k``-word shingles.
 3. *Tiles.*  Sets are ordered by document frequency, rarest first.  A pair at the
    threshold must share an element of both overlap prefixes, and their sizes fall in the
    same or adjacent size bands, so each survivor enters the tiles (element, band) of its
-   prefix.  Tiles whose members are all one component already are dropped by aggregation;
-   large tiles split into blocks that meet pairwise.  In a tile, bitmap signatures
-   whose bit counts bound the overlap from above reject most pairs.
+   prefix.  Each tile's members are first checked against its hub, the member whose
+   elements are the most frequent.  Tiles whose members are then all one component are
+   dropped by aggregation; large tiles split into blocks that meet pairwise.  In a tile, bitmap
+   signatures whose bit counts bound the overlap from above reject most pairs.
 4. *Exact.*  Sorted arrays of the remaining pairs are intersected.
 
-All steps but 2 are lossless filters, so every link between different sets is either found
+All steps but stars and hubs are lossless filters, so every link between different sets is either found
 or joins two documents already connected through verified links.
 
 Defined results: null text, empty text or no words give an empty set, linked with nothing;
@@ -292,8 +293,8 @@ def _frequency(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("chunk").combine_chunks().cast(pa.int32()), pa.array(out_t, pa.binary()), pa.array(out_c, pa.binary())], schema=schema)
 
 
-_TILE = pa.schema([("tok", pa.int64()), ("band", pa.int32()), ("home", pa.bool_()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64())])
-_TILE_SQL = "tok long, band int, home boolean, doc_id long, comp long, n long"
+_TILE = pa.schema([("tok", pa.int64()), ("band", pa.int32()), ("home", pa.bool_()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("weight", pa.int64())])
+_TILE_SQL = "tok long, band int, home boolean, doc_id long, comp long, n long, weight long"
 
 
 def _prefixes(threshold: Fraction):
@@ -308,7 +309,7 @@ def _prefixes(threshold: Fraction):
         tok, df = tok[order], df[order]
         if not len(tok):
             return _TILE.empty_table()
-        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
         for doc, comp, n, raw in zip(members.column("doc_id").to_pylist(), members.column("comp").to_pylist(), members.column("n").to_pylist(), members.column("tokens"), strict=True):
             mine = np.frombuffer(raw.as_buffer(), dtype=U64)
             at = np.searchsorted(tok, mine)
@@ -320,9 +321,9 @@ def _prefixes(threshold: Fraction):
                 continue
             pick = mine[np.lexsort((mine, freq))][: len(mine) - least + 1]
             band = int(np.searchsorted(edges, n, side="right")) - 1
-            m = len(pick)
+            m, weight = len(pick), int(1000 * freq.sum(dtype=np.int64) / n)
             for to, home in ((band, True), (band + 1, False)):
-                for c, v in zip(cols, (pick.view(np.int64), np.full(m, to), np.full(m, home), np.full(m, doc), np.full(m, comp), np.full(m, n)), strict=True):
+                for c, v in zip(cols, (pick.view(np.int64), np.full(m, to), np.full(m, home), np.full(m, doc), np.full(m, comp), np.full(m, n), np.full(m, weight)), strict=True):
                     c.append(v)
         if not cols[0]:
             return _TILE.empty_table()
@@ -394,7 +395,7 @@ def _signatures(threshold: Fraction):
             for doc, t in zip(batch.column(0).to_pylist(), toks, strict=True):
                 band = int(np.searchsorted(edges, len(t), side="right")) - 1
                 for to in (band, band + 1):
-                    bits = min(1 << 14, max(256, power_of_two(2 * edges[to])))
+                    bits = min(1 << 16, max(512, power_of_two(12 * edges[to])))
                     out["doc_id"].append(doc)
                     out["band"].append(to)
                     out["sig"].append(signature(t, bits).tobytes())
@@ -436,12 +437,22 @@ def ngram_join(docs: DataFrame, threshold: float = 0.75, k: int = 5, id_col: str
     back = sent.groupBy("bucket").applyInArrow(_frequency, "chunk int, tok binary, cnt binary")
     tiles = materialize(named.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_prefixes(t), _TILE_SQL), "tiles")
 
-    mixed = tiles.groupBy("tok", "band").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("home").alias("h")).where("c0 <> c1 and h")
+    # the member whose elements are the most frequent stands closest to what the others copy
+    crowd = ["tok", "band"]
+    mixed = lambda d: d.groupBy(*crowd).agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("home").alias("h"), F.max(F.struct("weight", (-F.col("doc_id")).alias("m"), "n", "comp")).alias("hub")).where("c0 <> c1 and h")
+    near = tiles.join(mixed(tiles).select(*crowd, F.col("hub.n").alias("hn"), F.col("hub.comp").alias("hc"), (-F.col("hub.m")).alias("b")), crowd)
+    near = near.where(f"comp <> hc and {t.denominator} * least(n, hn) >= {t.numerator} * greatest(n, hn)").select(F.col("doc_id").alias("a"), "b").distinct()
+    hub_edges = materialize(verified(near, arrays, t), "hubs")
+    label = connected_components(hub_edges.union(label.select("node", "component")))
+    tiles = tiles.drop("comp").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+    tiles = materialize(tiles, "tiles")
+    named = named.drop("comp").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
+    mixed = mixed(tiles)
     parts = F.ceil(F.col("size") / BLOCK).cast("int")
     placed = tiles.join(mixed.select("tok", "band", parts.alias("parts")), ["tok", "band"])
     placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.withColumn("x", F.least("part", "o")).withColumn("y", F.greatest("part", "o")).drop("o", "parts")
+    placed = placed.withColumn("x", F.least("part", "o")).withColumn("y", F.greatest("part", "o")).drop("o", "parts", "weight")
     sigs = arrays.select("doc_id", "tokens").mapInArrow(_signatures(t), "doc_id long, band int, sig binary")
     placed = placed.join(sigs, ["doc_id", "band"])
     spread = power_of_two(max(TILE_BUCKETS, chunks * 4))
