@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .language_id import language_id
 from .lm_scoring import lm_scoring
 from .ngram_join import ngram_join
+from .packing import packing
 from .quality_classifier import fit_quality, score_quality
 from .substring_dedup import substring_dedup
+from .warc import read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,13 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return packing(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit_quality(docs, table(spark, sf_dir, "labels"), remainder(3) != 1)
@@ -38,6 +47,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_warc(write_warc(table(spark, sf_dir, "pages")))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -48,7 +61,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op4_quality_classifier, op5_language_id, op8_substring_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_ngram_join, op3_best_fit_packing, op4_quality_classifier, op5_language_id, op6_warc, op8_substring_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
