@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontamination import contaminated
 from .language_id import language_id
+from .line_dedup import line_dedup
 from .lm_scoring import lm_scoring
 from .ngram_join import ngram_join
 from .packing import packing
 from .quality_classifier import fit_quality, score_quality
+from .quality_rules import quality_rules
 from .substring_dedup import substring_dedup
 from .warc import read_warc, write_warc
 
@@ -29,6 +32,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("cleaned", "left_share")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,17 +58,30 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_warc(write_warc(table(spark, sf_dir, "pages")))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op3_best_fit_packing, op4_quality_classifier, op5_language_id, op6_warc, op8_substring_dedup, op10_lm_scoring)}
+    ops = (
+        op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_quality_classifier, op5_language_id,
+        op6_warc, op7_decontamination, op8_substring_dedup, op9_line_dedup, op10_lm_scoring,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
