@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .native import lower_ascii, window_hashes, words
-from .textkit import required
+from .textkit import required, without_ids
 
 BROADCAST_LIMIT = 500_000
 RADIUS = 24
 BITS = 64
+_LAST = (1 << 63) - 1
 
 
 def _shingled(d: DataFrame, k: int) -> DataFrame:
@@ -67,16 +68,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75,
     long_items = items.where(f"n >= {k}").select("item_id", "n", "h", F.posexplode_outer("h").alias("off", "s"))
     long_items = long_items.select("item_id", "n", "off", "s", F.when(F.col("off") > 0, F.get(F.col("h"), F.col("off") - 1)).alias("before")).where("s is not null")
     # outer generators: else a size check on the array would be pushed below and compute it twice
-    d = _shingled(required(docs, id_col, text_col).toDF("doc_id", "text"), k)
+    d = required(docs, id_col, text_col).toDF("doc_id", "text")
+    d = _shingled(d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text"), k)
     d = d.select("doc_id", F.size("w").alias("len"), "w", "h")
     # a bounded side: counted before it is sent
     small = long_items.count() <= broadcast_limit
-    side = F.broadcast(long_items) if small else long_items
-    hits = d.select("doc_id", "len", "h", F.posexplode_outer("h").alias("pos", "s")).join(side, "s")
-    run_start = F.col("before").isNull() | (F.col("pos") == 0) | (F.get(F.col("h"), F.col("pos") - 1) != F.col("before"))
+    run_start = F.col("before").isNull() | (F.col("pos") == 0) | (F.col("prev") != F.col("before"))
+    if small:
+        # generator, join and filter are one compiled loop: the array is copied for run starts alone
+        hits = d.select("doc_id", "len", "h", F.posexplode_outer("h").alias("pos", "s")).join(F.broadcast(long_items), "s")
+        hits = hits.withColumn("prev", F.get(F.col("h"), F.col("pos") - 1)).where(run_start)
+    else:
+        # positions travel without the array and fetch it again by row
+        keyed = d.withColumn("th", F.xxhash64("w"))
+        steps = F.transform("h", lambda x, i: F.struct(i.alias("pos"), x.alias("s"), F.get(F.col("h"), i - 1).alias("prev")))
+        hits = keyed.select("doc_id", "th", F.explode_outer(steps).alias("e")).select("doc_id", "th", "e.*").join(long_items, "s").where(run_start)
+        hits = hits.join(keyed.select("doc_id", "th", "len", "h").dropDuplicates(["doc_id", "th"]), ["doc_id", "th"])
     start = F.greatest(F.col("pos") - F.col("off"), F.lit(0))
     stop = F.least(F.col("pos") - F.col("off") + F.col("n"), F.col("len"))
-    wins = hits.where(run_start).select("doc_id", "item_id", start.alias("start_word"), (stop - start).cast("long").alias("n_words"), F.slice("h", start + 1, stop - start - (k - 1)).alias("win"))
+    wins = hits.select("doc_id", "item_id", start.alias("start_word"), (stop - start).cast("long").alias("n_words"), F.slice("h", start + 1, stop - start - (k - 1)).alias("win"))
 
     tiny = items.where(f"n < {k}").select("item_id", "n", F.xxhash64("w").alias("s"))
     sizes = [r.n for r in tiny.select("n").distinct().collect()]  # at most k - 1 values
@@ -103,10 +113,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75,
     pairs = pairs.groupBy(*key).agg(F.sum("c").alias("own"), F.sum(F.least("c", F.coalesce("ic", F.lit(0)))).alias("both"))
     scored = pairs.join(total, "item_id").withColumn("similarity", F.col("both") / (F.col("own") + F.col("total") - F.col("both")))
     best = scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("m"), "n_words")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.m")).cast("long").alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))
+    return best.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "item_id", (-F.col("b.m")).cast("long").alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a benchmark item; rows with a null id are judged together."""
-    found = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs[options.get("id_col", "doc_id")].eqNullSafe(F.col("_hit")), "left_anti")
+    found = contaminated(docs, benchmark, **options).select("doc_id").distinct()
+    return without_ids(docs, options.get("id_col", "doc_id"), found)

@@ -78,7 +78,10 @@ def _cut(d: DataFrame, min_sites: int) -> DataFrame:
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text; all rows and columns stay."""
-    d = docs.withColumns({"rid": _keys(F.col(id_col), F.col(text_col))[0], "th": F.xxhash64(text_col)})
-    d = d.withColumn("site", F.coalesce(F.col(site_col).cast("string"), F.lit("\0"))).withColumn("text", F.col(text_col))
+    names = docs.columns
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    by = {n: F.col(f"_c{names.index(n)}") for n in (id_col, text_col, site_col)}
+    site = F.coalesce(by[site_col].cast("string"), F.lit("\0"))
+    d = rows.select("*", *_keys(by[id_col], by[text_col]), site.alias("site"), by[text_col].alias("text"))
     out = _cut(d, min_sites)
-    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return out.select(*[F.col("kept" if i == names.index(text_col) else f"_c{i}") for i in range(len(names))]).toDF(*names)

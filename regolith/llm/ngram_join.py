@@ -24,9 +24,9 @@ All steps but stars and hubs are lossless filters, so every link between differe
 or joins two documents already connected through verified links.
 
 Defined results: null text, empty text or no words give an empty set, linked with nothing;
-fewer than ``k`` words give one shingle; repeated ids are treated as separate rows of the
-input but one node of the result; an empty table gives an empty result; other columns are
-ignored.
+fewer than ``k`` words give one shingle; of several rows with one id that with the largest
+set counts (then the larger fingerprint); rows without an id are left out; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ from .textkit import (
     power_of_two,
     required,
     windows,
+    without_ids,
 )
 
 BLOCK = 256
@@ -196,11 +197,12 @@ def survey(docs: DataFrame, threshold: Fraction, k: int) -> DataFrame:
     buckets = power_of_two(max(32, 2 * estimated_bytes(docs) // (8 << 20)))
     blobs = docs.mapInArrow(_survey(threshold, k, buckets), "bucket int, ids binary, body binary, solo binary")
     rows = blobs.groupBy("bucket").applyInArrow(_count, _COUNTED_SQL)
-    return rows.groupBy("doc_id").agg(F.max("n").alias("n"), F.max("fa").alias("fa"), F.max("fb").alias("fb"), F.sum("shared").alias("shared"))
+    figures = F.when(F.col("n").isNotNull(), F.struct("n", "fa", "fb"))
+    return rows.groupBy("doc_id").agg(F.max(figures).alias("f"), F.sum("shared").alias("shared")).select("doc_id", "f.*", "shared")
 
 
 def _arrays(threshold: Fraction, k: int):
-    """Texts to (doc_id, n, tokens, four min-hashes)."""
+    """Texts to (doc_id, n, set fingerprint, tokens, four min-hashes)."""
     seeds = mix(np.arange(101, 105, dtype=U64)) | U64(1)
 
     def run(batches):
@@ -210,10 +212,12 @@ def _arrays(threshold: Fraction, k: int):
             for a, b in pieces(off, 8 << 20):
                 words = Words(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 sets = list(shingle_sets(words, words.hashes(lower=True), k))
+                fa = np.array([s.sum(dtype=U64) for s in sets], dtype=U64).view(np.int64)
+                fb = np.array([np.bitwise_xor.reduce(mix(s * U64(0x9FB21C651E98DF25))) for s in sets], dtype=U64).view(np.int64)
                 low = [[int(mix(s * m).min().view(np.int64)) for m in seeds] if len(s) else [0] * 4 for s in sets]
                 yield pa.record_batch(
-                    [ids.slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(low, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "tokens", "low"],
+                    [ids.slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fa), pa.array(fb), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(low, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "fa", "fb", "tokens", "low"],
                 )
 
     return run
@@ -418,9 +422,9 @@ def ngram_join(docs: DataFrame, threshold: float = 0.75, k: int = 5, id_col: str
     need = f"greatest(1, cast(floor(cast(ceil(n * {t.numerator} / {t.denominator}) as long) / 10) as long))"
     alive = classes.where(f"n > 0 and shared >= {need}").join(firsts, ["n", "fa", "fb"], "left_semi")
     reps = firsts.where("n > 0").select(F.col("class_id").alias("doc_id"))
-    alive = alive.select("doc_id").join(reps, "doc_id", "left_semi").distinct()
-    arrays = docs.join(alive, "doc_id", "left_semi").mapInArrow(_arrays(t, k), "doc_id long, n long, tokens binary, low array<long>")
-    arrays = materialize(arrays.dropDuplicates(["doc_id"]), "arrays")
+    alive = alive.join(reps, "doc_id", "left_semi").select("doc_id", "n", "fa", "fb")
+    arrays = docs.join(alive.select("doc_id"), "doc_id", "left_semi").mapInArrow(_arrays(t, k), "doc_id long, n long, fa long, fb long, tokens binary, low array<long>")
+    arrays = materialize(arrays.join(alive, ["doc_id", "n", "fa", "fb"], "left_semi").dropDuplicates(["doc_id"]), "arrays")
 
     low = arrays.select("doc_id", F.posexplode("low").alias("j", "v"))
     pivot = low.groupBy("j", "v").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -469,5 +473,5 @@ def ngram_join(docs: DataFrame, threshold: float = 0.75, k: int = 5, id_col: str
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its near-copy component."""
     groups = ngram_join(docs, **options)
-    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs[options.get("id_col", "doc_id")] == F.col("_lost"), "left_anti")
+    lost = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    return without_ids(docs, options.get("id_col", "doc_id"), lost)

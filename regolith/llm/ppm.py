@@ -95,7 +95,7 @@ class Model:
             total = np.bincount(inv, n, len(short)) if len(short) else np.zeros(0)
             ctx = short >> np.uint32(8)
             heads = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(ctx) else np.zeros(0, dtype=np.int64)
-            ends = np.append(heads[1:], len(ctx))
+            ends = np.append(heads[1:], len(ctx))[: len(heads)]
             syms = (short & np.uint32(0xFF)).astype(np.int64)
             self.kids.append({int(ctx[s]): (syms[s:e], total[s:e]) for s, e in zip(heads, ends, strict=True)})
         self.slow: dict[int, float] = {}

@@ -157,8 +157,7 @@ def _score(model: PULinear | None):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, trains: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> PULinear | None:
     """Fit on positives of ``labels`` and documents without a label, both where ``trains`` holds."""
-    rows = docs.where(trains)
-    rows = required(rows, id_col, text_col).toDF("doc_id", "text").where("doc_id is not null")
+    rows = required(docs, id_col, text_col).where(trains).toDF("doc_id", "text").where("doc_id is not null")
     marks = required(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = rows.select("doc_id").join(marks, "doc_id", "left")

@@ -15,6 +15,7 @@ from .ngram_join import ngram_join
 from .packing import packing
 from .quality_classifier import fit_quality, score_quality
 from .quality_rules import quality_rules
+from .sql import SQL
 from .substring_dedup import substring_dedup
 from .warc import read_warc, write_warc
 
@@ -85,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

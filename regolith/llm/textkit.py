@@ -155,11 +155,13 @@ def by_bucket(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate: file bytes for a scan, never a job."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no JVM plan (Connect): an estimate only steers partition counts
-        return 1 << 30
+    """Catalyst's size estimate: file bytes for a scan.  Where it has none (a plan over local
+    rows or an RDD states the largest number), the strings are measured by one aggregate."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 52:
+        return size
+    texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
+    return sum(x or 0 for x in df.agg(*texts).first()) if texts else 1 << 20
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -168,7 +170,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def chunk_count(df: DataFrame, mb: int = 8) -> int:
     """Chunks of about ``mb`` MB of text: a function of the input's size alone."""
-    return max(8, -(-2 * min(estimated_bytes(df), 1 << 60) // (mb << 20)))
+    return max(8, -(-2 * estimated_bytes(df) // (mb << 20)))
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
@@ -195,8 +197,14 @@ def required(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    if len(set(df.columns)) != len(df.columns):
-        seen: set[str] = set()
-        fresh = [c if not (c in seen or seen.add(c)) else f"_dup{i}_{c}" for i, c in enumerate(df.columns)]
-        df = df.toDF(*fresh)
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    # by position: other columns may differ from these in case alone
+    at = [df.columns.index(n) for n in names]
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]).select(*[F.col(f"_c{i}").alias(n) for i, n in zip(at, names, strict=True)])
+
+
+def without_ids(df: DataFrame, id_col: str, lost: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is not among ``lost`` (one column); null equals null."""
+    at, names = df.columns.index(id_col), df.columns
+    rows = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    lost = lost.toDF("_lost")
+    return rows.join(lost, rows[f"_c{at}"].eqNullSafe(lost["_lost"]), "left_anti").toDF(*names)
