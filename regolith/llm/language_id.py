@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ppm import PIECE, Model, tally
-from .textkit import flat, pieces, required
+from .textkit import bound_batches, flat, pieces, required
 
 #: Strings kept per language, the most frequent first: the trie's memory limit.
 MAX_NODES = 1 << 18
@@ -68,6 +68,7 @@ def _predict(token: str, sent):
 
 def language_id(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_nodes: int = MAX_NODES) -> DataFrame:
     """(doc_id, lang_pred, score) for every row; ``trains`` picks the rows to learn from."""
+    bound_batches(docs.sparkSession)
     docs = required(docs, id_col, text_col, lang_col)
     known = docs.where(trains & F.col(f"`{lang_col}`").isNotNull())
     known = required(known, lang_col, text_col).toDF("label", "text").where("text is not null").select(F.col("label").cast("string"), "text")

@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textkit import (
+    bound_batches,
     U64,
     Words,
     by_bucket,
@@ -100,7 +101,7 @@ def _survey(threshold: Fraction, k: int, buckets: int):
         for batch in batches:
             data, off = flat(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in pieces(off, 8 << 20):
+            for a, b in pieces(off, 4 << 20):
                 words = Words(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 h = words.hashes(lower=True)
                 n = np.zeros(b - a, dtype=np.int64)
@@ -209,7 +210,7 @@ def _arrays(threshold: Fraction, k: int):
         for batch in batches:
             data, off = flat(batch.column(1))
             ids = batch.column(0)
-            for a, b in pieces(off, 8 << 20):
+            for a, b in pieces(off, 4 << 20):
                 words = Words(data[off[a] : off[b]], off[a : b + 1] - off[a])
                 sets = list(shingle_sets(words, words.hashes(lower=True), k))
                 fa = np.array([s.sum(dtype=U64) for s in sets], dtype=U64).view(np.int64)
@@ -411,6 +412,7 @@ def _signatures(threshold: Fraction):
 def ngram_join(docs: DataFrame, threshold: float = 0.75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): set size, smallest id with the same set,
     and smallest id reachable over links of Jaccard ``>= threshold``."""
+    bound_batches(docs.sparkSession)
     t = Fraction(threshold).limit_denominator(1000)
     docs = required(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     docs = docs.where("doc_id is not null")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .textkit import materialize, required
+from .textkit import bound_batches, materialize, required
 
 LENGTH = 2048
 SLACK = 8
@@ -190,6 +190,7 @@ def packing(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) a piece, and its ``ids``
     as little-endian 32-bit numbers if asked for."""
+    bound_batches(docs.sparkSession)
     for path in (vocabulary, ranks):
         if not os.path.exists(path):
             raise FileNotFoundError(path)

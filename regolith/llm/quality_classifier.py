@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U64, Words, flat, mix, pieces, required
+from .textkit import U64, Words, bound_batches, flat, mix, pieces, required
 
 MAX_ROWS = 8000
 BINS = 12
@@ -157,6 +157,7 @@ def _score(model: PULinear | None):
 
 def fit_quality(docs: DataFrame, labels: DataFrame, trains: Column, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> PULinear | None:
     """Fit on positives of ``labels`` and documents without a label, both where ``trains`` holds."""
+    bound_batches(docs.sparkSession)
     rows = required(docs, id_col, text_col).where(trains).toDF("doc_id", "text").where("doc_id is not null")
     marks = required(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
     marks = marks.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -182,6 +183,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trains: Column, max_rows: in
 
 def score_quality(docs: DataFrame, model: PULinear | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for every row."""
+    bound_batches(docs.sparkSession)
     rows = required(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(_score(model), "doc_id long, score double")
 
@@ -200,4 +202,5 @@ def keep_quality(docs: DataFrame, model: PULinear | None, text_col: str = "text"
     """The rows of ``docs`` that the model accepts (score of at least 0.5), all columns as they are."""
     if model is None:
         return docs
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(_keep(model, docs.columns.index(text_col)), docs.schema)

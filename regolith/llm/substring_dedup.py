@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import U64, Words, by_bucket, chunk_count, flat, power_of_two, required, windows
+from .textkit import U64, Words, bound_batches, by_bucket, chunk_count, flat, power_of_two, required, windows
 
 _LAST = (1 << 63) - 1
 
@@ -239,6 +239,7 @@ def _remove(k: int):
 def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each row's text without the words that a ``k``-word
     window repeats from a document with a smaller id; kept words are joined by one space."""
+    bound_batches(docs.sparkSession)
     docs = required(docs, id_col, text_col).toDF("doc_id", "text")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chunks = chunk_count(docs)

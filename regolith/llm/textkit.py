@@ -173,6 +173,18 @@ def chunk_count(df: DataFrame, mb: int = 8) -> int:
     return max(8, -(-2 * estimated_bytes(df) // (mb << 20)))
 
 
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch to ``BATCH_ROWS`` rows, so that neither the JVM's
+    off-heap buffers nor a Python worker hold tens of MB of texts or arrays a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    have = int(spark.conf.get(key, "10000"))
+    if have <= 0 or have > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder that every executor can reach: below the session's checkpoint dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .textkit import materialize, required
+from .textkit import bound_batches, materialize, required
 
 _LAST = (1 << 63) - 1
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -160,6 +160,7 @@ def _write(frame_bytes: int, bundle_bytes: int, level: int):
 
 def write_warc(pages: DataFrame, least_bytes: int = 100, frame_bytes: int = 1 << 20, bundle_bytes: int = 16 << 20, level: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write the pages' bundles to the shared folder and return them as a table."""
+    bound_batches(pages.sparkSession)
     pages = required(pages, id_col, url_col, html_col).toDF("page_id", "url", "html")
     pages = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_LAST)).alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("digest", F.unhex(F.sha2(F.col("html").cast("binary"), 256)))
@@ -202,6 +203,7 @@ def read_warc(bundles: DataFrame) -> DataFrame:
 
     Responses are checked against their digest; a revisit takes its size from the response
     that it refers to and whose digest it states."""
+    bound_batches(bundles.sparkSession)
     rows = materialize(bundles.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"), "records")
     whole = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("n")).distinct()
     out = rows.join(whole, ["refers_to", "payload_digest"], "left")
