@@ -14,11 +14,13 @@ from ..functions import expr as X
 from ..functions import rules as R
 from ..operators import alerts as A
 from ..operators import citations as C
+from ..operators import enrich as E
 from ..operators import facets as T
 from ..operators import report90 as N
 from ..operators import rollups as U
 from ..operators import store as S
 from ..operators import trends as G
+from ..sources import parsers as P
 from . import oracle as O
 from .views import CITATIONS_AS_OF, SIGNALS_AS_OF, citations, signals, tables
 
@@ -402,3 +404,40 @@ on_citations("prj02_parse_dates", f"{O.CIT} select rec_no, date from raw where d
         ).alias("date"),
     )
 )
+
+
+# ---- sources, enrichment, queues ---------------------------------------------------------
+
+_ENR = O.CLUST + """, el2 as (select *, length(coalesce(enriched_text, '')) as ne, 1 as one from clus), elig as (select *, case when ne > 100 and priority = 'P1' then 1 when ne > 100 and priority = 'P2' then 2 when cluster_primary then 3
+  when priority in ('P1', 'P2') then 4 when source_type = 'warning_letter' then 5 else 6 end as tier from el2 where enrichment_status in ('success', 'cached') and ne > 100 and not (source_type = 'import_alert' and ne <= 500))"""
+
+
+def _no_answer(c: DataFrame) -> DataFrame:
+    return c.withColumn("ai_summary", F.lit(""))
+
+
+on_citations("flt19_ai_gate", f"{_ENR} select rec_no, substr(sha256(substr(enriched_text, 1, 100)), 1, 16) as enriched_text_hash from elig", "full")(lambda c: E.eligible(_no_answer(c)).select("rec_no", "enriched_text_hash"))
+on_citations("prj24_queue_tier", f"{_ENR} select rec_no, tier from elig", "full")(lambda c: E.eligible(_no_answer(c)).withColumn("tier", E.queue_tier()).select("rec_no", "tier"))
+on_citations("srt06_ai_queue", f"{_ENR} select rec_no, tier from elig order by tier, id limit 25", "full")(lambda c: E.queue(_no_answer(c)).select("rec_no", "tier"))
+_TIER = "case when source_type in ('drug_enforcement', 'device_enforcement', 'food_enforcement') then 2 when source_type in ('recall', 'safety_alert', 'compliance_action', 'inspection_finding') then 3 when source_type = 'import_alert' then 4 else 5 end + case when date > date '2000-06-01' then 10 else 0 end"
+on_citations("srt05_sample", f"{O.CIT} select rec_no, {_TIER} as tier from raw order by {_TIER}, date desc nulls last, id limit 60")(lambda c: E.sample(c, 60, "enrichable", "2000-06-01").select("rec_no", E.sample_tier("2000-06-01").alias("tier")))
+on_citations("prj23_sample_mixed", f"{O.CIT} select rec_no from raw order by ({_TIER}) // 3, date desc nulls last, id limit 60")(lambda c: E.sample(c, 60, "mixed", "2000-06-01").select("rec_no"))
+on_citations(
+    "udx02_stub_sentiment",
+    f"{O.CIT} select rec_no, case when regexp_matches(lower(summary), 'recall|contamination|death|warning') then 'negative' else 'neutral' end as sentiment, substr(summary, 1, 60) as ai_summary from raw where rec_no % 10 = 0",
+)(lambda c: E.sentiment_answers(E.ask(c.where("rec_no % 10 = 0"), "rec_no", "summary"), "rec_no").select("rec_no", "sentiment", "ai_summary"))
+on_citations("jon06_processed_wins", f"{O.CLUST} select raw.rec_no, coalesce(p.priority, raw.severity) as value from raw left join (select * from clus where rec_no % 4 = 0) p using (rec_no)", "full")(
+    lambda c: S.coalesce_update(c.select("rec_no", F.col("severity").alias("value")), c.where("rec_no % 4 = 0").select("rec_no", F.col("priority").alias("value")), "rec_no")
+)
+QUERIES["prj42_json_salvage"] = lambda spark, d: tables(spark, d, "events")["events"].select("event_id", E.salvage_json(F.concat(F.lit("Sure: "), "props", F.lit(" done")), "k long")["k"].alias("k"))
+SQL["prj42_json_salvage"] = "select event_id, cast(props::json->>'k' as bigint) as k from events"
+QUERIES["src05_page_links"] = lambda spark, d: P.html_links(tables(spark, d, "pages")["pages"]).groupBy("page_id").agg(F.count("*").alias("links"), F.min("href").alias("first"))
+SQL["src05_page_links"] = "with l as (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages) select page_id, count(*) as links, min(href) as first from l group by 1"
+QUERIES["udx05_page_title"] = lambda spark, d: tables(spark, d, "pages")["pages"].select("page_id", P.text_of(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("title"))
+SQL["udx05_page_title"] = "select page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) as title from pages"
+QUERIES["flt05_relevance"] = lambda spark, d: P.relevant(tables(spark, d, "part")["part"], ["blue", "almond", "steel"], "p_name", "p_type").select("p_partkey")
+SQL["flt05_relevance"] = "select p_partkey from part where regexp_matches(lower(p_name || ' ' || p_type), 'blue|almond|steel')"
+QUERIES["src17_notable_papers"] = lambda spark, d: P.notable_papers(tables(spark, d, "events")["events"].select("event_id", F.col("ts").alias("date"), (F.col("event_id") % 14).alias("citations")), F.lit("2024-01-25").cast("timestamp_ntz")).select("event_id")
+SQL["src17_notable_papers"] = "select event_id from events where ts >= timestamp '2024-01-25 00:00:00' or event_id % 14 >= 10 or event_id % 14 = 0"
+QUERIES["win07_running_heading"] = lambda spark, d: P.running_heading(tables(spark, d, "conversations")["conversations"].select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.when(F.col("role") == "user", F.md5("text")).alias("heading"))).select("doc", "pos", "section")
+SQL["win07_running_heading"] = "select conv_id as doc, turn as pos, last_value(case when role = 'user' then md5(text) end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) as section from conversations"
