@@ -16,7 +16,7 @@ select e.event_id as rec_no, substr({sha}(concat('ev::', cast(e.event_id as stri
   case e.event_id % 5 when 0 then 'tga' when 1 then 'fda' when 2 then 'artg' when 3 then 'pubmed' else 'adverse_events' end as authority,
   case when e.event_id % 53 = 0 then ' Unknown ' when e.event_id % 59 = 0 then '' when e.event_id % 7 = 0 then upper(p.p_name) else p.p_name end as ingredient_name,
   e.ts as scraped_at,
-  concat('https://example.test/', cast(e.event_id % 1700 as string)) as url,
+  concat('https://example.test/', cast(e.event_id % 601 as string)) as url,
   concat(p.p_name, ' ', e.event_type, ' notice') as title,
   case e.event_type when 'error' then 'safety_alert' when 'click' then 'warning' when 'purchase' then 'new_listing' when 'signup' then 'recall' else 'other' end as event_type,
   case when e.value > 150 then 'high' when e.value > 75 then 'medium' when e.event_id % 11 = 0 then 'unrated' else 'low' end as severity,
