@@ -6,7 +6,8 @@ The class prior ``pi`` is estimated as the share of positives among the labelled
 rows.  Whenever the bracket is negative its gradient is reversed, as the estimator asks.
 
 Figures come from the whole text: character classes, word lengths, repeated words and
-lines, symbols per word.  Each is cut at its training quantiles into one-hot bins.
+lines, symbols per word.  Each is cut at its training quantiles into one-hot bins.  Last, the bias is set so that the
+prior's share of the unlabelled texts scores 0.5 or more.
 
 Training uses at most ``max_rows`` rows of P and of U, picked by the hash of the id (the
 documented bound of the fit); every row is scored.
@@ -103,7 +104,7 @@ class PULinear:
         return self.weight[self.bins(x)].sum(axis=1) + self.bias
 
     @classmethod
-    def fit(cls, pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 1e-5) -> PULinear:
+    def fit(cls, pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 800, rate: float = 0.05, decay: float = 3e-4) -> PULinear:
         both = np.concatenate((pos, unl))
         q = np.linspace(0, 1, BINS + 1)[1:-1]
         # tails matter most for style: extra cuts close to both ends
@@ -129,8 +130,20 @@ class PULinear:
             step = rate * (g1 / (1 - 0.9**t)) / (np.sqrt(g2 / (1 - 0.999**t)) + 1e-8)
             m.weight -= step[:-1]
             m.bias -= step[-1]
+        m.bias -= cls.boundary(np.sort(m.weight[bu].sum(axis=1) + m.bias), prior)
         return m
 
+    @staticmethod
+    def boundary(z: np.ndarray, prior: float) -> float:
+        """The logit above which the prior's share of unlabelled texts lies: the middle of the
+        widest gap near that rank, as the prior itself is an estimate."""
+        at, span = (1 - prior) * len(z), max(5, int(0.02 * len(z)))
+        lo, hi = max(0, int(at) - span), min(len(z) - 1, int(at) + span)
+        if hi <= lo:
+            return 0.0
+        i = lo + int(np.argmax(np.diff(z[lo : hi + 1])))
+        return float(z[i] + z[i + 1]) / 2
+
 
 def _features(batches):
     for batch in batches:

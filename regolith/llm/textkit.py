@@ -24,7 +24,7 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SAME = np.arange(256, dtype=np.uint8)
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
 
