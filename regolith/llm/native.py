@@ -24,9 +24,16 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def without(text: Column, chars: str) -> Column:
+    """The text without some characters: byte-wise replaces, much cheaper than ``translate``."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def count_of(text: Column, chars: str) -> Column:
     """How many characters of a text are in ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.length(text) - F.length(without(text, chars))
 
 
 def window_hashes(array: str, k: int) -> Column:

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native import count_of, stripped, window_hashes, words
+from .native import SPACE, count_of, stripped, window_hashes, without, words
 from .textkit import required
 
 #: Stock phrases of page furniture, lower case.
@@ -39,10 +39,13 @@ SYMBOLS = "#*$%&|<>"
 CLOSING = r"[.!?:;…\"')\]»”。！？]$"
 
 
-def line_fails(x: Column, boiler_words: int = 25) -> Column:
-    """Whether a stripped, non-empty line breaks a rule."""
+def line_fails(x: Column, boiler_words: int = 25, marks: Column | None = None) -> Column:
+    """Whether a stripped, non-empty line breaks a rule.
+
+    ``marks`` says whether the document has any of the counted marks; if not, no line is searched."""
     n = 1 + count_of(x, " \t\x0b\x0c\r")
-    pipes, symbols, shouts = count_of(x, "|"), count_of(x, "#*$%&<>"), count_of(x, "!")
+    marked = lambda chars: count_of(x, chars) if marks is None else F.when(marks, count_of(x, chars)).otherwise(0)
+    pipes, symbols, shouts = marked("|"), marked("#*$%&<>"), marked("!")
     low = F.lower(x)
     stock = F.lit(False)
     for phrase in BOILERPLATE:
@@ -66,8 +69,9 @@ def quality_rules(docs: DataFrame, k: int = 5, least_words: int = 10, least_left
         "doc_id", "text", "lines",
         F.size("w").cast("long").alias("n_words"),
         F.filter(F.split("text", "\n", -1), lambda x: stripped(x) != "").alias("raw_lines"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        F.length(without(F.col("text"), SPACE)).cast("long").alias("word_chars"),
         count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.col("text").rlike("[#*$%&|<>!]")).alias("marks"),
         window_hashes("w", k).alias("h"),
     )
     d = d.withColumn("low", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.expr("shiftleft(1L, cast(ceil(log2(size(h) + 1)) as int)) - 1")))
@@ -78,7 +82,7 @@ def quality_rules(docs: DataFrame, k: int = 5, least_words: int = 10, least_left
     gaps = F.transform("at", lambda p, i: F.when(i == 0, F.lit(k).cast("long")).otherwise(F.least(F.lit(k).cast("long"), p - F.get(F.col("at"), i - 1))))
     d = d.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0).cast("long")))
     total = lambda c: F.aggregate(F.transform(c, F.length), F.lit(0).cast("long"), lambda a, x: a + x)
-    d = d.withColumn("good", F.filter("lines", lambda x: ~line_fails(x, boiler_words)))
+    d = d.withColumn("good", F.filter("lines", lambda x: ~line_fails(x, boiler_words, F.col("marks"))))
     d = d.withColumn("left_share", F.when(F.size("lines") == 0, 0.0).otherwise(total("good") / total("lines")))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return d.select(
