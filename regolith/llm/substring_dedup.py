@@ -16,8 +16,8 @@ and whose nodes are the ``k - 1`` words that neighbouring windows share.
 4. Spans join the chunk of their owner by source coordinate and fetch its words; they join
    their own chunk and only words that are equal one by one are removed.
 
-A chunk sends an edge once however often it has it, so frequent passages cost each bucket
-one row a chunk.
+A chunk sends an edge once however often it has it, and asks for an owner's span once with all
+places it covers, so a frequent passage costs its bucket and its owner one row a chunk.
 
 Defined results: null text counts as no words; a null id counts as larger than all others;
 rows of one id do not see each other; texts under ``k`` words stay whole; empty tables give
@@ -153,8 +153,8 @@ def _owners(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(who.astype(np.int32)), cut(g[mine]), cut(chunk[lead]), cut(g[lead])], schema=_OWNER)
 
 
-_SPAN = pa.schema([("oc", pa.int32()), ("og", pa.int64()), ("words", pa.int64()), ("chunk", pa.int32()), ("g", pa.int64())])
-_SPAN_SQL = "oc int, og long, words long, chunk int, g long"
+_SPAN = pa.schema([("oc", pa.int32()), ("og", pa.int64()), ("words", pa.int64()), ("chunk", pa.int32()), ("g", pa.binary())])
+_SPAN_SQL = "oc int, og long, words long, chunk int, g binary"
 
 
 def _paths(k: int):
@@ -182,12 +182,18 @@ def _paths(k: int):
         joins = (g[1:] == g[:-1] + 1) & (d[1:] == d[:-1]) & (o[1:] == o[:-1]) & (q[1:] == q[:-1] + 1)
         head = np.flatnonzero(np.concatenate(([True], ~joins)))
         length = np.diff(np.concatenate((head, [len(at)]))) + k - 1
-        return pa.Table.from_arrays([pa.array(o[head].astype(np.int32)), pa.array(q[head]), pa.array(length.astype(np.int64)), pa.array(np.full(len(head), me, dtype=np.int32)), pa.array(g[head])], schema=_SPAN)
+        # spans of one owner span are one request with all their places, however many there are
+        o, q, g = o[head], q[head], g[head]
+        order = np.lexsort((g, length, q, o))
+        o, q, g, length = o[order], q[order], g[order], length[order].astype(np.int64)
+        lead = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (q[1:] != q[:-1]) | (length[1:] != length[:-1]))))
+        places = [x.tobytes() for x in np.split(g, lead[1:])]
+        return pa.Table.from_arrays([pa.array(o[lead].astype(np.int32)), pa.array(q[lead]), pa.array(length[lead]), pa.array(np.full(len(lead), me, dtype=np.int32)), pa.array(places, pa.binary())], schema=_SPAN)
 
     return run
 
 
-_SLICE = pa.schema([("chunk", pa.int32()), ("g", pa.int64()), ("words", pa.int64()), ("body", pa.binary())])
+_SLICE = pa.schema([("chunk", pa.int32()), ("g", pa.binary()), ("words", pa.int64()), ("body", pa.binary())])
 
 
 def _slices(key: tuple[pa.Scalar, ...], table: pa.Table, spans: pa.Table) -> pa.Table:
@@ -208,18 +214,20 @@ def _remove(k: int):
             return _KEPT.empty_table()
         c = Chunk(table, k, hashed=False)
         gone = np.zeros(len(c.doc) + 1, dtype=np.int64)
-        for g, n, body in zip(slices.column("g").to_pylist(), slices.column("words").to_pylist(), slices.column("body"), strict=True):
+        for places, n, body in zip(slices.column("g"), slices.column("words").to_pylist(), slices.column("body"), strict=True):
             body = body.as_py()
-            if c.text(g, g + n) == body:
-                gone[g] += 1
-                gone[g + n] -= 1
-                continue
-            # unequal somewhere: only whole windows of equal words count
-            same = np.array([x == y for x, y in zip(c.text(g, g + n).split(b" "), body.split(b" "), strict=True)])
-            for i in range(n - k + 1):
-                if same[i : i + k].all():
-                    gone[g + i] += 1
-                    gone[g + i + k] -= 1
+            for g in np.frombuffer(places.as_buffer(), dtype=np.int64):
+                own = c.text(g, g + n)
+                if own == body:
+                    gone[g] += 1
+                    gone[g + n] -= 1
+                    continue
+                # unequal somewhere: only whole windows of equal words count
+                same = np.array([x == y for x, y in zip(own.split(b" "), body.split(b" "), strict=True)])
+                for i in range(n - k + 1):
+                    if same[i : i + k].all():
+                        gone[g + i] += 1
+                        gone[g + i + k] -= 1
         gone = np.cumsum(gone[:-1]) > 0
         first, raw = c.words.first, c.data.tobytes()
         n_words = np.diff(first)
@@ -251,6 +259,6 @@ def substring_dedup(docs: DataFrame, k: int = 13, id_col: str = "doc_id", text_c
     edges = own.cogroup(common.groupBy("chunk")).applyInArrow(_edges(k, buckets), _EDGE_SQL)
     owners = edges.groupBy("bucket").applyInArrow(_owners, "chunk int, g binary, oc binary, og binary")
     spans = own.cogroup(owners.groupBy("chunk")).applyInArrow(_paths(k), _SPAN_SQL)
-    slices = own.cogroup(spans.groupBy("oc")).applyInArrow(_slices, "chunk int, g long, words long, body binary")
+    slices = own.cogroup(spans.groupBy("oc")).applyInArrow(_slices, "chunk int, g binary, words long, body binary")
     kept = own.cogroup(slices.groupBy("chunk")).applyInArrow(_remove(k), _KEPT_SQL)
     return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(_LAST)))
