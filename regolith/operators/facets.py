@@ -184,3 +184,10 @@ def display_groups(c: DataFrame) -> DataFrame:
     """First row and count of each (authority, source type, month, facility, category)."""
     rows = c.select("rec_no", "authority", "source_type", F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("")).alias("month"), F.lower(F.coalesce("facility_type", F.lit(""))).alias("facility"), F.lower("primary_gmp_category").alias("category"))
     return rows.groupBy("authority", "source_type", "month", "facility", "category").agg(F.min("rec_no").alias("rec_no"), F.count("*").alias("n"))
+
+
+def before_first(rows: DataFrame, key: str, order: str, stop: Column) -> DataFrame:
+    """Rows of each key that come before its first row where ``stop`` holds: the place is one
+    partial minimum a key, so no key is sorted in one task."""
+    at = rows.where(stop).groupBy(key).agg(F.min(order).alias("_stop"))
+    return rows.join(at, key, "left").where(F.col("_stop").isNull() | (F.col(order) < F.col("_stop"))).drop("_stop")

@@ -360,13 +360,7 @@ on_citations("msc19_newest_per_category", f"{O.CLUST} select primary_gmp_categor
 on_citations(
     "win08_ordered_stop",
     f"{O.CIT} select rec_no from (select *, coalesce(max(case when date < date '1996-01-01' then 1 else 0 end) over (partition by authority order by rec_no rows unbounded preceding), 0) as old from raw) where old = 0",
-)(lambda c: c.withColumn("old", F.max(F.coalesce((F.col("date") < F.lit("1996-01-01").cast("date")).cast("int"), F.lit(0))).over(_by("authority"))).where("old = 0").select("rec_no"))
-
-
-def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("rec_no").rowsBetween(Window.unboundedPreceding, 0)
+)(lambda c: T.before_first(c, "authority", "rec_no", F.col("date") < F.lit("1996-01-01").cast("date")).select("rec_no"))
 
 
 # ---- ninety-day report ------------------------------------------------------------------
