@@ -24,6 +24,8 @@ from .textkit import bound_batches, flat, pieces, required
 
 #: Strings kept per language, the most frequent first: the trie's memory limit.
 MAX_NODES = 1 << 18
+#: Strings of all languages together (12 bytes each), the bound of what is sent to executors.
+MAX_SENT = 1 << 22
 _BUILT: dict[str, dict[str, Model]] = {}
 
 
@@ -72,7 +74,8 @@ def language_id(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     docs = required(docs, id_col, text_col, lang_col)
     known = docs.where(trains & F.col(f"`{lang_col}`").isNotNull())
     known = required(known, lang_col, text_col).toDF("label", "text").where("text is not null").select(F.col("label").cast("string"), "text")
-    models = collected(tally(known), max_nodes)
+    names = docs.select(F.col(f"`{lang_col}`").alias("x")).where("x is not null").distinct().count()
+    models = collected(tally(known), min(max_nodes, MAX_SENT // max(1, names)))
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(models)
     rows = required(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
