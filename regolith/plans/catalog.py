@@ -177,10 +177,10 @@ on_signals("win09_first_seen", f"{O.SIG} select ing as ingredient, min(rec_no) a
 
 def _halves(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = s.select("rec_no", "url", "authority", "sentiment", "severity")
-    return rows.where("rec_no % 3 = 0").withColumn("source_id", F.col("url")).transform(lambda d: T.keep_first(d, F.col("source_id"), F.col("rec_no"))), rows.withColumn("source_id", F.col("url"))
+    return rows.where("rec_no % 3 = 0 and rec_no % 601 < 300").withColumn("source_id", F.col("url")).transform(lambda d: T.keep_first(d, F.col("source_id"), F.col("rec_no"))), rows.withColumn("source_id", F.col("url"))
 
 
-_HALF = f"{O.SIG}, old as (select * from s where rec_no % 3 = 0 qualify row_number() over (partition by url order by rec_no) = 1)"
+_HALF = f"{O.SIG}, old as (select * from s where rec_no % 3 = 0 and rec_no % 601 < 300 qualify row_number() over (partition by url order by rec_no) = 1)"
 on_signals("snk01_insert_or_ignore", f"{_HALF} select rec_no, url from old union all (select rec_no, url from s where url not in (select url from old) qualify row_number() over (partition by url order by rec_no) = 1)")(lambda s: S.insert_or_ignore(*_halves(s)).select("rec_no", "url"))
 on_signals("snk02_insert_count", f"{_HALF} select count(distinct url) as inserted from s where url not in (select url from old)")(lambda s: S.insert_new(*_halves(s)).agg(F.count("*").alias("inserted")))
 on_signals("snk03_update_sentiment", f"{_HALF}, ch as (select url, 'neutral' as sentiment from old where rec_no % 2 = 0) select o.url, coalesce(ch.sentiment, o.sentiment) as sentiment from old o left join ch using (url)")(
@@ -365,12 +365,12 @@ on_citations(
 
 # ---- ninety-day report ------------------------------------------------------------------
 
-_ING90 = "case when product_type = '' then 'Unknown' else product_type || ' ' || (rec_no % 30) end"
+_ING90 = "case when product_type = '' then 'Unknown' else product_type || ' ' || (rec_no % 41) end"
 
 
 def _report(c: DataFrame) -> DataFrame:
     day = F.date_sub(F.lit(CITATIONS_AS_OF).cast("date"), 90)
-    ing = F.when(F.col("product_type") == "", "Unknown").otherwise(F.concat("product_type", F.lit(" "), (F.col("rec_no") % 30).cast("string")))
+    ing = F.when(F.col("product_type") == "", "Unknown").otherwise(F.concat("product_type", F.lit(" "), (F.col("rec_no") % 41).cast("string")))
     return c.where(F.col("date") >= day).withColumn("ingredient", ing)
 
 
