@@ -1,16 +1,17 @@
-"""Benchmark decontamination with SimHash windows, in DataFrame functions.
+"""Benchmark decontamination over every item-sized window, in DataFrame functions.
 
 Method
 ------
-1. A window of a document has the length of a benchmark item.  Only windows that share a
-   ``k``-word shingle with the item at the same offset can reach the threshold, so windows
-   are placed where such a run of shared shingles starts; all others are never built.
-2. Each window and item gets a 64-bit SimHash of its shingles, weighted by frequency.
-3. Multi-index blocks: fingerprints are cut into ``radius + 1`` blocks; by the pigeonhole
-   principle two within the radius agree on a block, so an equality join on (item, block,
-   value) finds all of them and a bit count keeps those within the radius.
-4. Candidates are verified by exact weighted Jaccard (sum of smaller over sum of larger
-   shingle counts).
+1. A window of a document has the length of a benchmark item and starts at any word; one that
+   reaches over an end of the document is cut there.  Its similarity to the item is the
+   weighted Jaccard of their ``k``-word shingles (sum of smaller over sum of larger counts).
+2. An equality join finds each document's shingles that an item has.  A window that reaches
+   the threshold holds at least ``threshold`` times the item's shingles of them, so pairs
+   with fewer end here.  Order and offset play no part.
+3. An occurrence counts in the windows that hold it and fewer earlier ones of the same shingle
+   than the item has: a range of starts.  A running sum over the ranges' ends is the exact
+   sum of smaller counts for all windows; between two ends it is constant and the window's
+   own size is least at one of them, so only windows there are compared.
 
 The benchmark is shuffled to nobody: its shingles are broadcast if their counted number is
 at most ``broadcast_limit`` and joined by shuffle otherwise.
@@ -25,15 +26,13 @@ ignored; empty tables give an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .native import lower_ascii, window_hashes, words
 from .textkit import required, without_ids
 
 BROADCAST_LIMIT = 500_000
-RADIUS = 24
-BITS = 64
 _LAST = (1 << 63) - 1
 
 
@@ -42,76 +41,47 @@ def _shingled(d: DataFrame, k: int) -> DataFrame:
     return d.withColumn("w", words(lower_ascii(F.coalesce("text", F.lit(""))))).withColumn("h", window_hashes("w", k))
 
 
-def _simhash(weighted: DataFrame, key: list[str]) -> DataFrame:
-    """One fingerprint a key from (key, h, c)."""
-    sums = [F.sum(F.expr(f"if((h & {1 << b if b < 63 else -(1 << 63)}L) = 0, -c, c)")).alias(f"s{b}") for b in range(BITS)]
-    bits = weighted.groupBy(*key).agg(*sums)
-    # the first sum ends in the lowest bit
-    signs = F.array(*[F.col(f"s{b}") for b in reversed(range(BITS))])
-    fp = F.aggregate(signs, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(F.when(x > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))))
-    return bits.select(*key, fp.alias("fp"))
-
-
-def _blocks(fp: DataFrame, radius: int) -> DataFrame:
-    """Adds a row for each of ``radius + 1`` blocks of the fingerprint."""
-    edges = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    low, width = F.array(*[F.lit(a) for a in edges[:-1]]), F.array(*[F.lit((1 << (b - a)) - 1).cast("long") for a, b in zip(edges, edges[1:], strict=False)])
-    cut = F.transform(low, lambda a, i: F.call_function("shiftrightunsigned", F.col("fp"), a).bitwiseAND(F.get(width, i)))
-    return fp.select("*", F.posexplode(cut).alias("block", "value"))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, k: int = 5, radius: int = RADIUS, broadcast_limit: int = BROADCAST_LIMIT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, k: int = 5, broadcast_limit: int = BROADCAST_LIMIT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity): the best window of each document and
     item whose similarity reaches the threshold, the earliest of equals."""
     items = required(benchmark, item_col, item_text_col).toDF("item_id", "text")
-    items = _shingled(items, k).withColumn("n", F.size("w")).where("n > 0")
-    long_items = items.where(f"n >= {k}").select("item_id", "n", "h", F.posexplode_outer("h").alias("off", "s"))
-    long_items = long_items.select("item_id", "n", "off", "s", F.when(F.col("off") > 0, F.get(F.col("h"), F.col("off") - 1)).alias("before")).where("s is not null")
+    items = _shingled(items, k).withColumn("n", F.size("w")).where("n > 0").select("item_id", "n", F.xxhash64("w").alias("ih"), "h").dropDuplicates(["item_id", "ih"])
+    # total: shingles of the item; ic: how often it has this one
+    long_items = items.where(f"n >= {k}").select("item_id", "ih", (F.col("n") - (k - 1)).alias("total"), F.explode("h").alias("s"))
+    long_items = long_items.groupBy("item_id", "ih", "total", "s").agg(F.count("*").cast("int").alias("ic"))
     # outer generators: else a size check on the array would be pushed below and compute it twice
     d = required(docs, id_col, text_col).toDF("doc_id", "text")
     d = _shingled(d.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc_id"), "text"), k)
-    d = d.select("doc_id", F.size("w").alias("len"), "w", "h")
+    # rows with equal id differ by the hash of their shingles
+    keyed = d.select("doc_id", F.xxhash64("h").alias("th"), F.size("h").alias("m"), F.posexplode_outer("h").alias("pos", "s"))
     # a bounded side: counted before it is sent
     small = long_items.count() <= broadcast_limit
-    run_start = F.col("before").isNull() | (F.col("pos") == 0) | (F.col("prev") != F.col("before"))
-    if small:
-        # generator, join and filter are one compiled loop: the array is copied for run starts alone
-        hits = d.select("doc_id", "len", "h", F.posexplode_outer("h").alias("pos", "s")).join(F.broadcast(long_items), "s")
-        hits = hits.withColumn("prev", F.get(F.col("h"), F.col("pos") - 1)).where(run_start)
-    else:
-        # positions travel without the array and fetch it again by row
-        keyed = d.withColumn("th", F.xxhash64("w"))
-        steps = F.transform("h", lambda x, i: F.struct(i.alias("pos"), x.alias("s"), F.get(F.col("h"), i - 1).alias("prev")))
-        hits = keyed.select("doc_id", "th", F.explode_outer(steps).alias("e")).select("doc_id", "th", "e.*").join(long_items, "s").where(run_start)
-        hits = hits.join(keyed.select("doc_id", "th", "len", "h").dropDuplicates(["doc_id", "th"]), ["doc_id", "th"])
-    start = F.greatest(F.col("pos") - F.col("off"), F.lit(0))
-    stop = F.least(F.col("pos") - F.col("off") + F.col("n"), F.col("len"))
-    wins = hits.select("doc_id", "item_id", start.alias("start_word"), (stop - start).cast("long").alias("n_words"), F.slice("h", start + 1, stop - start - (k - 1)).alias("win"))
-
-    tiny = items.where(f"n < {k}").select("item_id", "n", F.xxhash64("w").alias("s"))
+    hits = keyed.join(F.broadcast(long_items) if small else long_items, "s")
+    key = ["doc_id", "th", "m", "item_id", "ih", "total"]
+    pairs = hits.groupBy(*key).agg(F.array_distinct(F.collect_list(F.struct("s", "pos", "ic"))).alias("e"))  # an equal row has the same hits
+    # what follows is grouped by this key or more: no further shuffle
+    e = pairs.where(F.size("e") >= F.col("total") * threshold - 1e-9).select(*key, F.explode("e").alias("e")).select(*key, "e.*")
+    at = e.groupBy(*key, "s").agg(F.sort_array(F.collect_list("pos")).alias("p"), F.first("ic").alias("ic"))
+    first = F.col("total") - 1
+    span = F.transform("p", lambda x, i: F.struct(F.greatest(x - first, F.get(F.col("p"), i - F.col("ic")) + 1).alias("lo"), (x + 1).alias("hi")))
+    at = at.select(*key, F.explode(span).alias("r"))
+    at = at.select(*key, F.explode(F.array(F.struct(F.col("r.lo").alias("at"), F.lit(1).alias("c")), F.struct(F.col("r.hi").alias("at"), F.lit(-1).alias("c")))).alias("x"))
+    at = at.groupBy(*key, F.col("x.at").alias("at")).agg(F.sum("x.c").alias("c"))
+    order = Window.partitionBy(*key).orderBy("at")
+    at = at.select(*key, "at", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("both"), F.lead("at").over(order).alias("next")).where("both > 0")
+    wins = at.select(*key, "both", F.explode(F.array("at", F.col("next") - 1)).alias("at"))
+    start, stop = F.greatest("at", F.lit(0)), F.least(F.col("at") + F.col("total"), "m")
+    scored = wins.select("doc_id", "item_id", start.alias("start_word"), (stop - start + k - 1).cast("long").alias("n_words"), (F.col("both") / (stop - start + F.col("total") - F.col("both"))).alias("similarity"))
+
+    tiny = items.where(f"n < {k}").select("item_id", "n", F.col("ih").alias("s"))
     sizes = [r.n for r in tiny.select("n").distinct().collect()]  # at most k - 1 values
     for m in sizes:
         t = tiny.where(f"n = {m}")
         t = F.broadcast(t) if small else t
-        runs = d.withColumn("g", F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(0), F.size("w") - m), lambda i: F.xxhash64(F.slice("w", i + 1, m)))))  # noqa: B023
+        runs = d.select("doc_id", F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(0), F.size("w") - m), lambda i: F.xxhash64(F.slice("w", i + 1, m)))).alias("g"))  # noqa: B023
         found = runs.select("doc_id", F.posexplode_outer("g").alias("start_word", "s")).join(t, "s")
-        wins = wins.unionByName(found.select("doc_id", "item_id", "start_word", F.lit(m).cast("long").alias("n_words"), F.array("s").alias("win")))
-
-    key = ["doc_id", "item_id", "start_word", "n_words", "wh"]
-    wins = wins.withColumn("wh", F.xxhash64("win"))
-    # the same window may be met again, at another run or in an equal row: one stays
-    wins = wins.groupBy(*key).agg(F.first("win").alias("win"))
-    counted = wins.select(*key, F.explode("win").alias("h")).groupBy(*key, "h").agg(F.count("*").alias("c"))
-    item_counts = items.select("item_id", F.explode(F.when(F.col("n") >= k, F.col("h")).otherwise(F.array(F.xxhash64("w")))).alias("h")).groupBy("item_id", "h").agg(F.count("*").alias("c"))
-    own = _blocks(_simhash(counted, key), radius)
-    item_fp = _simhash(item_counts, ["item_id"])
-    ref = _blocks(item_fp, radius).select("item_id", "block", "value", F.col("fp").alias("ifp"))
-    near = own.join(ref, ["item_id", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius).select(*key).distinct()
-
-    total = item_counts.groupBy("item_id").agg(F.sum("c").alias("total"))
-    pairs = counted.join(near, key, "left_semi").join(item_counts.withColumnRenamed("c", "ic"), ["item_id", "h"], "left")
-    pairs = pairs.groupBy(*key).agg(F.sum("c").alias("own"), F.sum(F.least("c", F.coalesce("ic", F.lit(0)))).alias("both"))
-    scored = pairs.join(total, "item_id").withColumn("similarity", F.col("both") / (F.col("own") + F.col("total") - F.col("both")))
+        scored = scored.unionByName(found.select("doc_id", "item_id", "start_word", F.lit(m).cast("long").alias("n_words"), F.lit(1.0).alias("similarity")))
+
     best = scored.where(F.col("similarity") >= threshold).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("m"), "n_words")).alias("b"))
     return best.select(F.nullif("doc_id", F.lit(_LAST)).alias("doc_id"), "item_id", (-F.col("b.m")).cast("long").alias("start_word"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))
 

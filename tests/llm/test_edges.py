@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -169,6 +170,47 @@ def test_shuffled_benchmark_gives_the_same(odd, spark):
     assert a == rows(decontamination.contaminated(odd, bench, broadcast_limit=0), "doc_id", "start_word", "similarity")
 
 
+def test_decontamination_of_reordered_parts(spark):
+    # parts swapped in a longer document: 92 of 96 shingles are left, at two offsets; start 150
+    a, b = [f"a{i}" for i in range(50)], [f"b{i}" for i in range(50)]
+    other = [f"o{i}" for i in range(400)]
+    docs = documents(spark, [(1, " ".join([*other[:150], *b, *a, *other[150:]]), "en", "a"), (2, " ".join(other), "en", "a")])
+    bench = spark.createDataFrame([(1, " ".join(a + b))], "item_id long, text string")
+    for limit in (decontamination.BROADCAST_LIMIT, 0):
+        got = decontamination.contaminated(docs, bench, broadcast_limit=limit).collect()
+        assert [tuple(r) for r in got] == [(1, 1, 150, 100, 92 / 100)]
+    assert [r.doc_id for r in decontamination.decontaminate(docs, bench).collect()] == [2]
+
+
+def test_decontamination_tries_every_window(spark):
+    """Few words, so that shingles repeat and windows are cut at both ends, against plain Python."""
+    rng = np.random.default_rng(5)
+    draw = lambda n, v: [f"w{x}" for x in rng.integers(0, v, n)]
+    items = {i: draw(int(rng.integers(5, 14)), 2) for i in range(12)}
+    texts = {}
+    for i in range(60):
+        x = list(items[i % 12])
+        at = int(rng.integers(0, len(x)))
+        x = x[at:] + x[:at] if i % 3 else x[: at + 1]
+        texts[i] = draw(int(rng.integers(0, 9)), 2 + i % 4) + x + draw(int(rng.integers(0, 9)), 2 + i % 4)
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    want = {}
+    for i, w in texts.items():
+        for j, item in items.items():
+            mine, ref, found = grams(w), Counter(grams(item)), []
+            size = len(item) - 4
+            for s in range(1 - size, len(mine)):
+                own = mine[max(s, 0) : s + size]
+                both = sum((Counter(own) & ref).values())
+                found.append((both / (len(own) + size - both), -max(s, 0), len(own) + 4))
+            if found and max(found)[0] >= 0.75:
+                want[i, j] = max(found)
+    docs = documents(spark, [(i, " ".join(w), "en", "a") for i, w in texts.items()])
+    bench = spark.createDataFrame([(j, " ".join(w)) for j, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, -r.start_word, r.n_words) for r in decontamination.contaminated(docs, bench).collect()}
+    assert len(want) > 20 and got == want
+
+
 def test_warc(spark, tmp_path):
     page = "<p>" + "x" * 200
     data = [(3, "http://a", page, 1), (1, "http://b c\r\nX: y", page, 1), (5, None, page, 1), (2, "u", "small", 1), (4, "u", "small", 1), (6, "u", None, 1), (None, "u", page, 1)]
