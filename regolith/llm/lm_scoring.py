@@ -1,6 +1,6 @@
 """Language-model scoring: a byte trie's code length beside a word-frequency baseline.
 
-The trie (see :mod:`ppm`) is trained on all training texts.  The baseline needs every
+The trie (see :mod:`ppm`) is trained on all training texts and keeps all their strings.  The baseline needs every
 word's count over the training texts: chunks send their distinct words once, with their
 training count, to hash buckets; the buckets answer with totals in the order received, so
 an answer is one number a word.  Frequent words therefore cost a bucket one row a chunk.
@@ -20,11 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .language_id import collected
-from .ppm import PIECE, Model, tally
+from .ppm import PIECE, Asked, Model, answers, collected, low_orders, tally
 from .textkit import U64, Words, bound_batches, by_bucket, chunk_count, flat, pieces, power_of_two, required
 
-#: Strings that the trie keeps, the most frequent first: its memory limit.
+#: Strings up to which the trie is sent to workers; beyond, chunks ask for costs.
 MAX_NODES = 1 << 20
 END = U64(0x5EED0F7E97D0C5E1)
 _BUILT: dict[str, Model] = {}
@@ -86,11 +85,15 @@ def _score(buckets: int, token: str, sent):
             return _SCORED.empty_table()
         if token not in _BUILT:
             _BUILT.clear()
-            _BUILT[token] = Model(*sent.value)
+            _BUILT[token] = sent and Model(*sent.value)
         model = _BUILT[token]
         data, off, doc, uniq, inv, at = _tokens(table, buckets)
         c = np.zeros(len(uniq))
+        costs = []
         for b, x in zip(back.column("bucket").to_pylist(), back.column("c"), strict=True):
+            if b >= buckets:
+                costs.append((b - buckets, x.as_buffer()))
+                continue
             m = int(at[b + 1] - at[b])
             if m:
                 raw = x.as_buffer()
@@ -100,7 +103,10 @@ def _score(buckets: int, token: str, sent):
         n = np.bincount(doc, minlength=docs)
         known = np.bincount(doc[c[inv] > 0], minlength=docs)
         base = np.bincount(doc, np.log10(c + 0.1)[inv], docs) - n * np.log10(total + 0.1 * (distinct + 1))
-        score = np.concatenate([model.score(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in pieces(off, PIECE)])
+        if model is None:
+            score = Asked(data, off, buckets).scores(costs, 1)[0]
+        else:
+            score = np.concatenate([model.score(data[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in pieces(off, PIECE)])
         return pa.Table.from_arrays(
             [table.column("doc_id").combine_chunks(), table.column("held_out").combine_chunks(), pa.array(n), pa.array(known), pa.array(np.full(docs, total, dtype=np.int64)), pa.array(base), pa.array(score)], schema=_SCORED
         )
@@ -114,15 +120,16 @@ def lm_scoring(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     docs = required(docs, id_col, text_col)
     flag = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), flag.alias("held_out"))
-    counts = tally(rows.where("not held_out").select(F.lit(None).cast("string").alias("label"), "text"))
+    counts, models = collected(tally(rows.where("not held_out").select(F.lit("").alias("label"), "text")), max_nodes)
     empty = (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
-    model = collected(counts, max_nodes).get(None, empty)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = None if models is None else docs.sparkSession.sparkContext.broadcast(models.get("", empty))
     chunks = chunk_count(rows)
     buckets = power_of_two(max(16, chunks // 2))
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text", "held_out")
     own = rows.groupBy("chunk")
     words = own.applyInArrow(_send(buckets), "bucket int, chunk int, h binary, n binary")
     back = words.groupBy("bucket").applyInArrow(_total, "bucket int, chunk int, c binary, total long, distinct long")
+    if sent is None:
+        costs = answers(rows.select("chunk", "text"), counts, low_orders(counts), buckets, uuid.uuid4().hex)
+        back = back.unionByName(costs.select((F.col("bucket") + buckets).alias("bucket"), "chunk", "c", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("distinct")))
     return own.cogroup(back.groupBy("chunk")).applyInArrow(_score(buckets, uuid.uuid4().hex, sent), _SCORED_SQL)

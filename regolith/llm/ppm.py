@@ -6,6 +6,12 @@ costs ``c / (n + q)`` there (``n`` occurrences, ``q`` distinct symbols: escape m
 Otherwise the escape ``q / (n + q)`` is paid and the next shorter context is asked, without
 the symbols that longer contexts have already excluded; below order 0 all bytes not yet
 excluded are equally likely.  ``0xFF`` never occurs in UTF-8: it pads the start and ends a text.
+
+No string is left out.  Up to a number of strings the counts are sent to every worker
+(:class:`Model`).  Beyond it chunks of text ask for the costs of their distinct strings
+(:func:`ask`, :class:`Asked`): a bucket holds all strings with the same two middle bytes, so it
+has the counts of orders 3 and 2 of these, and the pairs of bytes that orders 1 and 0 need, at
+most 2^16 a label, are sent (:func:`answers`).
 """
 
 from __future__ import annotations
@@ -17,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import flat, pieces
+from .textkit import by_bucket, flat, materialize, pieces
 
 PAD = 0xFF
 PIECE = 2 << 20
 SIDE = 3072
+_LOW: dict[str, dict[str, list]] = {}
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,43 +89,143 @@ def tally(docs: DataFrame) -> DataFrame:
     return parts.groupBy("label", "code").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """A frozen trie with a table of costs (log10 probabilities) of the strings met so far."""
+def collected(counts: DataFrame, limit: int) -> tuple[DataFrame, dict[str, tuple[np.ndarray, np.ndarray]] | None]:
+    """The counts as a stored table, and on the driver by label (12 bytes a string) unless there
+    are more than ``limit`` strings in all."""
+    counts = materialize(counts, "strings")
+    if counts.count() > limit:
+        return counts, None
+    rows = counts.toArrow()
+    names, inv = np.unique(np.array(rows.column("label").to_pylist(), dtype=object), return_inverse=True)
+    order, at = by_bucket(inv, len(names))
+    code, n = rows.column("code").to_numpy().astype(np.uint32)[order], rows.column("n").to_numpy()[order]
+    return counts, {x: (code[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for i, x in enumerate(names)}
 
-    def __init__(self, code: np.ndarray, n: np.ndarray):
+
+def low_orders(counts: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each label's counts of two-byte strings."""
+    pairs = counts.groupBy("label", F.expr("code & 65535").alias("code")).agg(F.sum("n").alias("n")).toArrow()
+    out: dict[str, tuple[list, list]] = {}
+    for x, code, n in zip(*(pairs.column(c).to_pylist() for c in ("label", "code", "n")), strict=True):
+        held = out.setdefault(x, ([], []))
+        held[0].append(code)
+        held[1].append(n)
+    return {x: (np.array(out[x][0], dtype=np.uint32), np.array(out[x][1], dtype=np.int64)) for x in sorted(out)}
+
+
+def _kids(code: np.ndarray, n: np.ndarray, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Symbols and counts by context of ``k`` bytes."""
+    short, inv = np.unique(code & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+    total = np.bincount(inv, n, len(short)) if len(short) else np.zeros(0)
+    ctx = short >> np.uint32(8)
+    heads = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(ctx) else np.zeros(0, dtype=np.int64)
+    ends = np.append(heads[1:], len(ctx))[: len(heads)]
+    syms = (short & np.uint32(0xFF)).astype(np.int64)
+    return {int(ctx[s]): (syms[s:e], total[s:e]) for s, e in zip(heads, ends, strict=True)}
+
+
+def _sums(cost: np.ndarray, start: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum over each text and its end."""
+    stop = start + np.diff(offsets) + 1
+    at = np.stack((start, stop), axis=1).ravel() - 3
+    return np.add.reduceat(np.append(cost, np.float32(0)), at, dtype=np.float64)[::2]
+
+
+class Asked:
+    """A chunk's distinct strings by bucket, and its texts' scores from the buckets' answers."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, buckets: int):
+        self.parts = [(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in pieces(offsets, PIECE)]
+        found = [np.unique(codes(padded(*x)[0][:-2])) for x in self.parts]
+        self.uniq = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint32)
+        self.order, self.at = by_bucket((self.uniq >> np.uint32(8) & np.uint32(0xFFFF)) % np.uint32(buckets), buckets)
+
+    def blobs(self) -> list[bytes]:
+        by = self.uniq[self.order]
+        return [by[a:b].tobytes() for a, b in zip(self.at, self.at[1:], strict=False)]
+
+    def scores(self, answered, labels: int) -> np.ndarray:
+        """log10 probability by label and text; ``answered`` gives (bucket, costs)."""
+        cost = np.zeros((labels, len(self.uniq)), dtype=np.float32)
+        for b, raw in answered:
+            at = self.order[self.at[b] : self.at[b + 1]]
+            if len(at):
+                cost[:, at] = np.frombuffer(raw, dtype=np.float32).reshape(labels, len(at))
+        out = []
+        for data, offsets in self.parts:
+            buf, start = padded(data, offsets)
+            uniq, inv = np.unique(codes(buf[:-2]), return_inverse=True)
+            at = np.searchsorted(self.uniq, uniq)
+            out.append(np.stack([_sums(cost[i, at][inv], start, offsets) for i in range(labels)]))
+        return np.concatenate(out, axis=1) if out else np.zeros((labels, 0))
+
+
+def _ask(buckets: int):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        n = buckets if table.num_rows else 0
+        blobs = Asked(*flat(table.column("text")), buckets).blobs() if n else []
+        return pa.table({"bucket": pa.array(range(n), pa.int32()), "chunk": pa.array([key[0].as_py()] * n if n else [], pa.int32()), "codes": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def _answer(token: str, sent):
+    def run(key: tuple[pa.Scalar, ...], have: pa.Table, want: pa.Table) -> pa.Table:
+        if token not in _LOW:
+            _LOW.clear()
+            _LOW[token] = {x: [_kids(*low, 0), _kids(*low, 1)] for x, low in sent.value.items()}
+        asked = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in want.column("codes")]
+        uniq, inv = np.unique(np.concatenate(asked), return_inverse=True) if asked else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+        label = np.array(have.column("label").to_pylist(), dtype=object)
+        code, n = have.column("code").to_numpy().astype(np.uint32), have.column("n").to_numpy()
+        cost = np.zeros((len(_LOW[token]), len(uniq)), dtype=np.float32)
+        for i, (x, low) in enumerate(_LOW[token].items()):
+            own = np.flatnonzero(label == x)
+            cost[i] = Trie(code[own], n[own], low).costs_of(uniq)
+        ends = np.cumsum([0, *map(len, asked)])
+        blobs = [np.ascontiguousarray(cost[:, inv[a:b]]).tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.table({"bucket": want.column("bucket"), "chunk": want.column("chunk"), "c": pa.array(blobs, pa.binary())})
+
+    return run
+
+
+def answers(chunks: DataFrame, counts: DataFrame, low: dict[str, tuple[np.ndarray, np.ndarray]], buckets: int, token: str) -> DataFrame:
+    """(bucket, chunk, c): for the strings that each of ``chunks`` (chunk, text) has in a bucket,
+    their costs as 32-bit floats, label by label in the order of ``low``."""
+    asked = chunks.groupBy("chunk").applyInArrow(_ask(buckets), "bucket int, chunk int, codes binary")
+    held = counts.withColumn("bucket", F.expr(f"cast((shiftright(code, 8) & 65535) % {buckets} as int)"))
+    sent = chunks.sparkSession.sparkContext.broadcast(low)
+    return held.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_answer(token, sent), "bucket int, chunk int, c binary")
+
+
+class Trie:
+    """A frozen trie; ``low`` gives orders 0 and 1 where ``code`` doesn't hold all strings."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, low: list[dict[int, tuple[np.ndarray, np.ndarray]]] | None = None):
         order = np.argsort(code)
-        code, n = code[order].astype(np.uint32), n[order].astype(np.float64)
-        self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by order 0..3: strings, counts, bounds by context
-        self.kids: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for k in range(4):
-            short, inv = np.unique(code & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            total = np.bincount(inv, n, len(short)) if len(short) else np.zeros(0)
-            ctx = short >> np.uint32(8)
-            heads = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(ctx) else np.zeros(0, dtype=np.int64)
-            ends = np.append(heads[1:], len(ctx))[: len(heads)]
-            syms = (short & np.uint32(0xFF)).astype(np.int64)
-            self.kids.append({int(ctx[s]): (syms[s:e], total[s:e]) for s, e in zip(heads, ends, strict=True)})
+        self.code, self.n = code[order].astype(np.uint32), n[order].astype(np.float64)
+        low = low or [_kids(self.code, self.n, k) for k in range(2)]
+        self.kids = [*low, *(_kids(self.code, self.n, k) for k in (2, 3))]  # by order 0..3: symbols and counts by context
         self.slow: dict[int, float] = {}
-        pair1, pair2 = code >> np.uint32(16), code & np.uint32(0xFFFF)
-        self.row, self.col = self._rank(pair1, n), self._rank(pair2, n)
-        self.width = int(self.col.max(initial=0)) + 1
-        self.table = np.full((int(self.row.max(initial=0)) + 1) * self.width, np.nan, dtype=np.float32)
-        if len(code):
-            ctx = code >> np.uint32(8)
-            heads = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
-            size = np.diff(np.append(heads, len(ctx)))
-            cost = np.log10(n / (np.repeat(np.add.reduceat(n, heads), size) + np.repeat(size, size)))
-            r, c = self.row[pair1], self.col[pair2]
-            ok = (r > 0) & (c > 0)
-            self.table[r[ok] * self.width + c[ok]] = cost[ok]
 
-    @staticmethod
-    def _rank(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
-        out = np.zeros(1 << 16, dtype=np.int64)
-        weight = np.bincount(pair.astype(np.int64), n, 1 << 16)
-        top = np.argsort(-weight, kind="stable")[:SIDE]
-        top = top[weight[top] > 0]
-        out[top] = np.arange(1, len(top) + 1)
+    def seen(self) -> np.ndarray:
+        """Costs of the trie's own strings."""
+        if not len(self.code):
+            return np.zeros(0)
+        ctx = self.code >> np.uint32(8)
+        heads = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))
+        size = np.diff(np.append(heads, len(ctx)))
+        return np.log10(self.n / (np.repeat(np.add.reduceat(self.n, heads), size) + np.repeat(size, size)))
+
+    def costs_of(self, want: np.ndarray) -> np.ndarray:
+        """Costs of distinct strings."""
+        out = np.full(len(want), np.nan)
+        if len(self.code):
+            at = np.minimum(np.searchsorted(self.code, want), len(self.code) - 1)
+            hit = self.code[at] == want
+            out[hit] = self.seen()[at[hit]]
+        bad = np.flatnonzero(np.isnan(out))
+        out[bad] = [self.cost(int(x)) for x in want[bad]]
         return out
 
     def cost(self, code: int) -> float:
@@ -147,6 +254,30 @@ class Model:
         self.slow[code] = value = float(np.log10(p))
         return value
 
+class Model(Trie):
+    """A trie of all strings with a table of costs (log10 probabilities) of those met so far."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        super().__init__(code, n)
+        code, n = self.code, self.n
+        pair1, pair2 = code >> np.uint32(16), code & np.uint32(0xFFFF)
+        self.row, self.col = self._rank(pair1, n), self._rank(pair2, n)
+        self.width = int(self.col.max(initial=0)) + 1
+        self.table = np.full((int(self.row.max(initial=0)) + 1) * self.width, np.nan, dtype=np.float32)
+        if len(code):
+            r, c = self.row[pair1], self.col[pair2]
+            ok = (r > 0) & (c > 0)
+            self.table[r[ok] * self.width + c[ok]] = self.seen()[ok]
+
+    @staticmethod
+    def _rank(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.zeros(1 << 16, dtype=np.int64)
+        weight = np.bincount(pair.astype(np.int64), n, 1 << 16)
+        top = np.argsort(-weight, kind="stable")[:SIDE]
+        top = top[weight[top] > 0]
+        out[top] = np.arange(1, len(top) + 1)
+        return out
+
     def costs(self, buf: np.ndarray) -> np.ndarray:
         """Cost of the byte at each position from 3 on."""
         pair = (buf[:-1].astype(np.uint16) << np.uint16(8)) | buf[1:]
@@ -169,7 +300,4 @@ class Model:
         buf, start = padded(data, offsets)
         if len(offsets) < 2:
             return np.zeros(0)
-        cost = self.costs(buf[:-2])
-        stop = start + np.diff(offsets) + 1
-        at = np.stack((start, stop), axis=1).ravel() - 3
-        return np.add.reduceat(np.append(cost, np.float32(0)), at, dtype=np.float64)[::2]
+        return _sums(self.costs(buf[:-2]), start, offsets)

@@ -142,6 +142,18 @@ def test_lm_scoring(odd, none):
     assert len(lm_scoring.lm_scoring(odd, F.lit(True)).collect()) == odd.count()
 
 
+def same_scores(score):
+    """Costs asked from buckets give the result of tries that hold all strings."""
+    get = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.score, r[1]) for r in df.collect())
+    whole, asked = get(score()), get(score(max_nodes=50))
+    assert [(*x[:2], x[3]) for x in asked] == [(*x[:2], x[3]) for x in whole]
+    assert np.allclose([x[2] for x in asked], [x[2] for x in whole], rtol=1e-6)
+
+
+def test_lm_scoring_loses_no_string(odd):
+    same_scores(lambda **x: lm_scoring.lm_scoring(odd, F.col("doc_id") == 9, **x))
+
+
 def test_line_dedup(spark, none):
     docs = documents(spark, [(i, f"own line {i}\nShared line here.\n\n", "en", f"s{i % 5}") for i in range(1, 9)] + [(20, None, None, None), (21, "", "en", None), (None, "Shared line here.", "en", "s1")])
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.line_dedup(docs).collect()}
