@@ -19,29 +19,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ppm import PIECE, Model, tally
-from .textkit import bound_batches, flat, pieces, required
+from .ppm import PIECE, Asked, Model, answers, collected, low_orders, tally
+from .textkit import bound_batches, chunk_count, flat, pieces, power_of_two, required
 
-#: Strings kept per language, the most frequent first: the trie's memory limit.
-MAX_NODES = 1 << 18
-#: Strings of all languages together (12 bytes each), the bound of what is sent to executors.
-MAX_SENT = 1 << 22
+#: Strings of all languages together up to which the tries are sent to workers; beyond, chunks ask for costs.
+MAX_NODES = 1 << 20
 _BUILT: dict[str, dict[str, Model]] = {}
 
 
-def collected(counts: DataFrame, limit: int) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Each label's counts on the driver, at most ``limit`` strings a label (12 bytes each)."""
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "code"))
-    rows = counts.withColumn("_r", rank).where(F.col("_r") <= limit).select("label", "code", "n").toArrow()
-    out = {}
-    label = np.array(rows.column("label").to_pylist(), dtype=object)
-    code, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
-    for x in sorted(set(label), key=lambda v: (v is None, v)):
-        at = np.flatnonzero(label == x) if x is not None else np.flatnonzero([v is None for v in label])
-        out[x] = (code[at].astype(np.uint32), n[at])
-    return out
+def _rows(ids: pa.Array, texts: pa.Array, names: np.ndarray, lp: np.ndarray) -> pa.RecordBatch:
+    """The language of each text from the scores by language and text."""
+    part = pc.match_substring_regex(pc.fill_null(texts, ""), r"\pL").to_numpy(zero_copy_only=False)
+    lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+    if len(names):
+        best = lp.argmax(axis=0)
+        share = 1 / np.power(10.0, np.maximum(lp - lp.max(axis=0), -300)).sum(axis=0)
+        lang[part], score[part] = names[best[part]], share[part]
+    return pa.record_batch([ids, pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
 
 def _predict(token: str, sent):
@@ -53,17 +47,25 @@ def _predict(token: str, sent):
         names = np.array(list(models), dtype=object)
         for batch in batches:
             texts = batch.column(1)
-            lettered = pc.match_substring_regex(pc.fill_null(texts, ""), r"\pL").to_numpy(zero_copy_only=False)
             data, off = flat(texts)
             for a, b in pieces(off, PIECE):
-                part = lettered[a:b]
-                lang, score = np.full(b - a, "und", dtype=object), np.zeros(b - a)
-                if len(names):
-                    lp = np.stack([m.score(data[off[a] : off[b]], off[a : b + 1] - off[a]) for m in models.values()])
-                    best = lp.argmax(axis=0)
-                    share = 1 / np.power(10.0, np.maximum(lp - lp.max(axis=0), -300)).sum(axis=0)
-                    lang[part], score[part] = names[best[part]], share[part]
-                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+                lp = np.stack([m.score(data[off[a] : off[b]], off[a : b + 1] - off[a]) for m in models.values()]) if len(names) else np.zeros((0, b - a))
+                yield _rows(batch.column(0).slice(a, b - a), texts.slice(a, b - a), names, lp)
+
+    return run
+
+
+def _predict_asked(buckets: int, names: list[str]):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        batches = []
+        if table.num_rows:
+            ids, texts = (table.column(c).combine_chunks() for c in ("doc_id", "text"))
+            ids, texts = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (ids, texts))
+            costs = [(b, x.as_buffer()) for b, x in zip(back.column("bucket").to_pylist(), back.column("c"), strict=True)]
+            lp = Asked(*flat(texts), buckets).scores(costs, len(names))
+            batches.append(_rows(ids, texts, np.array(names, dtype=object), lp))
+        return pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())]))
 
     return run
 
@@ -74,9 +76,14 @@ def language_id(docs: DataFrame, trains: Column, id_col: str = "doc_id", text_co
     docs = required(docs, id_col, text_col, lang_col)
     known = docs.where(trains & F.col(f"`{lang_col}`").isNotNull())
     known = required(known, lang_col, text_col).toDF("label", "text").where("text is not null").select(F.col("label").cast("string"), "text")
-    names = docs.select(F.col(f"`{lang_col}`").alias("x")).where("x is not null").distinct().count()
-    models = collected(tally(known), min(max_nodes, MAX_SENT // max(1, names)))
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(models)
+    counts, models = collected(tally(known), max_nodes)
     rows = required(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(_predict(uuid.uuid4().hex, sent), "doc_id long, lang_pred string, score double")
+    out = "doc_id long, lang_pred string, score double"
+    if models is not None:
+        return rows.mapInArrow(_predict(uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(models)), out)
+    low = low_orders(counts)
+    chunks = chunk_count(rows)
+    buckets = power_of_two(max(16, chunks // 2))
+    rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text")
+    back = answers(rows.select("chunk", "text"), counts, low, buckets, uuid.uuid4().hex)
+    return rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_predict_asked(buckets, list(low)), out)

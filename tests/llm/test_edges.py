@@ -154,6 +154,10 @@ def test_lm_scoring_loses_no_string(odd):
     same_scores(lambda **x: lm_scoring.lm_scoring(odd, F.col("doc_id") == 9, **x))
 
 
+def test_language_id_loses_no_string(odd):
+    same_scores(lambda **x: language_id.language_id(odd, F.col("doc_id") != 9, **x))
+
+
 def test_line_dedup(spark, none):
     docs = documents(spark, [(i, f"own line {i}\nShared line here.\n\n", "en", f"s{i % 5}") for i in range(1, 9)] + [(20, None, None, None), (21, "", "en", None), (None, "Shared line here.", "en", "s1")])
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.line_dedup(docs).collect()}
