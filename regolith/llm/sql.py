@@ -65,15 +65,14 @@ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 100 an
 OP7 = f"""
 with d as (select doc_id, {words(_LOWER)} as w from documents), b as (select item_id, {words(_LOWER)} as w from benchmark),
  ds as (select doc_id, i, {gram('w', 'i', 5)} as g from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)),
- bs as (select item_id, i, n, {gram('w', 'i', 5)} as g from (select item_id, w, len(w) as n, unnest(range(1, len(w) - 3)) as i from b)),
- dl as (select doc_id, len(w) as len from d),
- wn as (select distinct doc_id, item_id, greatest(ds.i - bs.i, 0) as s, least(ds.i - bs.i + n, len) as e from ds join bs on ds.g = bs.g join dl using (doc_id)),
- dc as (select doc_id, item_id, s, e, g, count(*) as c from wn join ds using (doc_id) where ds.i > s and ds.i + 4 <= e group by all),
- bc as (select item_id, g, count(*) as c from bs group by all),
- t as (select item_id, sum(c) as total from bc group by 1),
- o as (select dc.doc_id, dc.item_id, s, e, sum(dc.c) as own, sum(least(dc.c, coalesce(bc.c, 0))) as shared from dc left join bc on bc.item_id = dc.item_id and bc.g = dc.g group by all),
- m as (select doc_id, item_id, s as start_word, e - s as n_words, shared::double / (own + total - shared)::double as similarity from o join t using (item_id))
-select doc_id, item_id, start_word::bigint as start_word, n_words::bigint as n_words, similarity from m where similarity >= 0.75 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start_word) = 1
+ bc as (select item_id, {gram('w', 'i', 5)} as g, count(*) as c from (select item_id, w, unnest(range(1, len(w) - 3)) as i from b) group by 1, 2),
+ t as (select item_id, sum(c)::bigint as total from bc group by 1),
+ pr as (select doc_id, item_id, any_value(total) as total from ds join bc using (g) join t using (item_id) group by 1, 2 having count(*) >= 0.75 * any_value(total)),
+ wn as (select doc_id, item_id, total, unnest(range(2 - total, len(w) - 3)) as a from pr join d using (doc_id)),
+ dc as (select wn.doc_id, item_id, total, a, g, count(*) as c from wn join ds on ds.doc_id = wn.doc_id and ds.i >= a and ds.i < a + total group by all),
+ o as (select dc.doc_id, dc.item_id, total, a, sum(dc.c) as own, sum(least(dc.c, coalesce(bc.c, 0))) as shared from dc left join bc on bc.item_id = dc.item_id and bc.g = dc.g group by all),
+ m as (select doc_id, item_id, greatest(a, 1) - 1 as start_word, own + 4 as n_words, shared::double / (own + total - shared)::double as similarity from o)
+select doc_id, item_id, start_word::bigint as start_word, n_words::bigint as n_words, similarity from m where similarity >= 0.75 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start_word, n_words desc) = 1
 """
 
 OP8 = f"""
