@@ -31,28 +31,28 @@ select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, (select min(root) from
 """
 
 _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
-_COUNT = "(length({0}) - length(translate({0}, '{1}', '')))"
-_N = f"(1 + length(x) - length(regexp_replace(x, '[\\x20\\x09\\x0B-\\x0D]', '', 'g')))"
-_FAIL = (
-    f"(({_COUNT.format('x', '|')} >= 2 and {_COUNT.format('x', '|')} * 4 >= {_N})"
-    f" or ({_COUNT.format('x', '#*$%&<>')} >= 3 and {_COUNT.format('x', '#*$%&<>')} * 2 > {_N})"
-    f" or ({_COUNT.format('x', '!')} >= 4 and {_COUNT.format('x', '!')} * 2 > {_N})"
-    f" or ({_N} <= 25 and (" + " or ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE) + "))"
-    f" or ({_N} < 3 and not regexp_matches(x, '[.!?:;…\"'')\\]»”。！？]$')))"
-)
+_COUNT = "len(regexp_extract_all({0}, '{1}'))"
+_STOCK = " or ".join("contains(lower(x), '{}')".format(p.replace("'", "''")) for phrases in BOILERPLATE.values() for p in phrases)
+# one line x of n words: navigation, links, symbols, shouting, furniture, punctuation
+_FAIL = f"""
+ (bars >= 2 and bars >= n / 4) or (links >= 2 and links >= n / 4) or (symbols >= 3 and symbols > n / 2) or (shouts >= 4 and shouts > n / 2)
+ or (n <= 25 and ({_STOCK})) or (n < 8 and not closed)
+"""
 OP2 = f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
  w as (select *, {words('text')} as w, list_filter(string_split(text, chr(10)), lambda x: {_TRIM.format('x')} <> '') as ls from d),
  g as (select rid, i, {gram('w', 'i', 5)} as g from (select rid, w, unnest(range(1, len(w) - 3)) as i from w)),
  rep as (select rid, i from (select *, count(*) over (partition by rid, g) as c from g) where c >= 2),
  cov as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + 5)) as p from rep) group by 1),
- l as (select rid, list_transform(ls, lambda x: {_TRIM.format('x')}) as ls from w),
- v as (select rid, len(ls) as n, list_filter(ls, lambda x: not {_FAIL}) as good, list_sum(list_transform(ls, lambda x: length(x))) as total from l),
- q as (select rid, n, n - len(good) as bad, coalesce(list_sum(list_transform(good, lambda x: length(x))), 0) / total as share from v),
- b as (select w.rid, doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '{_SPACE}', '', 'g'))::bigint as word_chars, {_COUNT.format('text', '#*$%&|<>')}::bigint as n_symbols,
+ x as (select rid, {_TRIM.format('x')} as x from (select rid, unnest(ls) as x from w)),
+ y as (select rid, x, len({words('x')})::double as n, {_COUNT.format('x', '[|»›·•]')} as bars, {_COUNT.format('x', 'https?://|www[.]')} as links, {_COUNT.format('x', '[#*$%&<>]')} as symbols, {_COUNT.format('x', '!')} as shouts,
+  right(x, 1) in ('.', '!', '?', ':', ';', '…', '"', '''', ')', ']', '»', '”', '。', '！', '？') as closed from x),
+ z as (select rid, length(x) as size, {_FAIL} as fails from y),
+ q as (select rid, count(*) as n, count(*) filter (fails) as bad, coalesce(sum(size) filter (not fails), 0) / sum(size) as share from z group by 1),
+ b as (select w.rid, doc_id, len(w)::bigint as n_words, length(regexp_replace(text, '{_SPACE}', '', 'g'))::bigint as word_chars, {_COUNT.format('text', '[#*$%&|<>]')}::bigint as n_symbols,
   (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(cov.n, 0)::bigint as n_repeat_words from w left join cov using (rid))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
- not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and coalesce(share, 0) >= 0.5 as kept, n::bigint as n_lines, bad::bigint as n_failed_lines from b join q using (rid)
+ not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and coalesce(share, 0) >= 0.5 as kept, coalesce(n, 0)::bigint as n_lines, coalesce(bad, 0)::bigint as n_failed_lines from b left join q using (rid)
 """
 
 OP6 = """

@@ -240,3 +240,19 @@ def test_warc(spark, tmp_path):
             assert fields["warc-record-id"] == warc._name(i)
     assert sum(r.bytes for r in warc.export_files(bundles, str(tmp_path)).collect()) == sum(p.stat().st_size for p in tmp_path.glob("*.warc.zst"))
     assert warc.read_warc(warc.write_warc(pages.limit(0))).collect() == []
+
+
+def test_quality_rules_judge_lines_by_their_words(spark):
+    tail = " and then more plain words close the sentence."
+    lines = {
+        "Buy    now": True, "Buy now": True, "Plain words" + tail: False, "Plain  words" + tail: False,
+        "home | news | about": True, "Inicio » Noticias » Aviso": True, "see http://a.b and www.c.d now please.": True,
+        "Alle Rechte vorbehalten, siehe unten.": True, "Lire la suite de cet article.": True, "Haga clic aquí para verlo todo.": True,
+        "one two three four five six seven eight": False, "one two three four five six seven": True, "One two three four five six seven.": False,
+        "### *** now": True, "WIN!!!! now": True,
+    }
+    docs = documents(spark, [(i, x, "en", "a") for i, x in enumerate(lines)])
+    got = {r.doc_id: r.n_failed_lines for r in quality_rules.quality_rules(docs).collect()}
+    assert got == {i: int(x) for i, x in enumerate(lines.values())}
+    together = documents(spark, [(1, "\n".join(lines), "en", "a")])
+    assert quality_rules.quality_rules(together).first().n_failed_lines == sum(lines.values())
