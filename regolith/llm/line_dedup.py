@@ -1,15 +1,17 @@
 """Cross-site line dedup by distinct-site spread, in DataFrame functions.
 
-A line's key is two 64-bit hashes of its stripped text.  One HyperLogLog sketch of sites a
-key is built by partial aggregation and merged after the shuffle.  Keys whose estimate is
-within a factor of two of ``min_sites`` get an exact distinct count, for which (key, site)
-pairs are made distinct map-side first; above that the estimate decides.  A line on
+A line's key is two 64-bit hashes of its stripped text.  Lines aggregate to (key, site) with
+their smallest document, partially in each task.  One HyperLogLog sketch of sites a key merges
+from these; keys whose estimate is within a factor of two of ``min_sites`` get an exact
+distinct count from the same exchange; above that the estimate decides.  A line on
 ``min_sites`` sites or more is boilerplate and is removed wherever it stands, except in the
 document with the smallest id that has it.
 
-Frequent lines meet as one partial row a task, never as all their rows.  Removal flags come
-back to documents in line order, so texts are cut in one pass; documents whose lines all
-stay are not touched.
+Frequent lines meet as one partial row a task and site, never as all their rows: the boilerplate
+keys, a stored table, are sent to the lines if their counted number is at most ``BROADCAST_LIMIT``;
+beyond, lines join them by shuffle under ``SALTS`` salts, of which each key has all.  Removal
+flags come back to documents in line order, so texts are cut in one pass; documents whose
+lines all stay are not touched.
 
 Defined results: null and empty texts have no lines and come back as they are; a null site
 counts as one site of its own; a null id counts as larger than all others; blank lines are
@@ -23,9 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .native import stripped
-from .textkit import required
+from .textkit import materialize, required
 
 MIN_SITES = 4
+BROADCAST_LIMIT = 500_000
+SALTS = 32
 _LAST = (1 << 63) - 1
 
 
@@ -38,21 +42,32 @@ def site_lines(docs: DataFrame) -> DataFrame:
 
 def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
     """(k1, k2, first) of lines on at least ``min_sites`` sites; ``first`` is their smallest id."""
-    spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site").alias("sketch"), F.min("rid").alias("first"))
+    pairs = lines.groupBy("k1", "k2", "site").agg(F.min("rid").alias("first"))
+    spread = pairs.groupBy("k1", "k2").agg(F.hll_sketch_agg("site").alias("sketch"), F.min("first").alias("first"))
     spread = spread.select("k1", "k2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") * 2 >= min_sites)
     sure = spread.where(F.col("sites") > 2 * min_sites).select("k1", "k2", "first")
     close = spread.where(F.col("sites") <= 2 * min_sites).select("k1", "k2", "first")
-    pairs = lines.join(close.select("k1", "k2"), ["k1", "k2"], "left_semi").select("k1", "k2", "site").distinct()
-    exact = pairs.groupBy("k1", "k2").count().where(F.col("count") >= min_sites).select("k1", "k2")
-    return sure.unionByName(close.join(exact, ["k1", "k2"], "left_semi"))
+    exact = pairs.select("k1", "k2").join(close.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").count()
+    return sure.unionByName(close.join(exact.where(F.col("count") >= min_sites), ["k1", "k2"], "left_semi"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def marked(lines: DataFrame, keys: DataFrame, broadcast_limit: int) -> DataFrame:
+    """Lines that are boilerplate and not in the first document of theirs."""
+    keys = materialize(keys, "boilerplate")
+    if keys.count() <= broadcast_limit:
+        found = lines.join(F.broadcast(keys), ["k1", "k2"])
+    else:
+        keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = lines.withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS)).cast("int")).join(keys, ["k1", "k2", "salt"])
+    return found.where("rid > first")
+
+
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept) a row: its lines that are not blank, how many of them
     went, and the text without them."""
     d = required(docs, id_col, text_col, site_col).toDF("doc_id", "text", "site")
     d = d.select("doc_id", "text", *_keys(F.col("doc_id"), F.col("text")), F.coalesce(F.col("site").cast("string"), F.lit("\0")).alias("site"))
-    return _cut(d, min_sites).select(
+    return _cut(d, min_sites, broadcast_limit).select(
         "doc_id",
         F.coalesce(F.size(F.filter(F.split("text", "\n", -1), lambda x: stripped(x) != "")), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(F.filter("flags", lambda f: f)), F.lit(0)).cast("long").alias("n_removed"),
@@ -64,10 +79,9 @@ def _keys(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit(_LAST)).alias("rid"), F.xxhash64(text).alias("th")]
 
 
-def _cut(d: DataFrame, min_sites: int) -> DataFrame:
+def _cut(d: DataFrame, min_sites: int, broadcast_limit: int) -> DataFrame:
     lines = site_lines(d.where("text is not null"))
-    marked = lines.join(boilerplate_keys(lines, min_sites), ["k1", "k2"]).where(F.col("rid") > F.col("first"))
-    flags = marked.groupBy("rid", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    flags = marked(lines, boilerplate_keys(lines, min_sites), broadcast_limit).groupBy("rid", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     # positions to one flag a line: each gap is a run of kept lines before a removed one
     runs = F.transform("gone", lambda p, i: F.concat(F.array_repeat(F.lit(False), F.when(i == 0, p).otherwise(p - F.get(F.col("gone"), i - 1) - 1)), F.array(F.lit(True))))
     flags = flags.select("rid", "th", F.flatten(runs).alias("flags"))
@@ -76,12 +90,12 @@ def _cut(d: DataFrame, min_sites: int) -> DataFrame:
     return out.withColumn("kept", F.when(F.col("flags").isNull(), F.col("text")).otherwise(left))
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text; all rows and columns stay."""
     names = docs.columns
     rows = docs.toDF(*[f"_c{i}" for i in range(len(names))])
     by = {n: F.col(f"_c{names.index(n)}") for n in (id_col, text_col, site_col)}
     site = F.coalesce(by[site_col].cast("string"), F.lit("\0"))
     d = rows.select("*", *_keys(by[id_col], by[text_col]), site.alias("site"), by[text_col].alias("text"))
-    out = _cut(d, min_sites)
+    out = _cut(d, min_sites, broadcast_limit)
     return out.select(*[F.col("kept" if i == names.index(text_col) else f"_c{i}") for i in range(len(names))]).toDF(*names)

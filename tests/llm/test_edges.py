@@ -164,6 +164,8 @@ def test_line_dedup(spark, none):
     assert got[1] == (2, 0, "own line 1\nShared line here.\n\n")
     assert got[2] == (2, 1, "own line 2\n\n")
     assert got[20] == (0, 0, None) and got[21] == (0, 0, "") and got[None] == (1, 1, "")
+    shuffled = line_dedup.line_dedup(docs, broadcast_limit=0)
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in shuffled.collect()} == got
     cut = line_dedup.without_boilerplate(docs)
     assert cut.columns == docs.columns and cut.count() == docs.count()
     assert line_dedup.line_dedup(none).collect() == []
