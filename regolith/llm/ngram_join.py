@@ -8,25 +8,27 @@ A document's set holds the 64-bit hashes of its distinct ``k``-word shingles.
    pre-aggregated per chunk, to hash buckets.  Any document with a partner at the
    threshold shares at least ``need`` prefix elements with others; all others leave here.
    Equal sets collapse to their smallest id.
-2. *Stars.*  Survivors that share a min-hash are checked against the group's smallest id.
-   This only shortens later work: it links big groups of near copies through one pivot
-   instead of through all pairs.
-3. *Tiles.*  Sets are ordered by document frequency, rarest first.  A pair at the
+2. *Tiles.*  Sets are ordered by document frequency, rarest first.  A pair at the
    threshold must share an element of both overlap prefixes, and their sizes fall in the
    same or adjacent size bands, so each survivor enters the tiles (element, band) of its
-   prefix.  Each tile's members are first checked against its hub, the member whose
-   elements are the most frequent.  Tiles whose members are then all one component are
-   dropped by aggregation; large tiles split into blocks that meet pairwise.  In a tile, bitmap
-   signatures whose bit counts bound the overlap from above reject most pairs.
-4. *Exact.*  Sorted arrays of the remaining pairs are intersected.
-
-All steps but stars and hubs are lossless filters, so every link between different sets is either found
-or joins two documents already connected through verified links.
+   prefix.  All links come from tiles: bitmap signatures whose bit counts bound the overlap
+   from above reject most pairs, then sorted arrays are intersected exactly.
+3. *Hubs.*  A tile's hub is the member whose elements are the most frequent.  Each member is
+   first compared with the strongest hub of its tiles, then with all hubs of tiles that still hold
+   several components.  This links big groups of near copies through few pivots.
+4. *Rest.*  Tiles whose members are then all one component are dropped by aggregation; in the
+   others all pairs of different components that pass the bounds on size, on the elements left
+   behind the shared one, and on bits are intersected.  Large tiles split into blocks that meet
+   pairwise.
+
+Hubs only shorten the rest, which is a lossless filter, so every link between different sets is
+either found or joins two documents already connected through verified links.
 
 Defined results: null text, empty text or no words give an empty set, linked with nothing;
-fewer than ``k`` words give one shingle; of several rows with one id that with the largest
-set counts (then the larger fingerprint); rows without an id are left out; an empty table
-gives an empty result; other columns are ignored.
+fewer than ``k`` words give one shingle; every row is returned; of rows with one id that with
+the largest set counts (then the larger fingerprint); a null id counts as larger than all others
+and rows without one differ by their texts (ids below 2^62 are assumed); an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -55,7 +57,6 @@ from .textkit import (
     power_of_two,
     required,
     windows,
-    without_ids,
 )
 
 BLOCK = 256
@@ -202,9 +203,8 @@ def survey(docs: DataFrame, threshold: Fraction, k: int) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.max(figures).alias("f"), F.sum("shared").alias("shared")).select("doc_id", "f.*", "shared")
 
 
-def _arrays(threshold: Fraction, k: int):
-    """Texts to (doc_id, n, set fingerprint, tokens, four min-hashes)."""
-    seeds = mix(np.arange(101, 105, dtype=U64)) | U64(1)
+def _arrays(k: int):
+    """Texts to (doc_id, n, set fingerprint, tokens)."""
 
     def run(batches):
         for batch in batches:
@@ -215,10 +215,9 @@ def _arrays(threshold: Fraction, k: int):
                 sets = list(shingle_sets(words, words.hashes(lower=True), k))
                 fa = np.array([s.sum(dtype=U64) for s in sets], dtype=U64).view(np.int64)
                 fb = np.array([np.bitwise_xor.reduce(mix(s * U64(0x9FB21C651E98DF25))) for s in sets], dtype=U64).view(np.int64)
-                low = [[int(mix(s * m).min().view(np.int64)) for m in seeds] if len(s) else [0] * 4 for s in sets]
                 yield pa.record_batch(
-                    [ids.slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fa), pa.array(fb), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(low, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "fa", "fb", "tokens", "low"],
+                    [ids.slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fa), pa.array(fb), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "n", "fa", "fb", "tokens"],
                 )
 
     return run
@@ -298,8 +297,8 @@ def _frequency(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("chunk").combine_chunks().cast(pa.int32()), pa.array(out_t, pa.binary()), pa.array(out_c, pa.binary())], schema=schema)
 
 
-_TILE = pa.schema([("tok", pa.int64()), ("band", pa.int32()), ("home", pa.bool_()), ("doc_id", pa.int64()), ("comp", pa.int64()), ("n", pa.int64()), ("weight", pa.int64())])
-_TILE_SQL = "tok long, band int, home boolean, doc_id long, comp long, n long, weight long"
+_TILE = pa.schema([("tok", pa.int64()), ("band", pa.int32()), ("home", pa.bool_()), ("doc_id", pa.int64()), ("n", pa.int32()), ("rest", pa.int32()), ("weight", pa.int64())])
+_TILE_SQL = "tok long, band int, home boolean, doc_id long, n int, rest int, weight long"
 
 
 def _prefixes(threshold: Fraction):
@@ -315,7 +314,7 @@ def _prefixes(threshold: Fraction):
         if not len(tok):
             return _TILE.empty_table()
         cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-        for doc, comp, n, raw in zip(members.column("doc_id").to_pylist(), members.column("comp").to_pylist(), members.column("n").to_pylist(), members.column("tokens"), strict=True):
+        for doc, n, raw in zip(members.column("doc_id").to_pylist(), members.column("n").to_pylist(), members.column("tokens"), strict=True):
             mine = np.frombuffer(raw.as_buffer(), dtype=U64)
             at = np.searchsorted(tok, mine)
             at[at == len(tok)] = 0
@@ -327,8 +326,9 @@ def _prefixes(threshold: Fraction):
             pick = mine[np.lexsort((mine, freq))][: len(mine) - least + 1]
             band = int(np.searchsorted(edges, n, side="right")) - 1
             m, weight = len(pick), int(1000 * freq.sum(dtype=np.int64) / n)
+            rest = len(mine) - np.arange(m)  # shared elements from this one on
             for to, home in ((band, True), (band + 1, False)):
-                for c, v in zip(cols, (pick.view(np.int64), np.full(m, to), np.full(m, home), np.full(m, doc), np.full(m, comp), np.full(m, n), np.full(m, weight)), strict=True):
+                for c, v in zip(cols, (pick.view(np.int64), np.full(m, to), np.full(m, home), np.full(m, doc), np.full(m, n), rest, np.full(m, weight)), strict=True):
                     c.append(v)
         if not cols[0]:
             return _TILE.empty_table()
@@ -347,7 +347,8 @@ def _tile_pairs(threshold: Fraction):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _PAIR.empty_table()
-        tok, band, one, two, part, doc, comp, n = (table.column(c).to_numpy() for c in ("tok", "band", "x", "y", "part", "doc_id", "comp", "n"))
+        tok, band, one, two, part, doc, comp = (table.column(c).to_numpy() for c in ("tok", "band", "x", "y", "part", "doc_id", "comp"))
+        n, rest = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "rest"))
         home = np.array(table.column("home").to_pylist(), dtype=bool)
         sigs = [x.as_buffer() for x in table.column("sig")]
         order = np.lexsort((doc, two, one, band, tok))
@@ -372,6 +373,8 @@ def _tile_pairs(threshold: Fraction):
                     ok &= part[w] != part[p]
                 lo, hi = np.minimum(n[w], n[p]), np.maximum(n[w], n[p])
                 ok &= den * lo >= num * hi
+                # at the first element that two prefixes share, the overlap is at most what is left behind it
+                ok &= (den + num) * np.minimum(rest[w], rest[p]) >= num * (n[w] + n[p])
                 q, w = q[ok], w[ok]
                 if not len(q):
                     continue
@@ -409,13 +412,90 @@ def _signatures(threshold: Fraction):
     return run
 
 
+def _bound(threshold: Fraction):
+    """Pairs whose bit counts allow the threshold."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(batches):
+        for batch in batches:
+            n = [batch.column(i).to_numpy().astype(np.int64) for i in (2, 3)]
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=U64) for c in (4, 5))
+                both = int(np.bitwise_count(x & y).sum(dtype=np.int64))
+                most = min(n[0][i] - int(np.bitwise_count(x).sum(dtype=np.int64)) + both, n[1][i] - int(np.bitwise_count(y).sum(dtype=np.int64)) + both)
+                keep.append(den * most >= num * (n[0][i] + n[1][i] - most))
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def bounded(pairs: DataFrame, sigs: DataFrame, threshold: Fraction) -> DataFrame:
+    """Those of the pairs (a, b, band, na, nb) that the bitmaps of their band leave, once each."""
+    x = sigs.select(F.col("doc_id").alias("a"), "band", F.col("sig").alias("sa"))
+    y = sigs.select(F.col("doc_id").alias("b"), "band", F.col("sig").alias("sb"))
+    both = pairs.join(x, ["a", "band"]).join(y, ["b", "band"]).select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(_bound(threshold), "a long, b long").distinct()
+
+
+_CROWD = ["tok", "band"]
+
+
+def mixed_tiles(tiles: DataFrame) -> DataFrame:
+    """Tiles of two components or more that a pair can meet in: their size and hub."""
+    # the member whose elements are the most frequent stands closest to what the others copy
+    hub = F.max(F.struct("weight", (-F.col("doc_id")).alias("m"), "n", "comp")).alias("hub")
+    return tiles.groupBy(*_CROWD).agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("home").alias("h"), hub).where("c0 <> c1 and h")
+
+
+def hub_pairs(tiles: DataFrame, threshold: Fraction, strongest: bool) -> DataFrame:
+    """(a, b, band, na, nb): members and hubs of their tiles, or each member's strongest hub alone."""
+    hubs = mixed_tiles(tiles).select(*_CROWD, F.col("hub.n").alias("nb"), F.col("hub.comp").alias("hc"), (-F.col("hub.m")).alias("b"), F.col("hub.weight").alias("hw"))
+    near = tiles.join(hubs, _CROWD).where(f"comp <> hc and {threshold.denominator} * least(n, nb) >= {threshold.numerator} * greatest(n, nb)")
+    near = near.withColumnRenamed("doc_id", "a")
+    if strongest:
+        best = near.groupBy("a").agg(F.max(F.struct("hw", (-F.col("b")).alias("m"), "band", "n", "nb")).alias("x"))
+        return best.select("a", (-F.col("x.m")).alias("b"), F.col("x.band").alias("band"), F.col("x.n").alias("na"), F.col("x.nb").alias("nb"))
+    return near.groupBy("a", "b").agg(F.min("band").alias("band"), F.first("n").alias("na"), F.first("nb").alias("nb"))
+
+
+def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """``rows`` with the component of their ``doc_id``, itself where it has none."""
+    return rows.drop("comp").join(label.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
+
+
+def rest_pairs(tiles: DataFrame, sigs: DataFrame, threshold: Fraction, spread: int) -> DataFrame:
+    """Pairs of different components in mixed tiles that pass all bounds, once each."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = tiles.join(mixed_tiles(tiles).select(*_CROWD, parts.alias("parts")), _CROWD)
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.withColumn("x", F.least("part", "o")).withColumn("y", F.greatest("part", "o")).drop("o", "parts", "weight")
+    placed = placed.join(sigs, ["doc_id", "band"])
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("tok", "band", "x", "y"), F.lit(spread)).cast("int"))
+    return placed.groupBy("bucket").applyInArrow(_tile_pairs(threshold), "a long, b long").distinct()
+
+
+_NO_ID = 1 << 62
+
+
+def _node(id_col: str, text_col: str) -> Column:
+    """The id, or for rows without one a number above all ids that tells texts apart."""
+    own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
+    return F.coalesce(F.col(f"`{id_col}`").cast("long"), own)
+
+
 def ngram_join(docs: DataFrame, threshold: float = 0.75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): set size, smallest id with the same set,
-    and smallest id reachable over links of Jaccard ``>= threshold``."""
+    and smallest id reachable over links of Jaccard ``>= threshold``; a row for each of ``docs``."""
+    rows = required(docs, id_col, text_col).toDF("doc_id", "text").select(_node("doc_id", "text").alias("doc_id"), "text")
+    out = rows.select("doc_id").join(_components(rows, Fraction(threshold).limit_denominator(1000), k), "doc_id")
+    known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c)).alias(c)
+    return out.select(known("doc_id"), "n_shingles", known("class_id"), known("component_id"))
+
+
+def _components(docs: DataFrame, t: Fraction, k: int) -> DataFrame:
     bound_batches(docs.sparkSession)
-    t = Fraction(threshold).limit_denominator(1000)
-    docs = required(docs, id_col, text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    docs = docs.where("doc_id is not null")
     counted = materialize(survey(docs, t, k), "survey")
     key = [F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("fa", "fb")]
     classes = counted.select("doc_id", "n", *key, "shared")
@@ -425,55 +505,40 @@ def ngram_join(docs: DataFrame, threshold: float = 0.75, k: int = 5, id_col: str
     alive = classes.where(f"n > 0 and shared >= {need}").join(firsts, ["n", "fa", "fb"], "left_semi")
     reps = firsts.where("n > 0").select(F.col("class_id").alias("doc_id"))
     alive = alive.join(reps, "doc_id", "left_semi").select("doc_id", "n", "fa", "fb")
-    arrays = docs.join(alive.select("doc_id"), "doc_id", "left_semi").mapInArrow(_arrays(t, k), "doc_id long, n long, fa long, fb long, tokens binary, low array<long>")
-    arrays = materialize(arrays.join(alive, ["doc_id", "n", "fa", "fb"], "left_semi").dropDuplicates(["doc_id"]), "arrays")
-
-    low = arrays.select("doc_id", F.posexplode("low").alias("j", "v"))
-    pivot = low.groupBy("j", "v").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = low.join(pivot, ["j", "v"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    star_edges = materialize(verified(stars, arrays, t), "stars")
-    label = connected_components(star_edges)
+    arrays = docs.join(alive.select("doc_id"), "doc_id", "left_semi").mapInArrow(_arrays(k), "doc_id long, n long, fa long, fb long, tokens binary")
+    arrays = arrays.join(alive, ["doc_id", "n", "fa", "fb"], "left_semi").dropDuplicates(["doc_id"])
+    arrays = materialize(arrays.select("doc_id", "n", "tokens"), "arrays")
 
     chunks = max(4, -(-arrays.count() // 2000))
-    named = arrays.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    named = named.select("doc_id", "n", "tokens", F.coalesce("component", "doc_id").alias("comp"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    named = materialize(named, "named")
+    dealt = arrays.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     buckets = power_of_two(max(16, chunks))
-    sent = named.groupBy("chunk").applyInArrow(_chunk_elements(buckets), "bucket int, chunk int, tok binary, cnt binary")
+    sent = dealt.groupBy("chunk").applyInArrow(_chunk_elements(buckets), "bucket int, chunk int, tok binary, cnt binary")
     back = sent.groupBy("bucket").applyInArrow(_frequency, "chunk int, tok binary, cnt binary")
-    tiles = materialize(named.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_prefixes(t), _TILE_SQL), "tiles")
-
-    # the member whose elements are the most frequent stands closest to what the others copy
-    crowd = ["tok", "band"]
-    mixed = lambda d: d.groupBy(*crowd).agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("home").alias("h"), F.max(F.struct("weight", (-F.col("doc_id")).alias("m"), "n", "comp")).alias("hub")).where("c0 <> c1 and h")
-    near = tiles.join(mixed(tiles).select(*crowd, F.col("hub.n").alias("hn"), F.col("hub.comp").alias("hc"), (-F.col("hub.m")).alias("b")), crowd)
-    near = near.where(f"comp <> hc and {t.denominator} * least(n, hn) >= {t.numerator} * greatest(n, hn)").select(F.col("doc_id").alias("a"), "b").distinct()
-    hub_edges = materialize(verified(near, arrays, t), "hubs")
-    label = connected_components(hub_edges.union(label.select("node", "component")))
-    tiles = tiles.drop("comp").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("component")
-    tiles = materialize(tiles, "tiles")
-    named = named.drop("comp").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    mixed = mixed(tiles)
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = tiles.join(mixed.select("tok", "band", parts.alias("parts")), ["tok", "band"])
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = placed.withColumn("x", F.least("part", "o")).withColumn("y", F.greatest("part", "o")).drop("o", "parts", "weight")
+    tiles = materialize(dealt.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_prefixes(t), _TILE_SQL), "tiles")
     sigs = arrays.select("doc_id", "tokens").mapInArrow(_signatures(t), "doc_id long, band int, sig binary")
-    placed = placed.join(sigs, ["doc_id", "band"])
-    spread = power_of_two(max(TILE_BUCKETS, chunks * 4))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("tok", "band", "x", "y"), F.lit(spread)).cast("int"))
-    found = placed.groupBy("bucket").applyInArrow(_tile_pairs(t), "a long, b long").distinct()
-    late_edges = materialize(verified(found, arrays, t), "late")
 
-    roots = connected_components(late_edges.join(label.select(F.col("node").alias("a"), F.col("component").alias("ra")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("component").alias("rb")), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    named_root = named.select("doc_id", "comp").join(roots.withColumnRenamed("node", "comp"), "comp", "left").select(F.col("doc_id").alias("class_id"), F.coalesce("component", "comp").alias("component_id"))
-    out = classes.join(firsts, ["n", "fa", "fb"]).join(named_root, "class_id", "left")
+    own = tiles.withColumn("comp", F.col("doc_id"))
+    label = None
+    for strongest in (True, False):
+        edges = materialize(verified(bounded(hub_pairs(own, t, strongest), sigs, t), arrays, t), "hubs")
+        label = connected_components(edges if label is None else edges.union(label.select("node", "component")))
+        own = materialize(labelled(tiles, label), "tiles")
+    late = materialize(verified(rest_pairs(own, sigs, t, power_of_two(max(TILE_BUCKETS, chunks * 4))), arrays, t), "rest")
+    # the links that are left join components, which are fewer than documents
+    ends = labelled(labelled(late.withColumnRenamed("a", "doc_id"), label).select(F.col("comp").alias("ra"), F.col("b").alias("doc_id")), label)
+    roots = connected_components(ends.select(F.col("ra").alias("a"), F.col("comp").alias("b")))
+    root = labelled(arrays.select("doc_id"), label).join(roots.withColumnRenamed("node", "comp"), "comp", "left").select(F.col("doc_id").alias("class_id"), F.coalesce("component", "comp").alias("component_id"))
+    out = classes.join(firsts, ["n", "fa", "fb"]).join(root, "class_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its near-copy component."""
-    groups = ngram_join(docs, **options)
-    lost = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return without_ids(docs, options.get("id_col", "doc_id"), lost)
+def keep_one(docs: DataFrame, threshold: float = 0.75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its near-copy component; rows without an
+    id go if a row with one is near."""
+    rows = required(docs, id_col, text_col).toDF("doc_id", "text").select(_node("doc_id", "text").alias("doc_id"), "text")
+    groups = _components(rows, Fraction(threshold).limit_denominator(1000), k)
+    lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
+    names = docs.columns
+    at = {c: f"_c{names.index(c)}" for c in (id_col, text_col)}
+    named = docs.toDF(*[f"_c{i}" for i in range(len(names))])
+    return named.join(lost, _node(at[id_col], at[text_col]) == F.col("_lost"), "left_anti").toDF(*names)

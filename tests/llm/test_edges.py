@@ -44,11 +44,12 @@ def rows(df, *cols):
 
 def test_ngram_join(odd, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(odd).collect()}
-    assert got == {1: (36, 1), 2: (36, 1), 3: (35, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (1, 7), 8: (59_996, 8), 9: (59_997, 8), 10: (1, 10), 11: (36, 1)}
+    assert got == {1: (36, 1), 2: (36, 1), 3: (35, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (1, 7), 8: (59_996, 8), 9: (59_997, 8), 10: (1, 10), 11: (36, 1), None: (36, 1)}
+    assert ngram_join.ngram_join(odd).count() == odd.count()
     assert ngram_join.ngram_join(none).collect() == []
     kept = ngram_join.keep_one(odd)
     assert kept.columns == odd.columns
-    assert {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 7, 8, 10, None}
+    assert {r.doc_id for r in kept.collect()} == {1, 4, 5, 6, 7, 8, 10}
 
 
 def test_ngram_threshold_is_exact(spark):
@@ -258,3 +259,47 @@ def test_quality_rules_judge_lines_by_their_words(spark):
     assert got == {i: int(x) for i, x in enumerate(lines.values())}
     together = documents(spark, [(1, "\n".join(lines), "en", "a")])
     assert quality_rules.quality_rules(together).first().n_failed_lines == sum(lines.values())
+
+
+def test_ngram_join_rests_on_tiles(spark, monkeypatch):
+    """Without hubs the tiles' pairs alone give all links; with them, hubs give some."""
+    rng = np.random.default_rng(3)
+    base = [[f"w{g}x{i}" for i in range(60)] for g in range(12)]
+    rows = []
+    for i in range(240):
+        x = list(base[i % 12])
+        for _ in range(int(rng.integers(0, 4))):
+            x[int(rng.integers(0, 60))] = f"z{rng.integers(0, 9)}"
+        rows.append((i, " ".join(x), "en", "a"))
+    docs = documents(spark, rows)
+    want = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(56)} for i, t, *_ in rows}
+    up = {i: i for i in sets}
+
+    def root(x):
+        return x if up[x] == x else root(up[x])
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    assert want == {i: root(i) for i in sets}
+    found = []
+    verified = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda pairs, *x: found.append(verified(pairs, *x)) or found[-1])
+    ngram_join.ngram_join(docs)
+    assert found[0].count() > 0
+    hubs = ngram_join.hub_pairs
+    monkeypatch.setattr(ngram_join, "hub_pairs", lambda *x: hubs(*x).limit(0))
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()} == want
+    assert found[-1].count() > 0
+
+
+def test_ngram_join_of_a_thousand_near_misses(spark):
+    # all share 30 of 46 shingles: every pair meets in tiles of a thousand, over several blocks, and none links
+    shared = [f"s{i}" for i in range(34)]
+    docs = documents(spark, [(i, " ".join([*shared, *[f"o{i}x{j}" for j in range(16)]]), "en", "a") for i in range(1000)] + [(5000, " ".join([*shared, *[f"o7x{j}" for j in range(15)], "end"]), "en", "a")])
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
+    assert got.pop(5000) == 7 and got == {i: i for i in range(1000)}
