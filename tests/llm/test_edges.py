@@ -303,3 +303,45 @@ def test_ngram_join_of_a_thousand_near_misses(spark):
     docs = documents(spark, [(i, " ".join([*shared, *[f"o{i}x{j}" for j in range(16)]]), "en", "a") for i in range(1000)] + [(5000, " ".join([*shared, *[f"o7x{j}" for j in range(15)], "end"]), "en", "a")])
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
     assert got.pop(5000) == 7 and got == {i: i for i in range(1000)}
+
+
+def test_quality_risk_against_its_definition():
+    """Gradient of the non-negative risk by finite differences of the plain formula, bracket open and closed."""
+    rng = np.random.default_rng(1)
+    pos, unl = rng.normal(1, 1, (40, 3)), rng.normal(0, 1, (60, 3))
+    cuts = [np.quantile(unl[:, j], np.linspace(0.1, 0.9, 9)) for j in range(3)]
+    for ranking, prior in ((True, 0.3), (False, 0.4), (False, 0.97)):
+        m = quality_classifier.PULinear(np.zeros((2, 1)), cuts, ranking)
+        m.weight = rng.normal(0, 0.3, len(m.weight))
+
+        def parts(w, m=m, prior=prior, ranking=ranking):
+            loss = (lambda z: np.log1p(np.exp(z))) if ranking else (lambda z: 1 / (1 + np.exp(-z)))
+            z = lambda x: np.array([sum(w[j * 13 + int((c <= v).sum())] for j, (c, v) in enumerate(zip(m.cuts, r, strict=True))) for r in x]) + w[-1]
+            return prior * loss(-z(pos)).mean(), loss(z(unl)).mean() - prior * loss(z(pos)).mean()
+
+        w = np.append(m.weight, m.bias)
+        g, bracket = m.gradient(m.bins(pos), m.unlabelled(m.bins(unl)), prior)
+        plus, minus = parts(w)
+        assert np.allclose(m.risk(m.bins(pos), m.unlabelled(m.bins(unl)), prior), (plus, minus)) and np.isclose(bracket, minus)
+        for i in range(len(w)):
+            e = np.zeros(len(w))
+            e[i] = 1e-5
+            up, down = parts(w + e), parts(w - e)
+            want = (sum(up) - sum(down)) / 2e-5 if minus >= 0 else (up[0] - down[0]) / 2e-5
+            assert abs(g[i] - want) < 1e-6
+
+
+def test_quality_prior_is_read_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(3, 1, 4000), np.concatenate((rng.normal(3, 1, 7000), rng.normal(-3, 1, 3000)))
+    ranks = np.quantile(p, np.linspace(0, 0.99, 100))
+    above = lambda z: (z[:, None] >= ranks).sum(axis=0)
+    assert abs(quality_classifier.best_bin(above(u), len(u), above(p), len(p)) - 0.7) < 0.02
+
+
+def test_quality_learns_where_every_text_has_a_label(spark):
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    good, bad = "Some plain words stand in this sentence. It goes on.", "BUY!! NOW!! $$$ CHEAP!! %%% WIN!!"
+    docs = documents(spark, [(i, (good if i % 4 else bad) + f" n{i}", "en", "a") for i in range(200)])
+    got = {r.doc_id: r.score for r in quality_classifier.score_quality(docs, quality_classifier.fit_quality(docs, labels, F.lit(True))).collect()}
+    assert min(got[i] for i in got if i % 4) >= 0.5 > max(got[i] for i in got if not i % 4)
