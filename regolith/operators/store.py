@@ -6,19 +6,30 @@ caller writes; nothing is updated in place.
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .facets import keep_first
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the session's checkpoint folder, which all executors share.
+
+    Without that setting a local session gets a temporary folder; on a cluster it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="regolith-shared-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_shared(rows: DataFrame, name: str) -> str:
-    """Write rows below the session's checkpoint folder, which all executors share; the path."""
-    base = rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "regolith-shared")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Write rows to a fresh shared path; the path."""
+    path = shared_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return path
 
