@@ -359,4 +359,6 @@ def keep_quality(docs: DataFrame, model: PULinear | None, text_col: str = "text"
     if model is None:
         return docs
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(_keep(model, docs.columns.index(text_col)), docs.schema)
+    # by position: other columns may differ from these in case alone
+    rows = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    return rows.mapInArrow(_keep(model, docs.columns.index(text_col)), rows.schema).toDF(*docs.columns)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from regolith.llm import decontamination, language_id, line_dedup, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, substring_dedup, warc
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, TEXT_COPY string, w string, h string, rid long, site string, kept string, flags string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, TEXT string, w string, h string, rid long, site string, kept string, flags string"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
 BASE = " ".join(f"alpha{i}" for i in range(40))
 NEAR = BASE.replace("alpha20 ", "")
@@ -345,3 +345,26 @@ def test_quality_learns_where_every_text_has_a_label(spark):
     docs = documents(spark, [(i, (good if i % 4 else bad) + f" n{i}", "en", "a") for i in range(200)])
     got = {r.doc_id: r.score for r in quality_classifier.score_quality(docs, quality_classifier.fit_quality(docs, labels, F.lit(True))).collect()}
     assert min(got[i] for i in got if i % 4) >= 0.5 > max(got[i] for i in got if not i % 4)
+
+
+def test_every_pipeline_stage_on_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, blanks, long texts, ties, repeats and clashing names pass all stages; so does an empty table."""
+    import corpus_pipeline as C
+
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two three four five six seven"), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    folder = f"file://{tmp_path}"
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, odd, folder)
+        assert out.columns == odd.columns, name
+        got = [r.doc_id for r in out.collect()]
+        assert {4, 5, 6} <= set(got) or name == "quality_classifier", name
+        empty = stage(spark, none, folder)
+        assert empty.columns == none.columns and empty.collect() == [], name
+    cut = {r.doc_id: (r.text, r.n_chars) for r in C.STAGES[1][1](spark, odd, folder).where("doc_id in (4, 5, 7)").collect()}
+    assert cut == {4: (None, 1), 5: ("", 0), 7: ("One\x0btwo three", 13)}
+    kept = [r.doc_id for r in C.STAGES[2][1](spark, odd, folder).collect()]
+    assert sorted(x for x in kept if x) == [1, 4, 5, 6, 7, 8, 10] and None not in kept
+    pieces = C.STAGES[-1][1](spark, odd, folder)
+    assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in odd.collect()}
+    assert C.STAGES[-1][1](spark, none, folder).collect() == []
