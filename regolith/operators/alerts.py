@@ -95,9 +95,13 @@ def evaluate(rules: list[Rule], signals: DataFrame, spikes: DataFrame, sentiment
         rows = match(r, signals, spikes, sentiment, shifts)
         if rows is None:
             continue
-        items = F.array_sort(F.collect_set(F.nullif("item", F.lit(""))))
-        cut = items if r.trigger in ("severity_threshold", "new_source_signal") else F.slice(items, 1, 5)
-        one = rows.groupBy(F.lit(r.name).alias("rule_name"), F.lit(r.trigger).alias("trigger_type"), F.lit(r.frequency).alias("frequency")).agg(F.count("*").alias("matches"), cut.alias("items"))
+        named = rows.select(F.lit(r.name).alias("rule_name"), F.nullif("item", F.lit("")).alias("item"))
+        counted = named.groupBy("rule_name").agg(F.count("*").alias("matches"))
+        distinct = named.where("item is not null").distinct()
+        if r.trigger not in ("severity_threshold", "new_source_signal"):
+            distinct = distinct.orderBy("item").limit(5)  # no list grows beyond what is shown
+        listed = distinct.groupBy("rule_name").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        one = counted.join(listed, "rule_name", "left").select("rule_name", F.lit(r.trigger).alias("trigger_type"), F.lit(r.frequency).alias("frequency"), "matches", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
         out = one if out is None else out.unionByName(one)
     if out is None:
         return signals.sparkSession.createDataFrame([], "rule_name string, trigger_type string, frequency string, matches long, items array<string>")

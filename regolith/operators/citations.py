@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.expr import any_of, first_filled, first_match, icase, joined_filled, matched, mdy_sort_key, rank_of, ranked_labels
+from ..functions.expr import any_of, first_filled, first_match, hits, icase, joined_filled, mdy_sort_key, rank_of, ranked_labels
 
 
 def re(c: Column, pattern: str) -> Column:
@@ -53,9 +53,9 @@ def failure_mode(c: DataFrame) -> DataFrame:
     for i, (mode, phrases) in enumerate(R.FAILURE_MODE):
         text = F.col("best_lower")
         if mode == "contamination_chemical":
-            n = F.size(matched(text, [p for p in phrases if " " in p])) + F.when(re(F.col("best_text"), R.CHEMICAL), 1).otherwise(0)
+            n = hits(text, [p for p in phrases if " " in p]) + F.when(re(F.col("best_text"), R.CHEMICAL), 1).otherwise(0)
         else:
-            n = F.size(matched(text, phrases))
+            n = hits(text, phrases)
         scores.append(F.struct(F.least(F.lit(1.0), n / F.lit(max(len(phrases) * 0.3, 1.0))).alias("score"), F.lit(-i).alias("ord"), F.lit(mode).alias("mode")))
     c = c.withColumn("_best", F.array_max(F.array(*scores)))
     none = F.col("_best.score") == 0
@@ -157,16 +157,19 @@ def fix_source_types(c: DataFrame) -> DataFrame:
 def recurrence(c: DataFrame, as_of: str) -> DataFrame:
     """Adds 90-day recurrence counts, direction and pressure, and raises repeat offenders to P1.
 
-    Blank companies are their own salted keys before the window, so they never meet in one
-    task; their counts are zero by definition."""
+    Categories and modes are fixed tables, so their counts are sent to the rows; only companies are
+    joined by shuffle, where a row without one has a key of its own: its counts are zero by definition."""
     day = lambda n: F.date_sub(F.lit(as_of).cast("date"), n)
     inside = F.col("date") >= day(90)
     company = F.nullif(F.lower(F.trim("company")), F.lit(""))
     counts = lambda key: c.where(inside).groupBy(key.alias("_k")).agg(F.count("*").alias("_n"), F.count_if(F.col("date") >= day(45)).alias("_now")).where("_k is not null")
     out = c.withColumn("_co", company)
-    for name, key in (("_co", company), ("primary_gmp_category", F.col("primary_gmp_category")), ("failure_mode", F.nullif("failure_mode", F.lit("")))):
-        side = counts(key).toDF("_k", f"_n{name}", f"_now{name}")
+    for name, key in (("primary_gmp_category", F.col("primary_gmp_category")), ("failure_mode", F.nullif("failure_mode", F.lit("")))):
+        side = F.broadcast(counts(key).toDF("_k", f"_n{name}", f"_now{name}"))  # as many rows as the fixed table has labels
         out = out.join(side, out[name] == side["_k"], "left").drop("_k")
+    out = out.withColumn("_co_key", F.coalesce("_co", F.concat(F.lit("\0"), "id")))
+    side = counts(company).toDF("_k", "_n_co", "_now_co")
+    out = out.join(side, out["_co_key"] == side["_k"], "left").drop("_k")
     less = lambda n: F.greatest(F.coalesce(n, F.lit(0)) - 1, F.lit(0)).cast("long")
     now, n = F.coalesce("_nowprimary_gmp_category", F.lit(0)), F.coalesce("_nprimary_gmp_category", F.lit(0))
     prior = n - now

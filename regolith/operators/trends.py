@@ -29,23 +29,35 @@ def spikes(signals: DataFrame, as_of: str, least: int = 2, ratio: float = 2.0) -
     return c.where((F.col("count_30d") >= least) & (F.col("count_7d") * 30 > ratio * 7 * F.col("count_30d"))).orderBy(F.desc("spike_ratio"), "ingredient")
 
 
+def _middle(rows: DataFrame) -> DataFrame:
+    """(middle): the row at position ``total // 2`` in (time, rec_no) order, in three steps of exact
+    counts: its day, its second, its rank within that second.  No range partitions, nothing sampled."""
+    rows = rows.select("scraped_at", "rec_no", F.date_trunc("day", "scraped_at").alias("day"), F.date_trunc("second", "scraped_at").alias("second"))
+
+    def holding(counts: DataFrame, unit: str, base: Column, mid: Column) -> DataFrame:
+        before = F.sum("n").over(Window.orderBy(unit)) - F.col("n") + base
+        return counts.withColumn("start", before).withColumn("mid", mid).where("start <= mid and mid < start + n").select(unit, "start", "mid")
+
+    days = rows.groupBy("day").agg(F.count("*").alias("n"))
+    day = F.broadcast(holding(days, "day", F.lit(0), F.floor(F.sum("n").over(Window.partitionBy()) / 2)))
+    seconds = rows.join(day, "day").groupBy("second").agg(F.count("*").alias("n"), F.first("start").alias("base"), F.first("mid").alias("m"))
+    second = F.broadcast(holding(seconds, "second", F.col("base"), F.col("m")))
+    k = F.row_number().over(Window.partitionBy("second").orderBy("scraped_at", "rec_no")) - 1
+    ranked = rows.join(second, "second").withColumn("k", k)
+    return ranked.where("start + k = mid").select(F.struct("scraped_at", "rec_no").alias("middle"))
+
+
 def claim_shift(signals: DataFrame, as_of: str, least: int = 3) -> DataFrame:
     """Ingredients whose dominant type differs between the earlier and later half of all rows.
 
     The halves meet at the row midpoint in (time, rec_no) order; a tie within a half goes to
     the type seen first.  A shift to a safety concern from efficacy or other is notable."""
     rows = recent(signals, as_of).select(norm_key("ingredient_name").alias("ingredient"), F.coalesce(F.nullif("signal_type", F.lit("")), F.nullif("event_type", F.lit("")), F.lit("other")).alias("type"), "scraped_at", "rec_no")
-    # rank by range partitions: a partition's start is the size of those before it
-    spread = rows.repartitionByRange("scraped_at", "rec_no").withColumn("p", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("p").orderBy("scraped_at", "rec_no"))
-    numbered = spread.withColumn("k", local)
-    sizes = spread.groupBy("p").agg(F.count("*").alias("n"))
-    w = Window.orderBy("p")  # a row a partition
-    starts = sizes.select("p", (F.sum("n").over(w) - F.col("n")).alias("start"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    half = numbered.join(F.broadcast(starts), "p").withColumn("pos", F.col("start") + F.col("k") - 1)
-    half = half.withColumn("late", F.col("pos") >= F.floor(F.col("total") / 2)).where("ingredient is not null")
+    at = F.struct("scraped_at", "rec_no")
+    half = rows.join(F.broadcast(_middle(rows)), F.lit(True), "left")  # one row
+    half = half.withColumn("late", at >= F.col("middle")).withColumn("pos", at).where("ingredient is not null")
     by_type = half.groupBy("ingredient", "late", "type").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    top = by_type.groupBy("ingredient", "late").agg(F.sum("n").alias("total"), F.max_by("type", F.struct("n", -F.col("first"))).alias("type"), F.max("n").alias("n"))
+    top = by_type.groupBy("ingredient", "late").agg(F.sum("n").alias("total"), F.min_by("type", F.struct((-F.col("n")).alias("n"), "first")).alias("type"), F.max("n").alias("n"))
     out = top.groupBy("ingredient").agg(
         F.sum("total").alias("total"),
         *[F.max(F.when(F.col("late") == late, F.col(c))).alias(f"{side}_{c}") for side, late in (("from", False), ("to", True)) for c in ("type", "n")],
@@ -87,6 +99,9 @@ def sentiment_distribution(signals: DataFrame, as_of: str) -> DataFrame:
 
 
 def rolling_windows(signals: DataFrame) -> DataFrame:
-    """Counts per ingredient in 30-day windows that start every day."""
-    rows = signals.select(F.col("scraped_at").cast("timestamp").alias("ts"), norm_key("ingredient_name").alias("ingredient")).where("ingredient is not null")
-    return rows.groupBy(F.window("ts", "30 days", "1 day"), "ingredient").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "ingredient", "n")
+    """Counts per ingredient in 30-day windows that start every day: days are counted before each
+    count goes to its 30 windows."""
+    rows = signals.select(F.date_trunc("day", "scraped_at").cast("timestamp_ntz").alias("day"), norm_key("ingredient_name").alias("ingredient")).where("ingredient is not null")
+    days = rows.groupBy("day", "ingredient").agg(F.count("*").alias("n"))
+    wide = days.select(F.explode(F.expr("sequence(day - interval 29 days, day, interval 1 day)")).alias("start"), "ingredient", "n")
+    return wide.groupBy("start", "ingredient").agg(F.sum("n").alias("n"))
