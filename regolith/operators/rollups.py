@@ -133,3 +133,12 @@ def funnel(c: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
 
 def missing_fields(c: DataFrame, names: list[str]) -> DataFrame:
     return c.agg(*[F.count_if(F.coalesce(F.col(n).cast("string"), F.lit("")) == "").alias(f"missing_{n}") for n in names])
+
+
+def insight_counts(c: DataFrame) -> DataFrame:
+    """Eight conditional counts in one pass."""
+    is_ = lambda column, value, name: F.count_if(F.col(column) == value).alias(name)
+    return c.agg(
+        F.count("*").alias("total"), *priority_counts()[:2], is_("severity", "high", "high"), is_("source_type", "import_alert", "import_alerts"), is_("source_type", "warning_letter", "warning_letters"),
+        is_("signal_direction", "escalating", "escalating"), is_("classification_status", "confirmed", "confirmed"),
+    )
