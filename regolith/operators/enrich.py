@@ -112,3 +112,8 @@ def sentiment_answers(answers: DataFrame, key: str) -> DataFrame:
     j = answers.withColumn("j", salvage_json(F.col("answer"), ANSWER))
     known = rank_of(F.col("j.sentiment"), ["positive", "neutral", "negative"], -1) >= 0
     return j.select(key, F.when(known, F.col("j.sentiment")).otherwise("neutral").alias("sentiment"), F.when(known, clamp(F.col("j.confidence"))).otherwise(0.0).alias("sentiment_confidence"), F.nullif("j.summary", F.lit("")).alias("ai_summary"))
+
+
+def token_totals(calls: DataFrame) -> DataFrame:
+    """(phase, calls, input_tokens, output_tokens) of model calls (phase, input_tokens, output_tokens)."""
+    return calls.groupBy("phase").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))

@@ -285,9 +285,6 @@ on_citations(
     "full",
 )(lambda c: T.search(c, FACETS).select("rec_no", "date", "priority"))
 on_citations("flt11_match_count", f"{O.CLUST} select count(*) filter ({NOISELESS} and authority = 'TGA' and priority = 'P1') as n from clus", "full")(lambda c: T.match_count(c, T.Facets(authority="TGA", priority="P1")))
-on_citations("flt12_fallback", f"{O.CIT}, n as (select count(*) filter (summary = 'nothing') as a, count(*) filter (source_type = 'recall') as b from raw) select case when a > 0 then 'category' else 'mode' end as choice, case when a > 0 then a else b end as n from n")(
-    lambda c: T.first_nonempty(c, [("category", F.col("summary") == "nothing"), ("mode", F.col("source_type") == "recall"), ("text", F.lit(True))])
-)
 on_citations("flt13_issue_match", f"{O.CLUST} select rec_no from clus where {ISSUE} = 'inadequate testing'", "full")(lambda c: c.where(T.base_issue(T.display_issue()) == "inadequate testing").select("rec_no"))
 on_citations("prj31_family", f"""{O.CIT}, f as (select rec_no, case when {O.rx('summary', 'family smoking prevention|tobacco control act')} then 'tobacco_compliance' when {O.rx('summary', 'foreign supplier verification|fsvp')} then 'fsvp' when {O.rx('summary', 'import alert|detention without physical examination')} then 'import_alert_dwpe' end as family from raw) select * from f where family is not null""")(
     lambda c: c.select("rec_no", T.summary_family(F.col("summary")).alias("family")).where("family is not null")
@@ -304,11 +301,6 @@ on_citations(
 )(lambda c: c.select("rec_no", T.display_category().alias("category"), T.evidence_status().alias("evidence")))
 on_citations("prj35_url_quality", f"{O.CIT} select case when coalesce(url, '') = '' then 'missing' when contains(url, 'api.fda.gov') then 'api_endpoint' else 'direct_detail' end as quality, count(*) as n from raw group by 1")(lambda c: U.counts(c.withColumn("quality", T.url_quality(F.col("url"))), "quality"))
 on_citations("prj36_recall_number", f"{O.CIT} select rec_no, nullif(regexp_extract(url, '[?&]RecallNumber=([^&#]+)', 1), '') as number from raw")(lambda c: c.select("rec_no", T.recall_number(F.col("url")).alias("number")))
-on_citations(
-    "win06_collapse",
-    f"{O.CLUST}, f as (select * from clus where rec_no % 3 > 0) select rec_no, n - 1 as other_members from (select *, row_number() over (partition by coalesce(cluster_id, id) order by not cluster_primary, rec_no) as k, count(*) over (partition by coalesce(cluster_id, id)) as n from f) where k = 1",
-    "full",
-)(lambda c: T.collapse(c.where("rec_no % 3 > 0")).select("rec_no", "other_members"))
 on_citations(
     "agg36_display_groups",
     f"{O.CLUST} select authority, source_type, coalesce(strftime(date, '%Y-%m'), '') as month, lower(facility_type) as facility, lower(primary_gmp_category) as category, min(rec_no) as rec_no, count(*) as n from clus group by 1, 2, 3, 4, 5",
@@ -416,10 +408,6 @@ on_citations("srt06_ai_queue", f"{_ENR} select rec_no, tier from elig order by t
 _TIER = "case when source_type in ('drug_enforcement', 'device_enforcement', 'food_enforcement') then 2 when source_type in ('recall', 'safety_alert', 'compliance_action', 'inspection_finding') then 3 when source_type = 'import_alert' then 4 else 5 end + case when date > date '2000-06-01' then 10 else 0 end"
 on_citations("srt05_sample", f"{O.CIT} select rec_no, {_TIER} as tier from raw order by {_TIER}, date desc nulls last, id limit 60")(lambda c: E.sample(c, 60, "enrichable", "2000-06-01").select("rec_no", E.sample_tier("2000-06-01").alias("tier")))
 on_citations("prj23_sample_mixed", f"{O.CIT} select rec_no from raw order by ({_TIER}) // 3, date desc nulls last, id limit 60")(lambda c: E.sample(c, 60, "mixed", "2000-06-01").select("rec_no"))
-on_citations(
-    "udx02_stub_sentiment",
-    f"{O.CIT} select rec_no, case when regexp_matches(lower(summary), 'recall|contamination|death|warning') then 'negative' else 'neutral' end as sentiment, substr(summary, 1, 60) as ai_summary from raw where rec_no % 10 = 0",
-)(lambda c: E.sentiment_answers(E.ask(c.where("rec_no % 10 = 0"), "rec_no", "summary"), "rec_no").select("rec_no", "sentiment", "ai_summary"))
 on_citations("jon06_processed_wins", f"{O.CLUST} select raw.rec_no, coalesce(p.priority, raw.severity) as value from raw left join (select * from clus where rec_no % 4 = 0) p using (rec_no)", "full")(
     lambda c: S.coalesce_update(c.select("rec_no", F.col("severity").alias("value")), c.where("rec_no % 4 = 0").select("rec_no", F.col("priority").alias("value")), "rec_no")
 )

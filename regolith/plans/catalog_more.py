@@ -18,24 +18,8 @@ from .views import CITATIONS_AS_OF, SIGNALS_AS_OF, signals, tables
 CLAIMS = {"identity": ["notice", "click"], "buying": ["purchase"], "harm": ["error", "signup"]}
 
 on_citations("prj15_context_text", f"{O.TEXTS} select rec_no, length(context_text)::int as n from t where context_text <> ''", "classified")(lambda c: c.where("context_text <> ''").select("rec_no", F.length("context_text").alias("n")))
-on_citations("prj25_boilerplate", f"{O.CIT} select rec_no from raw where len(regexp_extract_all(lower(summary || ' voluntary recall; voluntary recall'), 'voluntary recall')) >= 3")(
-    lambda c: c.where(_boiler(F.concat("summary", F.lit(" voluntary recall; Voluntary Recall")))).select("rec_no")
-)
-
-
-def _boiler(text):
-    from ..operators.enrich import is_boilerplate
-
-    return is_boilerplate(text)
 
 
-on_citations("prj29_redact", f"{O.CIT} select rec_no, regexp_replace(replace(summary || ' (b)(4)  x', '(b)(4)', '[redacted]'), '\\s{{2,}}', ' ', 'g') as text from raw")(lambda c: c.select("rec_no", D.redact(F.concat("summary", F.lit(" (b)(4)  x"))).alias("text")))
-on_citations("prj28_snippet", f"{O.CIT} select rec_no, 'during our inspection: ' || summary || '.' as snippet from raw")(
-    lambda c: c.select("rec_no", D.violation_snippet(F.concat(F.lit("To the firm. We write "), F.lit("during our inspection: "), "summary", F.lit("."))).alias("snippet"))
-)
-on_citations("prj37_entity_names", f"{O.CIT} select rec_no, case when company = '' then '' when contains(company, 'ENTITY') or contains(company, 'Entity') then replace(replace(company, 'ENTITY', 'Entity'), 'entity', 'Entity') else company end || ' of LLC Inc.' as name from raw")(
-    lambda c: c.select("rec_no", D.entity_name(F.concat("company", F.lit(" OF llc inc"))).alias("name"))
-)
 on_citations("prj40_buckets", f"{O.CIT}, g as (select authority, count(*) as n, count(*) filter (severity = 'high') as h from raw group by 1) select authority, case when n >= 200 then 'Very High' when n >= 100 then 'High' when n >= 40 then 'Moderate' when n >= 10 then 'Low' else 'Minimal' end as volume, case when h > 0.4 * n or h > 5 then 'Critical' when h > 0.2 * n or h > 2 then 'High' else 'Watch' end as impact from g")(
     lambda c: c.groupBy("authority").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "high").alias("h")).select("authority", U.volume_bucket(F.col("n")).alias("volume"), U.risk_impact(F.col("n"), F.col("h")).alias("impact"))
 )
@@ -52,7 +36,6 @@ on_signals("agg19_claim_ranking", f"{O.SIG}, r as (select unnest(['identity', 'b
 )
 on_signals("flt15_loose_match", f"{O.SIG} select rec_no from s where contains(lower(title), 'almond') or contains(lower(title), 'error')")(lambda s: s.where(D.loose_match(D.signal_text(["title"]), "almond/error")).select("rec_no"))
 on_signals("flt16_strict_match", f"{O.SIG} select rec_no from s where lower(trim(ingredient_name)) = 'error' or regexp_matches(lower(title), '(^|[\\s,.(/\\-])error([\\s,.)/\\-0-9]|$)')")(lambda s: s.where(D.strict_match(D.signal_text(["title"]), F.col("ingredient_name"), "error")).select("rec_no"))
-on_signals("flt24_generic_text", f"{O.SIG} select count(*) filter (coalesce(ai_summary, '') = '') as generic from s")(lambda s: s.agg(F.count_if(D.is_generic(F.col("ai_summary"))).alias("generic")))
 on_signals(
     "msc26_why_it_matters",
     f"""{O.SIG}, g as (select ing as ingredient, count(*) as t, count(*) filter (severity = 'high') as h, count(*) filter (sentiment = 'negative') as n from s where ing is not null group by 1)
@@ -68,7 +51,6 @@ on_signals("srt01_newest_first", f"{O.SIG} select source_id from s order by scra
 on_signals("srt04_fixed_order", f"{O.SIG} select authority, case authority when 'fda' then 0 when 'tga' then 1 else 2 end as place, count(*) as n from s group by 1, 2 order by 2, min(rec_no)")(
     lambda s: s.groupBy("authority").agg(F.count("*").alias("n"), F.min("rec_no").alias("o")).withColumn("place", X.rank_of(F.col("authority"), ["fda", "tga"], 2)).orderBy("place", "o").select("authority", "place", "n")
 )
-on_signals("flt04_exists", f"{O.SIG} select rec_no from s where rec_no % 2 = 1 and url in (select url from s where rec_no % 2 = 0)")(lambda s: s.where("rec_no % 2 = 1").join(s.where("rec_no % 2 = 0").select("url").distinct(), "url", "left_semi").select("rec_no"))
 on_signals("set01_union_all", f"{O.SIG} select authority, count(*) as n from (select * from s where severity = 'high' union all select * from s where authority = 'tga') group by 1")(lambda s: s.where("severity = 'high'").unionByName(s.where("authority = 'tga'")).groupBy("authority").agg(F.count("*").alias("n")))
 on_signals("set02_union_keep_first", f"{O.SIG} select url, min(rec_no) as rec_no from (select * from s where severity = 'high' union all select * from s where authority = 'tga') group by 1")(
     lambda s: T.keep_first(s.where("severity = 'high'").unionByName(s.where("authority = 'tga'")), F.col("url"), F.col("rec_no")).select("url", "rec_no")
@@ -96,7 +78,6 @@ on_signals("str01_fresh_cache", f"{O.SIG} select rec_no from s where floor(epoch
 on_signals("str02_sliding_windows", f"{O.SIG}, w as (select ing as ingredient, unnest(generate_series(date_trunc('day', scraped_at) - interval 29 day, date_trunc('day', scraped_at), interval 1 day)) as start from s where ing is not null) select strftime(start, '%Y-%m-%d') as start, ingredient, count(*) as n from w group by 1, 2")(
     lambda s: G.rolling_windows(s).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "ingredient", "n")
 )
-on_signals("agg45_token_totals", f"{O.SIG} select authority, sum(length(title))::bigint as chars from s group by 1")(lambda s: s.groupBy("authority").agg(F.sum(F.length("title")).alias("chars")))
 on_signals("msc29_source_label", f"{O.SIG} select rec_no, case authority when 'tga' then 'TGA Australia' when 'fda' then 'US FDA' else 'Unknown Source' end as source_label from s")(
     lambda s: D.source_label(s, s.sparkSession.createDataFrame([("tga", "TGA Australia"), ("fda", "US FDA")], "authority string, label string")).select("rec_no", "source_label")
 )
@@ -158,9 +139,6 @@ on_citations(
  case when n_evidence = 0 and classification_confidence < 0.5 and primary_gmp_category <> 'Other / Insufficient Detail' then 'R4' end, case when source_type = 'inspection_finding' and authority in ('EFSA', 'BfR') then 'R5' end, case when failure_mode not in ('', 'insufficient_detail') and failure_mode_confidence < 0.2 and primary_gmp_category <> 'Other / Insufficient Detail' then 'R6' end) as reasons from clus) select * from r where reasons <> ''""",
     "full",
 )(lambda c: D.suspicious_reasons(c).select("rec_no", F.array_join("reasons", ",").alias("reasons")))
-on_citations("flt23_suspicion_level", f"{O.CLUST} select case when classification_status = 'unconfirmed' then 'suspicious' when n_evidence = 0 then 'suspicious or weak' else 'ok' end as level, count(*) as n from clus group by 1", "full")(
-    lambda c: U.counts(D.suspicion(c).withColumn("level", F.when(F.col("level") == "ok", "ok").when(F.col("classification_status") == "unconfirmed", "suspicious").otherwise("suspicious or weak")), "level")
-)
 on_citations("msc04_inferred_status", f"{O.CLUST} select rec_no, case when n_evidence = 0 and primary_gmp_category <> 'Other / Insufficient Detail' then 'unconfirmed' when n_evidence > 0 and (length(best_text) > 200 or classification_confidence >= 0.5) then 'confirmed' else 'provisional' end as status from clus", "full")(lambda c: c.select("rec_no", D.inferred_status(c).alias("status")))
 on_citations("msc07_best_filter", f"{O.CLUST}, b as (select 'failure_mode' as kind, 0 as r, failure_mode as value, count(*) as n from clus where failure_mode <> '' group by 3 union all select 'primary_gmp_category', 1, primary_gmp_category, count(*) from clus group by 3) select kind, value, n from b order by n desc, r, value limit 1", "full")(D.best_filter)
 on_citations("msc12_primaries", f"{O.CLUST} select rec_no from clus where cluster_primary", "full")(lambda c: c.where(F.coalesce("cluster_primary", F.lit(True))).select("rec_no"))

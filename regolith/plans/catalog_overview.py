@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..operators import display as D
+from ..operators import enrich as E
+from ..operators import facets as T
 from ..operators import overview as V
 from ..operators import rollups as U
 from . import oracle as O
@@ -130,3 +133,80 @@ on_citations(
     f"{O.CLUST} select count(*) as total, count(*) filter (priority = 'P1') as p1, count(*) filter (priority = 'P2') as p2, count(*) filter (severity = 'high') as high, count(*) filter (source_type = 'import_alert') as import_alerts, count(*) filter (source_type = 'warning_letter') as warning_letters, count(*) filter (signal_direction = 'escalating') as escalating, count(*) filter (classification_status = 'confirmed') as confirmed from clus",
     "full",
 )(U.insight_counts)
+
+# ---- rules whose branches need texts that the tables lack: each row takes one by its number ----
+
+
+def _by(k: int, *texts):
+    out = F
+    for i, t in enumerate(texts):
+        out = out.when(F.col("rec_no") % k == i, t if not isinstance(t, str) else F.lit(t))
+    return out
+
+
+def _case(k: int, *texts: str) -> str:
+    return "case " + " ".join(f"when rec_no % {k} = {i} then {t}" for i, t in enumerate(texts)) + " end"
+
+
+on_citations("prj25_boilerplate", f"{O.CIT} select rec_no from raw where (length(lower(summary)) - length(replace(lower(summary), 'voluntary recall', ''))) // 16 + rec_no % 5 >= 3")(
+    lambda c: c.where(E.is_boilerplate(F.concat("summary", F.expr("repeat('; Voluntary Recall', cast(rec_no % 5 as int))")))).select("rec_no")
+)
+on_citations(
+    "prj29_redact",
+    f"{O.CIT} select rec_no, {_case(4, 'summary', chr(39) + 'x [redacted] y' + chr(39), 'summary || ' + chr(39) + '[redacted][redacted]' + chr(39), chr(39) + 'a b (b)(x) c' + chr(39))} as text from raw",
+)(lambda c: c.select("rec_no", D.redact(_by(4, F.col("summary"), "x (b)(4)  y", F.concat("summary", F.lit("(b)(4)(b)(16)")), "a   b \t (b)(x)\n\nc")).alias("text")))
+_SNIP = ["'during our inspection: ' || summary || '.'", "'A violation of ' || summary", "'Dear ' || summary", "summary", "'You failed to act. Then more. ' || 'S1. S2. S3. S4. S5. S6.'"]
+on_citations("prj28_snippet", f"{O.CIT} select rec_no, {_case(5, *_SNIP)} as snippet from raw")(
+    lambda c: c.select(
+        "rec_no",
+        D.violation_snippet(
+            _by(
+                5,
+                F.concat(F.lit("To the firm. We write during our inspection: "), "summary", F.lit(".")), F.concat(F.lit("Intro words here. A violation of "), "summary"), F.concat(F.lit("header Dear "), "summary"), F.col("summary"),
+                "Head. You failed to act. Then more. S1. S2. S3. S4. S5. S6. S7. S8.",
+            )
+        ).alias("snippet"),
+    )
+)
+_NAME_SQL = "case when company = '' then '' when contains(company, 'ENTITY') then replace(company, 'ENTITY', 'Entity') else company end"
+on_citations("prj37_entity_names", f"{O.CIT} select rec_no, {_NAME_SQL} || {_case(3, chr(39) + ' of LLC Inc.' + chr(39), chr(39) + ' d/b/a the (GMP) Corp.' + chr(39), chr(39) + ' Mc-donald' + chr(39))} as name from raw")(
+    lambda c: c.select("rec_no", D.entity_name(F.concat("company", _by(3, " OF llc inc", " D/B/A THE (gmp) CORP", " MC-DONALD"))).alias("name"))
+)
+on_citations(
+    "flt12_fallback",
+    f"""{O.CIT}, n as (select severity, count(*) filter (authority = 'MHRA' and source_type = 'recall') as a, count(*) filter (product_type = 'capsule' and source_type = 'food_enforcement') as b, count(*) as t from raw group by 1)
+ select severity, case when b > 0 then 'rare' when a > 0 and severity = 'high' then 'recall' else 'all' end as choice, case when b > 0 then b when a > 0 and severity = 'high' then a else t end as n from n""",
+)(lambda c: _fallbacks(c))
+
+
+def _fallbacks(c: DataFrame) -> DataFrame:
+    rare = (F.col("product_type") == "capsule") & (F.col("source_type") == "food_enforcement")
+    recall = (F.col("authority") == "MHRA") & (F.col("source_type") == "recall") & (F.col("severity") == "high")
+    out = None
+    for level in ("high", "medium", "low"):
+        one = T.first_nonempty(c.where(F.col("severity") == level), [("rare", rare), ("recall", recall), ("all", F.lit(True))]).select(F.lit(level).alias("severity"), "choice", "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+on_citations(
+    "win06_collapse",
+    f"{O.CLUST}, f as (select * from clus where severity <> 'high') select rec_no, n - 1 as other_members from (select *, row_number() over (partition by coalesce(cluster_id, id) order by not cluster_primary, rec_no) as k, count(*) over (partition by coalesce(cluster_id, id)) as n from f) where k = 1",
+    "full",
+)(lambda c: T.collapse(c.where("severity <> 'high'")).select("rec_no", "other_members"))
+on_citations("win06_collapse_all", f"{O.CLUST} select rec_no, cluster_size - 1 as other_members from clus where cluster_primary", "full")(lambda c: T.collapse(c).select("rec_no", "other_members"))
+on_citations(
+    "udx02_stub_sentiment",
+    f"{O.CIT} select rec_no, case when regexp_matches(lower(summary), 'recall|contamination|death|warning') then 'negative' else 'neutral' end as sentiment, substr(summary, 1, 60) as ai_summary from raw",
+)(lambda c: E.sentiment_answers(E.ask(c, "rec_no", "summary"), "rec_no").select("rec_no", "sentiment", "ai_summary"))
+_SUS = f"""{O.CLUST}, u as (select *, n_evidence = 0 as bare, classification_status = 'unconfirmed' as un, case when ({O._GUIDE} and primary_gmp_category not in ('Labelling & claims', 'Ingredient safety', 'Contamination & sterility')) or primary_gmp_category not in (select label from evir) then 0
+  else (select count(*) from modr where label = failure_mode and contains(lower(best_text), phrase)) end as modes from clus)"""
+on_citations("flt23_suspicion_level", f"{_SUS} select rec_no, case when not un and not bare then 'ok' when un or (bare and modes = 0) then 'suspicious' else 'weak' end as level from u", "full")(lambda c: D.suspicion(c).select("rec_no", "level"))
+_TOLD = "case when rec_no % 5 = 0 then 'A Positive Signal for VMS, again' when rec_no % 5 = 1 then 'Please monitor for regulatory implications' else coalesce(ai_summary, '') end"
+on_signals("flt24_generic_text", f"{O.SIG} select rec_no from s where {_TOLD} = '' or rec_no % 5 < 2")(
+    lambda s: s.where(D.is_generic(F.when(F.col("rec_no") % 5 == 0, "A Positive Signal for VMS, again").when(F.col("rec_no") % 5 == 1, "Please monitor for regulatory implications").otherwise(F.col("ai_summary")))).select("rec_no")
+)
+on_signals("agg45_token_totals", f"{O.SIG} select authority, count(*) as calls, sum(len(string_split(title, ' ')))::bigint as input_tokens, sum(len(string_split(ai_summary, ' ')))::bigint as output_tokens from s where coalesce(ai_summary, '') <> '' group by 1")(
+    lambda s: E.token_totals(s.where("coalesce(ai_summary, '') <> ''").select(F.col("authority").alias("phase"), F.size(F.split("title", " ")).alias("input_tokens"), F.size(F.split("ai_summary", " ")).alias("output_tokens"))).withColumnRenamed("phase", "authority")
+)
+on_signals("flt04_exists", f"{O.SIG} select rec_no from s where authority = 'tga' and url in (select url from s where authority = 'fda')")(lambda s: s.where("authority = 'tga'").join(s.where("authority = 'fda'").select("url").distinct(), "url", "left_semi").select("rec_no"))
