@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ppm import PIECE, Asked, Model, answers, collected, low_orders, tally
-from .textkit import U64, Words, bound_batches, by_bucket, chunk_count, flat, pieces, power_of_two, required
+from .textkit import U64, Words, bound_batches, by_bucket, chunk_count, flat, materialize, pieces, power_of_two, required
 
 #: Strings up to which the trie is sent to workers; beyond, chunks ask for costs.
 MAX_NODES = 1 << 20
@@ -57,13 +57,16 @@ def _send(buckets: int):
         _, _, doc, uniq, inv, at = _tokens(table, buckets)
         trains = ~np.array(table.column("held_out").to_pylist(), dtype=bool)
         n = np.bincount(inv[trains[doc]], minlength=len(uniq)).astype(np.uint32)
-        cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in range(buckets)], pa.binary())
-        return pa.Table.from_arrays([pa.array(range(buckets), pa.int32()), pa.array([key[0].as_py()] * buckets, pa.int32()), cut(uniq), cut(n)], schema=_SENT)
+        rows = np.flatnonzero(np.diff(at))  # no bucket is sent nothing
+        cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary())
+        return pa.Table.from_arrays([pa.array(rows.astype(np.int32)), pa.array([key[0].as_py()] * len(rows), pa.int32()), cut(uniq), cut(n)], schema=_SENT)
 
     return run
 
 
 def _total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A bucket: the training counts of each chunk's words in the order received, and in a row of
+    its own (chunk -1) all training tokens and distinct words of the bucket."""
     if not table.num_rows:
         return _BACK.empty_table()
     hs = [np.frombuffer(x.as_buffer(), dtype=U64) for x in table.column("h")]
@@ -74,12 +77,12 @@ def _total(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         out.append(back[at : at + len(h)].astype(np.int64 if total.max(initial=0) >= 1 << 32 else np.uint32).tobytes())
         at += len(h)
     n = table.num_rows
-    return pa.Table.from_arrays(
-        [table.column("bucket").combine_chunks(), table.column("chunk").combine_chunks(), pa.array(out, pa.binary()), pa.array([int(total.sum())] * n, pa.int64()), pa.array([int((total > 0).sum())] * n, pa.int64())], schema=_BACK
-    )
+    own = pa.Table.from_arrays([table.column("bucket").combine_chunks(), table.column("chunk").combine_chunks(), pa.array(out, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_BACK)
+    sums = pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])], schema=_BACK)
+    return pa.concat_tables([own, sums])
 
 
-def _score(buckets: int, token: str, sent):
+def _score(buckets: int, total: int, distinct: int, token: str, sent):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, back: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _SCORED.empty_table()
@@ -98,7 +101,6 @@ def _score(buckets: int, token: str, sent):
             if m:
                 raw = x.as_buffer()
                 c[at[b] : at[b + 1]] = np.frombuffer(raw, dtype=np.int64 if raw.size == 8 * m else np.uint32)
-        total, distinct = sum(back.column("total").to_pylist()), sum(back.column("distinct").to_pylist())
         docs = len(off) - 1
         n = np.bincount(doc, minlength=docs)
         known = np.bincount(doc[c[inv] > 0], minlength=docs)
@@ -128,8 +130,11 @@ def lm_scoring(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_c
     rows = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "text", "held_out")
     own = rows.groupBy("chunk")
     words = own.applyInArrow(_send(buckets), "bucket int, chunk int, h binary, n binary")
-    back = words.groupBy("bucket").applyInArrow(_total, "bucket int, chunk int, c binary, total long, distinct long")
+    # stored, so that the sums over all buckets are known before any text is scored
+    back = materialize(words.groupBy("bucket").applyInArrow(_total, "bucket int, chunk int, c binary, total long, distinct long"), "words")
+    sums = back.where("chunk = -1").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    back = back.where("chunk >= 0").select("bucket", "chunk", "c")
     if sent is None:
         costs = answers(rows.select("chunk", "text"), counts, low_orders(counts), buckets, uuid.uuid4().hex)
-        back = back.unionByName(costs.select((F.col("bucket") + buckets).alias("bucket"), "chunk", "c", F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("distinct")))
-    return own.cogroup(back.groupBy("chunk")).applyInArrow(_score(buckets, uuid.uuid4().hex, sent), _SCORED_SQL)
+        back = back.unionByName(costs.select((F.col("bucket") + buckets).alias("bucket"), "chunk", "c"))
+    return own.cogroup(back.groupBy("chunk")).applyInArrow(_score(buckets, int(sums["total"] or 0), int(sums["distinct"] or 0), uuid.uuid4().hex, sent), _SCORED_SQL)

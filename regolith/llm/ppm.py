@@ -28,6 +28,8 @@ from .textkit import by_bucket, flat, materialize, pieces
 PAD = 0xFF
 PIECE = 2 << 20
 SIDE = 3072
+#: Tries that a worker holds a table for (up to 38 MB each); with more labels costs are asked from buckets.
+MAX_TABLES = 16
 _LOW: dict[str, dict[str, list]] = {}
 
 
@@ -91,9 +93,9 @@ def tally(docs: DataFrame) -> DataFrame:
 
 def collected(counts: DataFrame, limit: int) -> tuple[DataFrame, dict[str, tuple[np.ndarray, np.ndarray]] | None]:
     """The counts as a stored table, and on the driver by label (12 bytes a string) unless there
-    are more than ``limit`` strings in all."""
+    are more than ``limit`` strings in all or more than ``MAX_TABLES`` labels."""
     counts = materialize(counts, "strings")
-    if counts.count() > limit:
+    if counts.count() > limit or counts.select("label").distinct().count() > MAX_TABLES:
         return counts, None
     rows = counts.toArrow()
     names, inv = np.unique(np.array(rows.column("label").to_pylist(), dtype=object), return_inverse=True)
@@ -162,9 +164,9 @@ class Asked:
 
 def _ask(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        n = buckets if table.num_rows else 0
-        blobs = Asked(*flat(table.column("text")), buckets).blobs() if n else []
-        return pa.table({"bucket": pa.array(range(n), pa.int32()), "chunk": pa.array([key[0].as_py()] * n if n else [], pa.int32()), "codes": pa.array(blobs, pa.binary())})
+        blobs = Asked(*flat(table.column("text")), buckets).blobs() if table.num_rows else []
+        rows = [i for i, b in enumerate(blobs) if b]  # no bucket is asked nothing
+        return pa.table({"bucket": pa.array(rows, pa.int32()), "chunk": pa.array([key[0].as_py()] * len(rows), pa.int32()), "codes": pa.array([blobs[i] for i in rows], pa.binary())})
 
     return run
 

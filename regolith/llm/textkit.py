@@ -7,7 +7,7 @@ lead bytes are all above that range, so byte runs and character runs agree.
 from __future__ import annotations
 
 import hashlib
-import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -186,13 +186,17 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder that every executor can reach: below the session's checkpoint dir."""
+    """A fresh folder that every executor can reach: below the session's checkpoint dir.
+
+    Without that setting a local session gets a temporary folder; on a cluster it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = have.get() if have.isDefined() else None
     if not base:
-        base = "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "regolith-shared")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="regolith-shared-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

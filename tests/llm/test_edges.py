@@ -159,6 +159,14 @@ def test_language_id_loses_no_string(odd):
     same_scores(lambda **x: language_id.language_id(odd, F.col("doc_id") != 9, **x))
 
 
+def test_language_id_with_many_labels(spark):
+    """Beyond the number of tables a worker holds, costs come from buckets; ties go to the earlier name."""
+    rows = [(i, f"lang{i % 20} wort{i % 20} x{i % 20}y " * 5, f"l{i % 20:02d}", "a") for i in range(80)]
+    docs = documents(spark, [*rows, (100, "lang3 wort3 x3y", None, "a"), (101, "same words here", "tie1", "a"), (102, "same words here", "tie0", "a")])
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(docs, F.lit(True)).collect()}
+    assert got[100] == "l03" and all(got[i] == f"l{i % 20:02d}" for i in range(80)) and got[101] == got[102] == "tie0"
+
+
 def test_line_dedup(spark, none):
     docs = documents(spark, [(i, f"own line {i}\nShared line here.\n\n", "en", f"s{i % 5}") for i in range(1, 9)] + [(20, None, None, None), (21, "", "en", None), (None, "Shared line here.", "en", "s1")])
     got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in line_dedup.line_dedup(docs).collect()}

@@ -107,20 +107,15 @@ def test_language_on_held_out_rows(spark):
     assert (got[got.held_out].lang_pred == got[got.held_out].lang).mean() > 0.97
 
 
-def test_lm_scoring_brute_force(spark, docs):
-    got = {r.doc_id: r for r in Q.op10_lm_scoring(spark, SF).collect()}
-    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
-    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in docs}
-    count = Counter(t for d, w in tokens.items() if not held(d) for t in w)
-    total, distinct = sum(count.values()), len(count)
+def plain_trie(texts):
+    """log10 probability of a text under counts of orders 0 to 3, escape method C with exclusion, in plain Python."""
     trie = [defaultdict(Counter) for _ in range(4)]
     frame = lambda t: b"\xff\xff\xff" + (t or "").encode() + b"\xff"
-    for r in docs:
-        if not held(r.doc_id):
-            b = frame(r.text)
-            for j in range(3, len(b)):
-                for k in range(4):
-                    trie[k][b[j - k : j]][b[j]] += 1
+    for t in texts:
+        b = frame(t)
+        for j in range(3, len(b)):
+            for k in range(4):
+                trie[k][b[j - k : j]][b[j]] += 1
 
     def log10(text):
         b, out = frame(text), 0.0
@@ -141,6 +136,16 @@ def test_lm_scoring_brute_force(spark, docs):
             out += math.log10(p)
         return out
 
+    return log10
+
+
+def test_lm_scoring_brute_force(spark, docs):
+    got = {r.doc_id: r for r in Q.op10_lm_scoring(spark, SF).collect()}
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in docs}
+    count = Counter(t for d, w in tokens.items() if not held(d) for t in w)
+    total, distinct = sum(count.values()), len(count)
+    log10 = plain_trie(r.text for r in docs if not held(r.doc_id))
     for r in docs:
         x, w = got[r.doc_id], tokens[r.doc_id]
         assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens) == (held(r.doc_id), len(w), sum(count[t] > 0 for t in w), total)
@@ -149,6 +154,20 @@ def test_lm_scoring_brute_force(spark, docs):
         assert math.isclose(got[r.doc_id].score, log10(r.text), rel_tol=1e-6)
 
 
+def test_language_brute_force(spark, docs):
+    """Every language's trie over all its training texts in plain Python: shortest code and its share."""
+    got = {r.doc_id: r for r in Q.op5_language_id(spark, SF).collect()}
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    tries = {x: plain_trie(r.text for r in docs if r.lang == x and not held(r.doc_id) and r.text is not None) for x in sorted({r.lang for r in docs if r.lang and not held(r.doc_id)})}
+    short = sorted((r for r in docs if r.text and any(c.isalpha() for c in r.text)), key=lambda r: len(r.text))
+    for r in short[:40]:
+        lp = {x: f(r.text) for x, f in tries.items()}
+        best = max(lp, key=lp.get)
+        share = 1 / sum(10 ** max(v - lp[best], -300) for v in lp.values())
+        assert got[r.doc_id].held_out == held(r.doc_id) and got[r.doc_id].lang_pred == best
+        assert math.isclose(got[r.doc_id].score, share, rel_tol=1e-3)
+
+
 def test_pipeline_brute_force(spark):
     """Each stage against plain Python on the rows that its predecessor kept."""
     import corpus_pipeline as C
