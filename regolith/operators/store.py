@@ -81,3 +81,17 @@ def accuracy(feedback: DataFrame) -> DataFrame:
 def fresh_cache(cache: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Cache entries whose age in whole days is under ``days``."""
     return cache.where(F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("cached_at").cast("timestamp"))) / 86400) < days)
+
+
+def unsent(table: DataFrame, as_of: str, hours: int = 24) -> DataFrame:
+    """Rows not yet sent of the last ``hours`` hours, high severity first, then by time."""
+    cut = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {hours} hours")
+    rows = table.where(~F.coalesce("digest_sent", F.lit(False)) & (F.col("scraped_at") >= cut))
+    return rows.orderBy(F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2), "scraped_at", "source_id")
+
+
+def mark_sent(table: DataFrame, ids: DataFrame, key: str = "source_id") -> DataFrame:
+    """The table with the flag of rows whose key is among ``ids`` set."""
+    hit = ids.select(F.col(key).alias("_id")).distinct().withColumn("_hit", F.lit(True))
+    out = table.join(hit, table[key] == hit["_id"], "left")
+    return out.withColumn("digest_sent", F.coalesce("_hit", "digest_sent", F.lit(False))).drop("_id", "_hit")

@@ -14,6 +14,7 @@ from ..operators import store as S
 from ..sources import agencies as G
 from ..sources import listings as L
 from ..sources import parsers as P
+from ..sources import registers as N
 from . import oracle as O
 from .catalog import QUERIES, SQL, on_citations, on_signals
 
@@ -319,3 +320,46 @@ def _watchlist(spark) -> DataFrame:
     body = '{"query_suffix": "supplement", "ingredients": ["zinc", "_comment", "iron", "fish oil supplement"]}'
     spark.createDataFrame([(body,)], "value string").write.text(path)
     return P.watchlist_queries(spark, path)
+
+
+def _entries(c: DataFrame) -> DataFrame:
+    kind = F.when(F.col("rec_no") % 4 == 0, "Device").otherwise("Listed Medicine")
+    pairs = [("Product name", F.col("summary")), ("Sponsor:", F.col("company")), ("Registration Type", kind), ("ARTG Date", day("d MMMM yyyy"))]
+    a = joined(*[x for k, v in pairs for x in (f'<div class="field__label">{k}</div><div class="field__item">', v, "</div>")])
+    b = joined("<table>", *[x for k, v in pairs for x in (f"<tr><th>{k}</th><td>", v, "</td></tr>")], "</table>")
+    html = F.when(F.col("rec_no") % 2 == 0, a).otherwise(b)
+    pages = c.select(F.col("rec_no").cast("string").alias("entry"), "url", joined("<html>", html, "</html>").alias("html"))
+    return N.register_entries(pages, cutoff("1995-06-01"), now()).select("source_id", "title", "body_text")
+
+
+_SP = "trim(regexp_replace(company, '\\s+', ' ', 'g'))"
+on_citations(
+    "src06_register_entries",
+    f"""{O.CIT} select {_sid('artg', 'url')} as source_id, summary || ' (' || rec_no || ')' as title, 'ARTG ID: ' || rec_no || chr(10) || 'Date listed: ' || coalesce(strftime(date, '%Y-%m-%d'), 'unknown date') || chr(10) || 'Sponsor: ' || {_SP} || chr(10) || 'Registration type: Listed Medicine' || chr(10) || 'Therapeutic good type: ' as body_text
+ from raw where rec_no % 4 <> 0 and (date is null or date >= date '1995-06-01')""",
+)(_entries)
+
+
+def _journal(c: DataFrame) -> DataFrame:
+    item = F.to_json(F.struct(F.struct(F.col("summary").alias("title"), joined("/en/j/", F.col("rec_no") % 700).alias("url"), F.col("violation_details").alias("abstract")).alias("_source")))
+    answers = captured(c.where("authority = 'FDA'"), item, '{"hits": {"hits": [', "]}}", ",", "body").select(F.col("page").alias("ord"), F.concat(F.lit("t"), "page").alias("term"), "body")
+    # every fifth term has no answer and is searched
+    answers = answers.withColumn("body", F.when(F.col("ord") % 5 == 0, '{"hits": {"hits": []}}').otherwise(F.col("body")))
+    block = joined('<a href="/en/publications/', F.col("rec_no"), '">x</a><h2 class="title">', F.col("summary"), "</h2>")
+    searches = captured(c.where("authority = 'TGA'"), block).select(F.col("page").alias("ord"), F.concat(F.lit("t"), "page").alias("term"), "html")
+    feed = captured(c.where("authority = 'EFSA'"), joined("<item><link>https://f/", F.col("rec_no"), "</link><title>", F.when(F.col("rec_no") % 3 == 0, "Vitamin ").otherwise("Other "), F.col("rec_no"), "</title></item>"), per=1_000_000)
+    return N.journal_cascade(answers, searches, feed, now()).select("url", "title")
+
+
+on_citations(
+    "src15_journal_cascade",
+    f"""{O.CIT}, a as (select rec_no // {PER_PAGE} as ord, row_number() over (partition by rec_no // {PER_PAGE} order by rec_no) as pos, 'https://www.efsa.europa.eu/en/j/' || (rec_no % 700) as url, summary as title from raw where authority = 'FDA' and (rec_no // {PER_PAGE}) % 5 <> 0),
+ h as (select rec_no // {PER_PAGE} as ord, row_number() over (partition by rec_no // {PER_PAGE} order by rec_no) as pos, 'https://www.efsa.europa.eu/en/publications/' || rec_no as url, case when length(summary) >= 10 then summary else 'EFSA Publication: t' || (rec_no // {PER_PAGE}) end as title from raw where authority = 'TGA'),
+ h20 as (select * from h where pos <= 20 and ord not in (select ord from a)),
+ f as (select 'https://f/' || rec_no as url, 'Vitamin ' || rec_no as title from raw where authority = 'EFSA' and rec_no % 3 = 0)
+ select url, title from a qualify row_number() over (partition by url order by ord, pos) = 1 union all select url, title from h20 union all select url, title from f""",
+)(_journal)
+on_signals(
+    "snk07_unsent",
+    f"{O.SIG} select source_id from s where sentiment <> 'negative' and scraped_at >= timestamp '2024-01-30 00:00:00'",
+)(lambda s: S.unsent(S.mark_sent(s.withColumn("digest_sent", F.lit(None).cast("boolean")), s.where("sentiment = 'negative'")), "2024-01-31 00:00:00").select("source_id"))
