@@ -376,3 +376,11 @@ def test_every_pipeline_stage_on_odd_rows(spark, odd, none, tmp_path):
     pieces = C.STAGES[-1][1](spark, odd, folder)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in odd.collect()}
     assert C.STAGES[-1][1](spark, none, folder).collect() == []
+
+
+def test_a_word_longer_than_a_hash_segment(spark):
+    giant = "x" * 300_000
+    docs = documents(spark, [(1, f"{giant} a b c d e", "en", "a"), (2, f"{giant} a b c d e", "en", "b"), (3, f"{giant}y a b c d e", "en", "c")])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 3)}
+    assert rows(substring_dedup.substring_dedup(docs, k=3), "doc_id", "n_removed") == [(1, 0), (2, 6), (3, 5)]
