@@ -18,6 +18,7 @@ from .quality_rules import quality_rules
 from .sql import SQL
 from .substring_dedup import substring_dedup
 from .warc import read_warc, write_warc
+from .whitening import fit_whitening, identity_error, valid_vectors, whitened
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,10 +78,28 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    x = rows.withColumn("vector", F.transform("vector", lambda c: F.floor(c.cast("double") * 64) + F.lit(1_000_000)))
+    model = fit_whitening(x, 32)
+    head = F.col("id").alias("vec_id")
+    if model is None:
+        kinds = (("component", "int"), ("n", "bigint"), ("deviation", "bigint"), ("whitened", "double"), ("explained", "double"), ("identity_error", "double"))
+        return x.where("false").select(head, *[F.lit(None).cast(t).alias(c) for c, t in kinds])
+    sums = F.array(*[F.lit(s).cast("long") for s in model.sums])
+    off = F.zip_with("vector", sums, lambda v, s: v * F.lit(model.n).cast("long") - s)
+    deviation = F.aggregate(off, F.lit(0).cast("long"), lambda total, v: total + v * v)
+    error = identity_error(x, model)
+    explained = F.array(*[F.lit(float(e)) for e in model.explained])
+    out = whitened(x, model).select(head, deviation.alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_quality_classifier, op5_language_id,
         op6_warc, op7_decontamination, op8_substring_dedup, op9_line_dedup, op10_lm_scoring,
+        op13_embedding_whitening,
     )
     return {f.__name__: f for f in ops}
 
