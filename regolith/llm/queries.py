@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .decontamination import contaminated
 from .language_id import language_id
 from .line_dedup import line_dedup
@@ -78,6 +79,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     x = rows.withColumn("vector", F.transform("vector", lambda c: F.floor(c.cast("double") * 64) + F.lit(1_000_000)))
@@ -99,7 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_quality_classifier, op5_language_id,
         op6_warc, op7_decontamination, op8_substring_dedup, op9_line_dedup, op10_lm_scoring,
-        op13_embedding_whitening,
+        op11_phrase_collocations, op13_embedding_whitening,
     )
     return {f.__name__: f for f in ops}
 

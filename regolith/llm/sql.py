@@ -93,6 +93,22 @@ with l as (select doc_id, source, i, line, {_TRIM.format('line')} as t from (sel
 select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_removed, 0)::bigint as n_removed, case when text is not null then sha256(coalesce(kept, '')) end as kept_sha256 from documents d left join a using (doc_id)
 """
 
+OP11 = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+ p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as p from d),
+ w as (select lang, list_filter(regexp_split_to_array(p, '[ \t]+'), lambda x: x <> '') as w from p),
+ i as (select lang, w, unnest(range(1, len(w) + 1)) as i from w),
+ f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as g, count(*) as f from i, (values (1), (2), (3)) v(k) where i + k - 1 <= len(w) group by all),
+ n as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
+ c as (select *, string_split(g, ' ') as w from f where k > 1 and f >= 10),
+ x as (select lang, g, f as a, unnest(range(1, k)) as cut, w from c),
+ y as (select x.lang, x.g, a, cut, l.f as l, r.f as r, 1000000::hugeint * a * a // (l.f::hugeint * r.f) as score from x join f l on l.lang = x.lang and l.g = array_to_string(w[:cut], ' ') join f r on r.lang = x.lang and r.g = array_to_string(w[cut + 1:], ' ')),
+ b as (select * from y qualify row_number() over (partition by lang, g order by score, cut) = 1),
+ h as (select lang, g, max(f) as f from (select lang, array_to_string(w[:2], ' ') as g, f from c where k = 3 union all select lang, array_to_string(w[2:], ' '), f from c where k = 3) group by 1, 2),
+ o as (select b.lang, b.g as phrase, a, l, r, n, score::bigint as score from b join n using (lang) left join h on h.lang = b.lang and h.g = b.g where h.f is null or 100 * h.f < 50 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from o qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+
 SQL = {
     "op1_ngram_join": OP1,
     "op2_quality_rules": OP2,
@@ -100,4 +116,5 @@ SQL = {
     "op7_decontamination": OP7,
     "op8_substring_dedup": OP8,
     "op9_line_dedup": OP9,
+    "op11_phrase_collocations": OP11,
 }
