@@ -18,6 +18,7 @@ from .quality_classifier import fit_quality, score_quality
 from .quality_rules import quality_rules
 from .sql import SQL
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .warc import read_warc, write_warc
 from .whitening import fit_whitening, identity_error, valid_vectors, whitened
 
@@ -83,6 +84,11 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = valid_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     x = rows.withColumn("vector", F.transform("vector", lambda c: F.floor(c.cast("double") * 64) + F.lit(1_000_000)))
@@ -104,7 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_ngram_join, op2_quality_rules, op3_best_fit_packing, op4_quality_classifier, op5_language_id,
         op6_warc, op7_decontamination, op8_substring_dedup, op9_line_dedup, op10_lm_scoring,
-        op11_phrase_collocations, op13_embedding_whitening,
+        op11_phrase_collocations, op12_suffix_dedup, op13_embedding_whitening,
     )
     return {f.__name__: f for f in ops}
 

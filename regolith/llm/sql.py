@@ -109,6 +109,18 @@ with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), '
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from o qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
 """
 
+OP12 = """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+ w as (select doc_id, i, array_slice(b, i, i + 99) as x from (select doc_id, b, unnest(range(1, octet_length(b) - 98)) as i from d)),
+ f as (select x, min({'d': doc_id, 'i': i}) as m from w group by 1 having count(*) > 1),
+ r as (select doc_id, i, coalesce(i > lag(i) over (partition by doc_id order by i) + 100, true)::int as head from (select doc_id, i from w join f using (x) where {'d': doc_id, 'i': i} <> m)),
+ s as (select doc_id, min(i) as a, max(i) + 99 as z from (select doc_id, i, sum(head) over (partition by doc_id order by i) as run from r) group by doc_id, run),
+ g as (select doc_id, list(a order by a) as a, list(z order by a) as z, count(*) as n_spans, sum(z - a + 1)::bigint as n_removed from s group by 1),
+ k as (select doc_id, b, coalesce(n_spans, 0) as n_spans, coalesce(n_removed, 0) as n_removed, list_concat([0], coalesce(z, [])) as z, list_concat(coalesce(a, []), [octet_length(b) + 1]) as a from d left join g using (doc_id)),
+ p as (select doc_id, string_agg(hex(array_slice(b, z[j] + 1, a[j] - 1)), '' order by j) filter (a[j] > z[j] + 1) as kept from (select *, unnest(range(1, len(a) + 1)) as j from k) group by 1)
+select doc_id, octet_length(b)::bigint as n_bytes, n_removed, n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from k join p using (doc_id)
+"""
+
 SQL = {
     "op1_ngram_join": OP1,
     "op2_quality_rules": OP2,
@@ -117,4 +129,5 @@ SQL = {
     "op8_substring_dedup": OP8,
     "op9_line_dedup": OP9,
     "op11_phrase_collocations": OP11,
+    "op12_suffix_dedup": OP12,
 }
