@@ -242,6 +242,8 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, top: int =
             found.write.format("parquet").mode("append").bucketBy(buckets, "h").option("path", place).option("compression", "zstd").saveAsTable(counts)
             sent.destroy()
             t += 1
+            if t > (longest - 1) * shards:  # all subphrases are complete
+                continue
             subphrases = spark.table(counts).where(F.col("words").between(1, longest - 1))
             if t >= shards:  # words are complete
                 subphrases = subphrases.where((F.col("words") > 1) | F.lit(t == shards))
