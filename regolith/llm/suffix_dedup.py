@@ -1,25 +1,26 @@
-"""Removal of repeated byte strings by a column-wise Burrows-Wheeler transform of segments.
+"""Removal of repeated byte strings by a column-wise Burrows-Wheeler transform of aligned segments.
 
 Method
 ------
 1. Documents are dealt to chunks by id (one exchange of the texts, reused by every later step).  The
-   windows of ``length`` bytes are cut into runs that share the smallest hash of an ``anchor`` inside;
-   equal windows have equal smallest hashes, wherever they stand.  Chunks send fingerprints of these
-   to buckets, which name those that occur twice, be it inside one run: others hold no repeated window.
+   windows of ``length`` bytes are cut into runs that share an anchor: the place of the smallest hash of
+   ``anchor`` bytes inside, the first of equal ones.  Equal windows have equal anchors at equal distances,
+   wherever they stand.  Chunks send fingerprints of anchors to buckets, which name those that occur
+   twice: other runs hold no repeated window.
 2. Runs of anchors that occur over ``HOT`` times (a common phrase in many contexts) are asked for by the
    hash of each whole window in the same way, and go on as single windows.
 3. What is left travels as segments, a run's windows with the bytes they reach, to the bucket of its
-   anchor: a chunk sends equal segments once.  A bucket's segments form collections (equal ones once,
-   with their smallest place), and each collection's Burrows-Wheeler transform is built column by
-   column: every round inserts the next symbol from the right of each segment at its rank, and updates
-   the common prefixes with both neighbours by range minima over the previous round's.
-4. Windows with a common prefix of ``length`` form a class; all but its smallest place are repeats.
+   anchor: a chunk sends equal segments once.  A bucket's segments form collections, aligned at their
+   anchors, and each collection's transform is built column by column from the right: a round inserts
+   the next symbol of every segment, which sorts the column's suffixes from the order of the last one,
+   and updates the common prefixes of neighbours by range minima over the last ones.
+4. Neighbours with a common prefix of ``length`` form a class; all but its smallest place are repeats.
    They return to their chunk as spans, where the bytes they cover are cut.
 
-In the literature the transform of a collection as large as the corpus lies in files that each round
-reads and writes in order.  Here a collection has some ``COLLECTION`` segments of at most
-``length + SPAN - 1`` bytes, so that one ordered pass a round works on arrays of a few MB in memory, and what is
-external are Spark's exchange files.
+In the literature a suffix is inserted among those of all columns, and the transform lies in files that each
+round reads and writes in order, as large as the corpus.  Here windows of different columns are never
+equal, so a round keeps the order of its own column alone, and a collection has some ``COLLECTION``
+segments, so that this order is an array; what is external are Spark's exchange files.
 
 Defined results: null text counts as empty; a null id counts as larger than all others and comes back
 null; rows of one id are ordered by text and see each other as one document would; texts under ``length`` bytes stay whole; texts of
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 from .textkit import U64, bound_batches, by_bucket, chunk_count, flat, mix, power_of_two, required
 
 LENGTH, ANCHOR = 100, 32
-SPAN = 64  # windows a segment
 HOT = 4096
-COLLECTION = 6000
+COLLECTION = 16_000
 _BLOCK = 1 << 16
+_PLACE = U64((1 << 17) - 1)
 _STEP = 0x9E3779B97F4A7C15 | 1
 _SYMBOL = mix(np.arange(1, 257, dtype=U64))
 
@@ -84,14 +85,14 @@ class Chunk:
         return np.cumsum(at[:-1]) > 0
 
     def runs(self, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, windows, smallest anchor hash, again) of runs of at most ``SPAN`` windows; ``again``: the
-        anchor stands in more than one place, so that a run may repeat its own windows."""
+        """(start, windows, distance to the anchor, hash of the anchor) of runs."""
         ok = self.whole()
         n, w = len(self.data), self.length - anchor + 1
-        starts, values, again = [], [], []
-        before, tail = U64(0), False
+        starts, anchors, values = [], [], []
         for a in range(0, max(0, n - self.length + 1), _BLOCK):
-            each = h = rolled(self.data[a : min(n, a + _BLOCK + self.length - 1)], anchor)
+            # hash above, place in the block below: minima are the first of the smallest
+            h = rolled(self.data[a : min(n, a + _BLOCK + self.length - 1)], anchor)
+            h = (h & ~_PLACE) | np.arange(len(h), dtype=U64)
             size = 1
             while size * 2 <= w:
                 h = np.minimum(h[:-size], h[size:])
@@ -100,28 +101,19 @@ class Chunk:
                 h = np.minimum(h[: len(h) - (w - size)], h[w - size :])
             mine = ok[a : a + len(h)]
             new = np.empty(len(h), dtype=bool)
-            new[0] = a == 0 or h[0] != before or not ok[a - 1]
+            new[0] = True
             np.logical_or(h[1:] != h[:-1], ~mine[:-1], out=new[1:])
             at = np.flatnonzero(new & mine)
             starts.append(at + a)
-            values.append(h[at])
-            # the window that starts with its anchor is not the run's last: the rest has it once more
-            lead = (each[: len(h)] == h) & mine
-            again.append(np.flatnonzero(lead[:-1] & ~new[1:]) + a)
-            if tail and not new[0]:
-                again.append(np.array([a - 1]))
-            before, tail = h[-1], bool(lead[-1])
+            anchors.append((h[at] & _PLACE).astype(np.int64) - at)
+            values.append(mix(h[at] & ~_PLACE))
         if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, bool)
-        start, value = np.concatenate(starts), np.concatenate(values)
+            none = np.zeros(0, np.int64)
+            return none, none, none, np.zeros(0, U64)
+        start = np.concatenate(starts)
         place = np.append(np.cumsum(ok), ok.sum())  # windows up to and with each place
         count = np.diff(np.append(place[start] - 1, ok.sum()))
-        twice = np.zeros(len(start), dtype=bool)
-        twice[np.searchsorted(start, np.concatenate(again), side="right") - 1] = True
-        parts = -(-count // SPAN)
-        of = np.repeat(np.arange(len(start)), parts)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        return start[of] + nth * SPAN, np.minimum(SPAN, count[of] - nth * SPAN), value[of], twice[of]
+        return start, count, np.concatenate(anchors), np.concatenate(values)
 
     def windows_of(self, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, hash) of every window of some runs."""
@@ -155,8 +147,7 @@ def _sent(chunk: int, h: np.ndarray, buckets: int) -> pa.Table:
 
 def _survey(length: int, anchor: int, buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        _, _, value, again = Chunk(table, length).runs(anchor)
-        return _sent(key[0].as_py(), np.concatenate((value, value[again])), buckets)
+        return _sent(key[0].as_py(), Chunk(table, length).runs(anchor)[3], buckets)
 
     return run
 
@@ -208,15 +199,23 @@ def _survey_windows(length: int, anchor: int, buckets: int):
         if not table.num_rows or not len(have):
             return _FINGER.empty_table()
         c = Chunk(table, length)
-        start, count, value, _ = c.runs(anchor)
+        start, count, _, value = c.runs(anchor)
         hot = _among(value, have, buckets)
         return _sent(key[0].as_py(), c.windows_of(start[hot], count[hot])[1], buckets)
 
     return run
 
 
-_SEGMENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("own", pa.bool_()), ("value", pa.binary()), ("last", pa.binary()), ("doc", pa.binary()), ("g", pa.binary()), ("n", pa.binary()), ("body", pa.binary())])
-_SEGMENT_SQL = "bucket int, chunk int, own boolean, value binary, last binary, doc binary, g binary, n binary, body binary"
+_SEGMENT = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("own", pa.bool_()), ("value", pa.binary()), ("last", pa.binary()), ("doc", pa.binary()), ("g", pa.binary()), ("n", pa.binary()), ("to", pa.binary()), ("body", pa.binary())])
+_SEGMENT_SQL = "bucket int, chunk int, own boolean, value binary, last binary, doc binary, g binary, n binary, to binary, body binary"
+
+
+def packed(x: bytes) -> bytes:
+    return len(x).to_bytes(8, "little") + pa.compress(x, codec="zstd", asbytes=True)
+
+
+def unpacked(x: bytes) -> bytes:
+    return pa.decompress(x[8:], decompressed_size=int.from_bytes(x[:8], "little"), codec="zstd", asbytes=True)
 
 
 def _segments(length: int, anchor: int, buckets: int):
@@ -226,16 +225,17 @@ def _segments(length: int, anchor: int, buckets: int):
         if not table.num_rows or not common.num_rows:
             return _SEGMENT.empty_table()
         c, me = Chunk(table, length), key[0].as_py()
-        start, count, value, _ = c.runs(anchor)
+        start, count, to, value = c.runs(anchor)
         hot = _among(value, _answers(common, _HOT), buckets)
         keep = _among(value, _answers(common, _TWICE), buckets) & ~hot
         place, h = c.windows_of(start[hot], count[hot])
         twice = _among(h, _answers(common, _WINDOW), buckets)
         start = np.concatenate((start[keep], place[twice]))
         count = np.concatenate((count[keep], np.ones(int(twice.sum()), dtype=np.int64)))
+        to = np.concatenate((to[keep], np.zeros(int(twice.sum()), dtype=np.int64)))
         value = np.concatenate((value[keep], h[twice]))
         order = np.argsort(start, kind="stable")  # the first of equal ones is the smallest place
-        start, count, value = start[order], count[order], value[order]
+        start, count, to, value = start[order], count[order], to[order], value[order]
         raw, known, first, again = c.data.tobytes(), set(), [], []
         for i, (a, n) in enumerate(zip(start.tolist(), count.tolist(), strict=True)):
             x = raw[a : a + n + length - 1]
@@ -252,10 +252,10 @@ def _segments(length: int, anchor: int, buckets: int):
         rows = [i for i in range(buckets) if at[i + 1] > at[i]]
         cut = lambda x, kind: [x[at[i] : at[i + 1]].astype(kind).tobytes() for i in rows]
         spans = list(zip(start[first].tolist(), (start[first] + count[first] + length - 1).tolist(), strict=True))
-        cols = [cut(value[first], U64), cut(c.last[d], np.uint8), cut(c.ids[d], np.int64), cut(start[first], np.int64), cut(count[first], np.uint8), [b"".join([raw[x:y] for x, y in spans[at[i] : at[i + 1]]]) for i in rows]]
+        cols = [cut(value[first], U64), cut(c.last[d], np.uint8), cut(c.ids[d], np.int64), cut(start[first], np.int64), cut(count[first], np.uint8), cut(to[first], np.uint8), [packed(b"".join([raw[x:y] for x, y in spans[at[i] : at[i + 1]]])) for i in rows]]
         if len(again):
             rows.append(me % buckets)
-            for col, x in zip(cols, (b"", b"", b"", start[again].tobytes(), count[again].astype(np.uint8).tobytes(), b""), strict=True):
+            for col, x in zip(cols, (b"", b"", b"", start[again].tobytes(), count[again].astype(np.uint8).tobytes(), b"", b""), strict=True):
                 col.append(x)
         own = [False] * (len(rows) - bool(len(again))) + [True] * bool(len(again))
         return pa.Table.from_arrays([pa.array(rows, pa.int32()), pa.array([me] * len(rows), pa.int32()), pa.array(own, pa.bool_()), *(pa.array(x, pa.binary()) for x in cols)], schema=_SEGMENT)
@@ -265,83 +265,83 @@ def _segments(length: int, anchor: int, buckets: int):
 
 def _range_min(lcp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Smallest of ``lcp[lo..hi]`` for each pair, by minima over powers of two."""
-    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-    out = np.empty(len(lo), dtype=np.uint8)
-    order = np.argsort(level, kind="stable")
-    bounds = np.searchsorted(level[order], np.arange(int(level.max()) + 2)) if len(lo) else [0]
-    size = 1
-    for i in range(len(bounds) - 1):
-        if i:
-            lcp = np.minimum(lcp[:-size], lcp[size:])
-            size *= 2
-        at = order[bounds[i] : bounds[i + 1]]
-        if len(at):
-            out[at] = np.minimum(lcp[lo[at]], lcp[hi[at] - size + 1])
-    return out
-
-
-def transform(columns: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform and common prefixes (at most ``most``) of a collection.
-
-    ``columns[d, j]`` is the ``j``-th symbol from the right of segment ``d`` (1 to 255), 0 beyond its ``size``; ends
-    differ from each other, by the segments' order, and from all symbols."""
-    d = len(columns)
-    bwt, lcp = columns[:, 0].copy(), np.zeros(d, dtype=np.uint8)
-    at, who = np.arange(d), np.arange(d)  # places whose symbol makes the next suffix, in order, and their segments
-    for j in range(1, columns.shape[1]):
+    level = _LOG[hi - lo + 1]
+    top = int(level.max())
+    table = np.empty((top + 1, len(lcp)), dtype=np.uint8)
+    table[0] = lcp
+    for i in range(top):
+        size = 1 << i
+        np.minimum(table[i, :-size], table[i, size:], out=table[i + 1, : len(lcp) - size])
+        table[i + 1, len(lcp) - size :] = 0
+    flat, base = table.reshape(-1), level.astype(np.int64) * len(lcp)
+    return np.minimum(flat[base + lo], flat[base + hi + 1 - (1 << level.astype(np.int64))])
+
+
+def _logs(n: int) -> np.ndarray:
+    """Floor of the binary logarithm of 0 (as 1) to n."""
+    out = np.frexp(np.arange(n + 1).astype(np.float64))[1] - 1
+    out[0] = 0
+    return out.astype(np.uint8)
+
+
+_LOG = _logs(1 << 12)
+
+
+class Column:
+    """One column of a collection's transform: its suffixes' segments in order, and the common
+    prefixes of each with the one before (at most ``most``)."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.who, self.lcp = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint8)
+
+    def insert(self, symbols: np.ndarray, entering: np.ndarray) -> None:
+        """Put one more symbol (1 to 255; 0: none left) before every suffix; ``entering`` segments begin with it."""
+        who = np.concatenate((entering, self.who))  # an end sorts before every symbol
+        lcp = np.concatenate((np.zeros(len(entering), dtype=np.uint8), self.lcp))
+        bwt = symbols[who]
         order = np.argsort(bwt, kind="stable")
-        order = order[len(order) - np.count_nonzero(bwt) :]  # the suffix that follows from order[r] has place d + r
-        pending = np.zeros(len(bwt), dtype=bool)
-        pending[at] = True
-        r = np.flatnonzero(pending[order])
-        who = who[np.searchsorted(at, order[r])]
-        near = np.unique(np.concatenate((r, r + 1)))
-        near = near[near < len(order)]
-        before = order[np.maximum(near - 1, 0)]
-        same = (near > 0) & (bwt[before] == bwt[order[near]])
-        common = np.zeros(len(near), dtype=np.uint8)
-        if same.any():
-            common[same] = np.minimum(_range_min(lcp, before[same] + 1, order[near[same]]).astype(np.int64) + 1, most)
-        old = np.ones(d + len(order), dtype=bool)
-        old[d + r] = False
-        new = np.empty(len(old), dtype=np.uint8)
-        new[old], new[d + r] = bwt, columns[who, j]
-        bwt = new
-        new = np.empty(len(old), dtype=np.uint8)
-        new[old] = lcp
-        new[d + near] = common
-        lcp = new
-        live = size[who] > j
-        at, who = (d + r)[live], who[live]
-    return bwt, lcp
-
-
-def places(bwt: np.ndarray, d: int, rounds: int) -> np.ndarray:
-    """Place of each segment's suffix of each length, by walking from its end (-1: none)."""
-    order = np.argsort(bwt, kind="stable")
-    follow = np.empty(len(bwt), dtype=np.int64)
-    follow[order] = np.arange(len(bwt)) - np.count_nonzero(bwt == 0) + d
-    out = np.full((d, rounds + 1), -1, dtype=np.int64)
-    out[:, 0] = np.arange(d)
-    live = np.arange(d)
-    for j in range(1, rounds + 1):
-        live = live[bwt[out[live, j - 1]] > 0]
-        out[live, j] = follow[out[live, j - 1]]
-    return out
-
-
-def classes(segments: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, offset, class) of every window of ``length``: equal windows have equal classes."""
-    size = np.array([len(x) for x in segments], dtype=np.int64)
-    data = np.frombuffer(b"".join(segments), dtype=np.uint8)
-    ends, j = np.cumsum(size), np.arange(int(size.max()) + 1)
-    columns = data[np.maximum(ends[:, None] - 1 - j[None, :], 0)] + np.uint8(1)  # UTF-8 has no byte 255
-    columns[j[None, :] >= size[:, None]] = 0
-    bwt, lcp = transform(columns, size, length)
-    at = places(bwt, len(size), int(size.max()))
-    group = np.cumsum(lcp < length)
-    seg, long = np.nonzero(at[:, length:] >= 0)
-    return seg, size[seg] - length - long, group[at[seg, long + length]]
+        order = order[len(order) - np.count_nonzero(bwt) :]
+        self.who, self.lcp = who[order], np.zeros(len(order), dtype=np.uint8)
+        sorted_ = bwt[order]
+        same = np.flatnonzero(sorted_[1:] == sorted_[:-1]) + 1
+        if len(same):
+            common = _range_min(lcp, order[same - 1] + 1, order[same])
+            self.lcp[same] = np.minimum(common, self.most - 1) + np.uint8(1)
+
+    def groups(self) -> np.ndarray:
+        """First places of classes of suffixes with a common prefix of ``most``."""
+        return np.flatnonzero(self.lcp < self.most)
+
+
+def repeats(data: np.ndarray, ends: np.ndarray, windows: np.ndarray, to: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, window) of every window that equals one of a segment with a smaller rank.
+
+    Segment ``i`` is the bytes up to ``ends[i]``: ``windows[i]`` windows of ``length``, the first of which is ``to[i]``
+    bytes before the segment's anchor.  ``rank`` orders the segments' anchors by place."""
+    global _LOG
+    if len(ends) >= len(_LOG):
+        _LOG = _logs(2 * len(ends))
+    size = windows + length - 1
+    right = to - windows + 1  # the last window's distance to the anchor is the column of the last byte
+    columns = np.zeros((int((right + size).max()), len(ends)), dtype=np.uint8)
+    of = np.repeat(np.arange(len(ends)), size)
+    nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)  # from the left
+    columns[(right + size - 1)[of] - nth, of] = data[np.repeat(ends - size, size) + nth] + np.uint8(1)  # UTF-8 has no byte 255
+    by = np.argsort(right, kind="stable")
+    bounds = np.searchsorted(right[by], np.arange(len(columns) + 1))
+    column, out = Column(length), ([], [])
+    for j, symbols in enumerate(columns):
+        column.insert(symbols, by[bounds[j] : bounds[j + 1]])
+        first = column.groups()
+        if len(first) < len(column.who):
+            mine = rank[column.who]
+            least = np.repeat(np.minimum.reduceat(mine, first), np.diff(np.append(first, len(mine))))
+            seg = column.who[mine != least]
+            out[0].append(seg)
+            out[1].append((right + size - 1)[seg] - j)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate((none, *out[0])), np.concatenate((none, *out[1]))
 
 
 _SPANS = pa.schema([("chunk", pa.int32()), ("g", pa.binary()), ("n", pa.binary())])
@@ -354,47 +354,32 @@ def _repeats(length: int, collection: int):
         rows = table.filter(pa.array(~own))
         if not rows.num_rows:
             return out[0]
-        read = lambda c, t: [np.frombuffer(x.as_buffer(), dtype=t) for x in rows.column(c)]
-        counts = read("n", np.uint8)
-        chunk = np.repeat(np.array(rows.column("chunk").to_pylist()), [len(x) for x in counts])
-        n = np.concatenate(counts).astype(np.int64)
-        value, last = np.concatenate(read("value", U64)), np.concatenate(read("last", np.uint8))
-        doc, g = np.concatenate(read("doc", np.int64)), np.concatenate(read("g", np.int64))
-        number, of = {}, []
-        for x, c in zip(rows.column("body"), counts, strict=True):
-            x, a = x.as_py(), 0
-            for b in np.cumsum(c.astype(np.int64) + length - 1).tolist():
-                of.append(number.setdefault(x[a:b], len(number)))
-                a = b
-        of, segments = np.array(of, dtype=np.int64), list(number)
-        # smallest place of equal segments; places of one id are of one chunk
-        order = np.lexsort((g, doc, last, of))
-        lead = order[np.flatnonzero(np.diff(of[order], prepend=-1))]
-        away = np.ones(len(of), dtype=bool)
-        away[lead] = False
-        start, windows = [[], []], [[], []]
-        start[0], windows[0] = g[away], n[away]
-        who = [chunk[away]]
+        read = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), dtype=t) for x in rows.column(c)])
+        n, to, g = read("n", np.uint8).astype(np.int64), read("to", np.uint8).astype(np.int64), read("g", np.int64)
+        chunk = np.repeat(np.array(rows.column("chunk").to_pylist()), [len(x.as_buffer()) for x in rows.column("n")])
+        data = np.frombuffer(b"".join([unpacked(x.as_py()) for x in rows.column("body")]), dtype=np.uint8)
+        ends = np.cumsum(n + length - 1)
+        # anchors by place; places of one id are of one chunk
+        rank = np.empty(len(n), dtype=np.int64)
+        rank[np.lexsort((g + to, read("doc", np.int64), read("last", np.uint8)))] = np.arange(len(n))
         # collections hold whole groups of one value
-        by = np.argsort(value[lead], kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(value[lead][by], prepend=value[lead][by][:1] ^ U64(1))), len(by))
-        a = 0
+        value = read("value", U64)
+        by = np.argsort(value, kind="stable")
+        edges = np.append(np.flatnonzero(value[by][1:] != value[by][:-1]) + 1, len(by))
+        who, start, windows, a = [], [], [], 0
         while a < len(by):
             b = int(edges[np.searchsorted(edges, min(a + collection, len(by)))])
             mine = by[a:b]
-            seg, off, group = classes([segments[i] for i in mine.tolist()], length)
-            row = lead[mine][seg]
-            at = np.lexsort((g[row] + off, doc[row], last[row], group))
-            repeated = np.diff(group[at], prepend=-1) == 0
-            row, off = row[at][repeated], off[at][repeated]
-            back = np.lexsort((off, row))
-            row, off = row[back], off[back]
-            head = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(off, prepend=-2) != 1))
-            start[1].append(g[row[head]] + off[head])
-            windows[1].append(np.diff(np.append(head, len(row))))
-            who.append(chunk[row[head]])
+            seg, off = repeats(data, ends[mine], n[mine], to[mine], rank[mine], length)
+            order = np.lexsort((off, seg))
+            seg, off = seg[order], off[order]
+            head = np.flatnonzero((np.diff(seg, prepend=-1) != 0) | (np.diff(off, prepend=-2) != 1))
+            lead = mine[seg[head]]
+            who.append(chunk[lead])
+            start.append(g[lead] + off[head])
+            windows.append(np.diff(np.append(head, len(seg))))
             a = b
-        who, start, windows = np.concatenate(who), np.concatenate((start[0], *start[1])), np.concatenate((windows[0], *windows[1]))
+        who, start, windows = np.concatenate(who), np.concatenate(start), np.concatenate(windows)
         if not len(who):
             return out[0]
         order = np.argsort(who, kind="stable")
@@ -439,8 +424,8 @@ def _remove(length: int):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, collection: int = COLLECTION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each row's UTF-8 bytes without those covered by a
     ``length``-byte string that also starts earlier: in a smaller id, or before in the same document."""
-    if not 1 <= anchor <= length <= 255 - SPAN:
-        raise ValueError(f"anchor is 1 to length bytes, length at most {255 - SPAN}")
+    if not 1 <= anchor <= length <= 250:
+        raise ValueError("anchor is 1 to length bytes, length at most 250")
     bound_batches(docs.sparkSession)
     docs = required(docs, id_col, text_col).toDF("doc_id", "text")
     docs = docs.select(F.col("doc_id").isNull().alias("last"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

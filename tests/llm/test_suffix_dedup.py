@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from regolith.llm.suffix_dedup import classes, suffix_dedup, transform
+from regolith.llm.suffix_dedup import Column, repeats, suffix_dedup
 
 
 def plain(rows, length):
@@ -33,30 +33,35 @@ def got(spark, rows, **how):
     return sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()), key=repr)
 
 
-def test_transform_equals_sorted_suffixes():
+def test_columns_equal_sorted_suffixes():
     rng = random.Random(1)
     for _ in range(60):
         segs = [bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(1, 9))]
-        size = np.array([len(x) for x in segs])
-        columns = np.zeros((len(segs), size.max() + 1), dtype=np.uint8)
-        for d, x in enumerate(segs):
-            columns[d, : len(x)] = np.frombuffer(x[::-1], dtype=np.uint8)
-        bwt, lcp = transform(columns, size, 5)
-        # an end sorts before all symbols, ends by segment
-        suffixes = sorted(([(1, c) for c in x[i:]] + [(0, d)], x[i - 1] if i else 0) for d, x in enumerate(segs) for i in range(len(x) + 1))
-        assert bwt.tolist() == [b for _, b in suffixes]
-        common = lambda a, b: next(i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y)
-        assert lcp.tolist() == [0, *(min(5, common(a, b)) for (a, _), (b, _) in zip(suffixes, suffixes[1:], strict=False))]
-
-
-def test_classes_equal_windows():
+        right = [rng.randint(0, 5) for _ in segs]
+        column = Column(5)
+        for j in range(20):
+            symbols = np.array([x[len(x) - 1 - (j - r)] if 0 <= j - r < len(x) else 0 for x, r in zip(segs, right, strict=True)], dtype=np.uint8)
+            column.insert(symbols, np.array([i for i, r in enumerate(right) if r == j], dtype=np.int64))
+            live = {i: segs[i][len(segs[i]) - 1 - (j - right[i]) :] for i in range(len(segs)) if 0 <= j - right[i] < len(segs[i])}
+            got = column.who.tolist()
+            assert sorted(got) == sorted(live) and [live[i] for i in got] == sorted(live.values())
+            common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+            assert column.lcp.tolist() == [min(5, common(live[a], live[b])) if i else 0 for i, (a, b) in enumerate(zip([None, *got], got, strict=False))]
+
+
+def test_repeats_of_aligned_segments():
     rng = random.Random(2)
-    for _ in range(40):
-        segs = [bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 20))) for _ in range(rng.randint(1, 12))]
-        seg, off, group = classes(segs, 6)
-        windows = [segs[s][o : o + 6] for s, o in zip(seg, off, strict=True)]
-        assert sorted(windows) == sorted(x[i : i + 6] for x in segs for i in range(len(x) - 5))
-        assert len(set(zip(windows, group, strict=True))) == len(set(windows)) == len(set(group))
+    for _ in range(60):
+        segs, to = [bytes(rng.choice(b"ab") for _ in range(rng.randint(6, 12))) for _ in range(rng.randint(1, 12))], []
+        windows = np.array([len(x) - 5 for x in segs])
+        to = np.array([rng.randint(n - 1, 8) for n in windows.tolist()])
+        rank = np.array(rng.sample(range(50), len(segs)))
+        seg, off = repeats(np.frombuffer(b"".join(segs), dtype=np.uint8), np.cumsum([len(x) for x in segs]), windows, to, rank, 6)
+        every = [(x[o : o + 6], to[i] - o, rank[i], i, o) for i, x in enumerate(segs) for o in range(windows[i])]
+        least = {}
+        for w, c, r, _, _ in every:
+            least[w, c] = min(r, least.get((w, c), r))
+        assert sorted(zip(seg.tolist(), off.tolist(), strict=True)) == sorted((i, o) for w, c, r, i, o in every if r > least[w, c])
 
 
 def corpus(rng, n):
