@@ -42,24 +42,6 @@ def first_match(text: Column, rules: Rules, default: str | None) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def hits(text: Column, phrases: Sequence[str]) -> Column:
-    """How many of the phrases a lower-case text contains.
-
-    A filter over the list stays one small expression; a sum of ``contains`` is no faster and makes
-    plans of the whole chain too large to compile."""
-    return F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: text.contains(p)))
-
-
-def matched(text: Column, phrases: Sequence[str]) -> Column:
-    return F.filter(F.array(*map(F.lit, phrases)), lambda p: text.contains(p))
-
-
-def ranked_labels(text: Column, rules: Rules) -> Column:
-    """Labels with at least one hit, most hits first, table order on ties."""
-    scores = F.array(*[F.struct((-hits(text, p)).alias("n"), F.lit(i).alias("ord"), F.lit(label).alias("label")) for i, (label, p) in enumerate(rules)])
-    return F.transform(F.array_sort(F.filter(scores, lambda s: s["n"] < 0)), lambda s: s["label"])
-
-
 def parse_date(text: str | Column, month_first: bool = False) -> Column:
     """Date from the notices' formats: ISO first, then compact, month names, slashes by preference."""
     t = F.substring(F.trim(F.col(text) if isinstance(text, str) else text), 1, 30)

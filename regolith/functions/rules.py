@@ -125,3 +125,21 @@ REPORT_CATEGORY = [
 ]
 REPORT_HIGH = ["death", "hospitali", "life-threatening", "serious adverse", "serious risk", "critical", "urgent", "immediate", "ban", "banned", "seizure", "injunction", "salmonella", "listeria", "e. coli", "counterfeit", "undeclared drug", "sildenafil", "tadalafil", "sibutramine", "sarms", "dmaa", "dmha", "anabolic steroid", "recall class i", "class i recall"]
 REPORT_LOW = ["opinion", "information", "update", "guidance", "review", "assessment", "monitoring", "surveillance", "report"]
+
+# Ingredient terms looked for in titles, in their order
+KNOWN_INGREDIENTS = [
+    "ashwagandha", "turmeric", "curcumin", "melatonin", "probiotic", "probiotics", "omega-3", "omega 3", "collagen", "magnesium", "vitamin d", "vitamin c",
+    "vitamin b", "zinc", "iron", "calcium", "creatine", "caffeine", "cbd", "cannabidiol", "berberine", "resveratrol", "coq10", "coenzyme q10",
+    "nmn", "nad+", "glutathione", "quercetin", "folic acid", "folate", "biotin", "selenium", "iodine", "fish oil", "krill oil", "spirulina",
+    "chlorella", "maca", "ginseng", "echinacea", "valerian", "chamomile", "st. john", "ginkgo", "ginkgo biloba", "saw palmetto", "black cohosh", "evening primrose",
+    "milk thistle", "rhodiola", "holy basil", "bacopa", "lion's mane", "reishi", "chaga", "saffron", "garlic", "cinnamon", "ginger", "beetroot",
+    "acai", "elderberry", "lutein", "lycopene", "beta-carotene", "astaxanthin", "phosphatidylserine", "alpha lipoic", "acetyl-l-carnitine", "l-carnitine", "l-theanine", "5-htp",
+    "tryptophan", "glucosamine", "chondroitin", "msm", "hyaluronic acid", "colostrum", "whey protein", "pea protein", "betaine", "arginine", "citrulline", "beet",
+    "nitrate", "peptide", "bpc-157", "tb-500", "ghk-cu", "artri ajo", "sea buckthorn", "inositol", "chromium", "boron", "silicon", "strontium",
+    "lithium", "manganese", "molybdenum", "copper", "potassium", "sodium bicarbonate", "sodium phosphate", "beta-alanine", "hmb", "cla", "green tea", "egcg",
+    "raspberry ketone", "glucomannan", "psyllium", "inulin", "fos", "mos", "lactulose", "xylitol", "stevia", "monk fruit",
+]
+# Phrases, categories and failure modes of the equipment trace
+EQUIPMENT_TERMS = ["equipment", "facilit", "calibration", "maintenance", "hvac", "utilities", "water system", "premises", "sanitation", "qualification", "installation", "repair", "preventive"]
+EQUIPMENT_CATEGORIES = ["Equipment & facilities", "Equipment / Facilities"]
+EQUIPMENT_MODES = ["equipment_facilities", "equipment_facility", "cleaning_validation", "calibration"]

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import phrases as S
 from ..functions import rules as R
-from ..functions.expr import any_of, first_filled, first_match, hits, icase, joined_filled, mdy_sort_key, rank_of, ranked_labels
+from ..functions.expr import any_of, first_filled, first_match, icase, joined_filled, mdy_sort_key, rank_of
+
+EVIDENCE = tuple(R.EVIDENCE.items())
+# single words of the chemical mode count by an expression with word borders instead
+COUNTED_MODE = [(mode, [p for p in phrases if " " in p or mode != "contamination_chemical"]) for mode, phrases in R.FAILURE_MODE]
 
 
 def re(c: Column, pattern: str) -> Column:
@@ -20,7 +25,8 @@ def with_texts(c: DataFrame) -> DataFrame:
     c = c.withColumn("best_text", F.when(rich, F.col("enriched_text")).otherwise(first_filled("raw_listing_summary", "violation_details", "summary")))
     c = c.withColumn("context_text", joined_filled("raw_listing_summary", "summary", "violation_details", "enriched_text"))
     c = c.withColumn("severity_text", F.concat_ws(" ", F.coalesce("summary", F.lit("")), F.coalesce("violation_details", F.lit("")), F.coalesce("enriched_text", F.lit(""))))
-    return c.withColumn("best_lower", F.lower("best_text"))
+    c = c.withColumn("best_lower", F.lower("best_text"))
+    return c.withColumn("best", S.search(F.col("best_lower"), S.all_of(R.CATEGORY, R.FAILURE_MODE, EVIDENCE), ranked=R.CATEGORY, counted=COUNTED_MODE))
 
 
 def infer_severity(text: Column, source_type: Column) -> Column:
@@ -38,9 +44,8 @@ def first_category(text: Column, fallback: str = R.NO_DETAIL) -> Column:
 
 def categories(c: DataFrame) -> DataFrame:
     """Adds primary_gmp_category and up to three secondary ones, by phrases found."""
-    c = c.withColumn("_ranked", ranked_labels(F.col("best_lower"), R.CATEGORY))
-    c = c.withColumn("primary_gmp_category", F.coalesce(F.get("_ranked", 0), F.lit(R.NO_DETAIL)))
-    return c.withColumn("secondary_gmp_categories", F.slice("_ranked", 2, 3)).drop("_ranked")
+    c = c.withColumn("primary_gmp_category", F.coalesce(F.get("best.ranked", 0), F.lit(R.NO_DETAIL)))
+    return c.withColumn("secondary_gmp_categories", F.slice("best.ranked", 2, 3))
 
 
 def tobacco_only(text: Column) -> Column:
@@ -51,17 +56,14 @@ def failure_mode(c: DataFrame) -> DataFrame:
     """Adds failure_mode and failure_mode_confidence (unrounded)."""
     scores = []
     for i, (mode, phrases) in enumerate(R.FAILURE_MODE):
-        text = F.col("best_lower")
+        n = F.get("best.counts", i)
         if mode == "contamination_chemical":
-            n = hits(text, [p for p in phrases if " " in p]) + F.when(re(F.col("best_text"), R.CHEMICAL), 1).otherwise(0)
-        else:
-            n = hits(text, phrases)
+            n = n + F.when(re(F.col("best_text"), R.CHEMICAL), 1).otherwise(0)
         scores.append(F.struct(F.least(F.lit(1.0), n / F.lit(max(len(phrases) * 0.3, 1.0))).alias("score"), F.lit(-i).alias("ord"), F.lit(mode).alias("mode")))
-    c = c.withColumn("_best", F.array_max(F.array(*scores)))
-    none = F.col("_best.score") == 0
-    guard = tobacco_only(F.col("context_text"))
-    c = c.withColumn("failure_mode", F.when(guard, "insufficient_detail").when(none, "").otherwise(F.col("_best.mode")))
-    return c.withColumn("failure_mode_confidence", F.when(guard, 0.1).otherwise(F.col("_best.score"))).drop("_best")
+    best = F.array_max(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).alias("ord"), F.lit("").alias("mode")), *scores))
+    guarded = F.struct(F.lit(0.1).alias("score"), F.lit(0).alias("ord"), F.lit("insufficient_detail").alias("mode"))
+    c = c.withColumn("_mode", F.when(tobacco_only(F.col("context_text")), guarded).otherwise(best))
+    return c.withColumns({"failure_mode": F.col("_mode.mode"), "failure_mode_confidence": F.col("_mode.score")}).drop("_mode")
 
 
 def is_guidance(url: Column, title: Column) -> Column:
@@ -82,28 +84,25 @@ def evidence(c: DataFrame) -> DataFrame:
     rich = F.col("enrichment_status").isin("success", "cached") & (F.length(F.coalesce("enriched_text", F.lit(""))) > 100)
     filled = lambda x: F.coalesce(x, F.lit("")) != ""
     basis = F.when(rich, "enriched_text").when(filled("raw_listing_summary"), "raw_listing_summary").when(filled("violation_details"), "violation_details").when(filled("summary"), "summary").otherwise("unknown")
-    # the category's own terms, looked up rather than tested for every category
-    terms = F
-    for label, phrases in R.EVIDENCE.items():
-        terms = terms.when(F.col("primary_gmp_category") == label, F.array(*map(F.lit, phrases)))
-    modes = F
-    for label, phrases in R.FAILURE_MODE:
-        modes = modes.when(F.col("failure_mode") == label, F.array(*map(F.lit, phrases)))
+    # the label's own terms, looked up in constant maps: one reference to a label, however many there are
+    lists = lambda rules: F.create_map(*[x for label, p in rules for x in (F.lit(label), S.literal(p))])
+    terms, modes = F.element_at(lists(EVIDENCE), F.col("primary_gmp_category")), F.element_at(lists(R.FAILURE_MODE), F.col("failure_mode"))
     exempt = F.col("primary_gmp_category").isin("Labelling & claims", "Ingredient safety", "Contamination & sterility")
     open_ = ~(is_guidance(F.col("url"), title_text()) & ~is_enforcement(title_text())) | exempt
     c = c.withColumns({"_terms": F.when(open_, terms), "_modes": modes, "_listing": F.lower(joined_filled("raw_listing_summary", "violation_details", "summary")), "_rich": F.when(rich, F.lower("enriched_text")).otherwise("")})
-    within = lambda arr, t: F.coalesce(F.filter(arr, lambda x: F.col(t).contains(x)), F.array().cast("array<string>"))
-    c = c.withColumns({"_all": within("_terms", "best_lower"), "_list": within("_terms", "_listing"), "_enr": within("_terms", "_rich")})
+    within = lambda arr, hits: F.coalesce(F.array_intersect(arr, hits), F.array().cast("array<string>"))
+    search = lambda t: S.found(F.col(t), S.all_of(EVIDENCE))
+    c = c.withColumns({"_all": within("_terms", "best.found"), "_list": within("_terms", search("_listing")), "_enr": within("_terms", search("_rich"))})
     conf = F.when(F.col("_terms").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.size("_all") / F.greatest(F.size("_terms") * 0.25, F.lit(1.0))))
     status = F.when(F.col("_terms").isNull(), "unconfirmed").when(F.size("_enr") > 0, "confirmed").when((F.size("_list") > 0) & (conf >= 0.3), "provisional").when(F.size("_all") > 0, "provisional").otherwise("unconfirmed")
     out = c.withColumns({
         "category_evidence": F.slice("_all", 1, 10),
         "category_confidence": conf,
-        "failure_mode_evidence": F.when(F.col("_terms").isNull(), F.array().cast("array<string>")).otherwise(F.slice(within("_modes", "best_lower"), 1, 8)),
+        "failure_mode_evidence": F.when(F.col("_terms").isNull(), F.array().cast("array<string>")).otherwise(F.slice(within("_modes", "best.found"), 1, 8)),
         "classification_basis": basis,
         "classification_status": status,
     })
-    return out.drop("_terms", "_modes", "_listing", "_rich", "_all", "_list", "_enr")
+    return out.drop("_terms", "_modes", "_listing", "_rich", "_all", "_list", "_enr", "best")
 
 
 def priority(c: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import phrases as S
+from ..functions import rules as R
 from ..functions.expr import any_of, blank_to_null, first_match, joined_filled
 
 # Name parts
@@ -66,6 +68,36 @@ def ingredient(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default
     return first_match(F.lower(text), rules, default)
 
 
+def title_ingredient(title: Column) -> Column:
+    """The first known ingredient term, in the terms' order, that a title contains, else null."""
+    return S.first(F.lower(title), R.KNOWN_INGREDIENTS)
+
+
+def evidence_terms(c: DataFrame) -> DataFrame:
+    """Adds ``terms``, the primary category's evidence phrases in all of a record's texts, and ``enriched``, whether
+    the enriched text alone has one.  A category without phrases has none."""
+    rules = tuple(R.EVIDENCE.items())
+    own = F.element_at(F.create_map(*[x for label, p in rules for x in (F.lit(label), S.literal(p))]), F.col("primary_gmp_category"))
+    within = lambda text: F.coalesce(F.array_intersect(own, S.found(F.lower(text), S.all_of(rules))), S.literal([]))
+    text = joined_filled("violation_details", "raw_listing_summary", "summary", "enriched_text")
+    return c.withColumns({"terms": within(text), "enriched": F.size(within(F.coalesce("enriched_text", F.lit("")))) > 0})
+
+
+def equipment_trace(c: DataFrame) -> DataFrame:
+    """Adds ``has_evidence`` (an equipment term among the evidence phrases), ``low_value`` (a noise word in title or
+    summary) and ``reason``, why a record counts as equipment and facilities: its category, else the
+    legacy one, and its failure mode."""
+    c = c.withColumns({n: F.lit("") for n in ("title", "category") if n not in c.columns})
+    phrases = F.concat_ws(" ", F.coalesce("category_evidence", S.literal([])), F.coalesce("failure_mode_evidence", S.literal([])))
+    some = lambda text, terms: F.size(S.found(F.lower(text), terms)) > 0
+    text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
+    quoted = lambda name, column, after="": F.concat(F.lit(f"{name}='"), F.col(column), F.lit(f"'{after}"))
+    category = F.when(F.col("primary_gmp_category").isin(R.EQUIPMENT_CATEGORIES), quoted("primary_gmp_category", "primary_gmp_category")).when(F.col("category").isin(R.EQUIPMENT_CATEGORIES), quoted("legacy category", "category", " (no primary_gmp_category match)"))
+    mode = F.when(F.col("failure_mode").isin(R.EQUIPMENT_MODES), quoted("failure_mode", "failure_mode"))
+    reason = F.nullif(F.concat_ws("; ", category, mode), F.lit(""))
+    return c.withColumns({"has_evidence": some(phrases, R.EQUIPMENT_TERMS), "low_value": some(text, R.NOISE), "reason": F.coalesce(reason, F.lit("UNKNOWN — should not appear here"))})
+
+
 def is_generic(text: Column) -> Column:
     return (F.coalesce(text, F.lit("")) == "") | any_of(F.lower(text), GENERIC)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
+from ..functions import phrases as PH
 from ..operators import display as D
 from ..operators import facets as T
 from ..operators import rollups as U
@@ -95,7 +96,7 @@ on_citations("jon05_two_key_join", f"{O.CIT} select rec_no, rec_no % 2 = 0 as ca
     lambda c: c.withColumn("h", F.md5("summary")).join(c.where("rec_no % 2 = 0").select("id", F.md5("summary").alias("h"), F.lit(True).alias("hit")), ["id", "h"], "left").select("rec_no", F.coalesce("hit", F.lit(False)).alias("cached"))
 )
 on_citations("jon08_rule_matches", f"{O.CIT} select catr.label, count(distinct rec_no) as n from raw, catr where contains(lower(summary), phrase) group by 1")(
-    lambda c: c.select("rec_no", F.explode(X.ranked_labels(F.lower("summary"), _category_rules())).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    lambda c: c.select("rec_no", F.explode(PH.ranked(F.lower("summary"), _category_rules())).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 )
 
 

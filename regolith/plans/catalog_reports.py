@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..operators import audit as U
+from ..operators import display as D
 from . import oracle as O
-from .catalog import on_citations
-from .views import CITATIONS_AS_OF
+from .catalog import QUERIES, SQL, on_citations
+from .views import CITATIONS_AS_OF, tables
 
 B = "::bigint"
 
@@ -48,3 +50,33 @@ union all select * from (values ('ai_call_tracking', 'accepted', 7, ''), ('ai_ca
 def _(c):
     c = c.withColumns({"ai_summary": F.col("decision_summary"), "ai_confidence": F.col("classification_confidence"), "recommended_action": F.col("violation_details")})
     return U.audit_lines(U.enrichment_audit(c, CITATIONS_AS_OF, ["tga"], {"accepted": 7, "discarded": 2}, {"rows": 3}))
+
+
+# ---- phrase search -----------------------------------------------------------------------
+
+_TERMS = "[" + ", ".join(map(O.quoted, R.KNOWN_INGREDIENTS)) + "]"
+QUERIES["prj39_title_ingredient"] = lambda spark, d: tables(spark, d, "documents")["documents"].select("doc_id", D.title_ingredient(F.col("text")).alias("ingredient"))
+SQL["prj39_title_ingredient"] = f"select doc_id, list_filter({_TERMS}, lambda x: contains(lower(text), x))[1] as ingredient from documents"
+
+on_citations(
+    "msc03_evidence_terms",
+    f"""{O.CLUST}, e as (select label, list(phrase) as phrases, list(phrase order by rowid) as o from (select *, row_number() over () as rowid from evir) group by 1),
+ x as (select rec_no, list_filter(coalesce(o, []), lambda p: contains(lower(concat_ws(' ', nullif(violation_details, ''), nullif(raw_listing_summary, ''), nullif(summary, ''), nullif(enriched_text, ''))), p)) as terms,
+  len(list_filter(coalesce(o, []), lambda p: contains(lower(coalesce(enriched_text, '')), p))) > 0 as enriched from clus left join e on label = primary_gmp_category) select rec_no, array_to_string(terms, '|') as terms, enriched from x""",
+    "full",
+)(lambda c: D.evidence_terms(c).select("rec_no", F.array_join("terms", "|").alias("terms"), "enriched"))
+
+
+def _any(text: str, terms: list[str]) -> str:
+    return "(" + " or ".join(f"contains({text}, {O.quoted(x)})" for x in terms) + ")"
+
+
+_OWN = "(select bool_or({0}) from {1} where label = {2} and contains(lower(best_text), phrase))"
+on_citations(
+    "msc05_equipment_trace",
+    f"""{O.CLUST}, e as (select *, coalesce({_OWN.format(_any('phrase', R.EQUIPMENT_TERMS), 'evir', 'primary_gmp_category')}, false) and n_evidence > 0 as a, coalesce({_OWN.format(_any('phrase', R.EQUIPMENT_TERMS), 'modr', 'failure_mode')}, false) and not ({O._GUIDE} and primary_gmp_category not in ('Labelling & claims', 'Ingredient safety', 'Contamination & sterility')) as b,
+  primary_gmp_category in {O.in_list(R.EQUIPMENT_CATEGORIES)} as p, failure_mode in {O.in_list(R.EQUIPMENT_MODES)} as m from clus)
+ select rec_no, a or b as has_evidence, {_any("lower(coalesce(summary, ''))", R.NOISE)} as low_value,
+  case when not p and not m then 'UNKNOWN — should not appear here' else concat_ws('; ', case when p then 'primary_gmp_category=''' || primary_gmp_category || '''' end, case when m then 'failure_mode=''' || failure_mode || '''' end) end as reason from e""",
+    "full",
+)(lambda c: D.equipment_trace(c).select("rec_no", "has_evidence", "low_value", "reason"))
