@@ -1,22 +1,21 @@
 """Cross-site line dedup by distinct-site spread, in DataFrame functions.
 
-A line's key is two 64-bit hashes of its stripped text.  Lines aggregate to (key, site) with
-their smallest document, partially in each task.  One HyperLogLog sketch of sites a key merges
-from these; keys whose estimate is within a factor of two of ``min_sites`` get an exact
-distinct count from the same exchange; above that the estimate decides.  A line on
-``min_sites`` sites or more is boilerplate and is removed wherever it stands, except in the
-document with the smallest id that has it.
-
-Frequent lines meet as one partial row a task and site, never as all their rows: the boilerplate
-keys, a stored table, are sent to the lines if their counted number is at most ``BROADCAST_LIMIT``;
-beyond, lines join them by shuffle under ``SALTS`` salts, of which each key has all.  Removal
-flags come back to documents in line order, so texts are cut in one pass; documents whose
-lines all stay are not touched.
+A line's key is two 64-bit hashes of its stripped text.  Each task folds the sites of its lines into one
+HyperLogLog sketch a key, and the exchange carries these partial sketches, not lines or (line, site)
+pairs; they merge by key.  Keys whose estimate is within a factor of two of ``min_sites`` get an
+exact distinct count over their own lines alone; above that the estimate decides.  A line on
+``min_sites`` sites or more is boilerplate and is removed wherever it stands, except in the document with
+the smallest id that has it.
+
+Lines meet keys, a stored table, where they stand: the keys are sent to the lines if their counted
+number is at most ``BROADCAST_LIMIT``; beyond, lines join them by shuffle under ``SALTS`` salts, of which
+each key has all.  Removal flags come back to documents in line order, so texts are cut in one pass;
+documents whose lines all stay are not touched.
 
 Defined results: null and empty texts have no lines and come back as they are; a null site
 counts as one site of its own; a null id counts as larger than all others; blank lines are
-never removed; rows with equal id and text are treated alike; an empty table gives an empty
-result.
+never removed; rows with equal id and text are treated alike; a very long text is one row and its
+lines are rows like others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,26 +39,28 @@ def site_lines(docs: DataFrame) -> DataFrame:
     return lines.select("rid", "th", "pos", "site", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"))
 
 
-def boilerplate_keys(lines: DataFrame, min_sites: int) -> DataFrame:
+def meeting(lines: DataFrame, keys: DataFrame, broadcast_limit: int) -> DataFrame:
+    """Lines with a stored table's rows of the same key."""
+    if keys.count() <= broadcast_limit:
+        return lines.join(F.broadcast(keys), ["k1", "k2"])
+    keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS)).cast("int")).join(keys, ["k1", "k2", "salt"])
+
+
+def boilerplate_keys(lines: DataFrame, min_sites: int, broadcast_limit: int) -> DataFrame:
     """(k1, k2, first) of lines on at least ``min_sites`` sites; ``first`` is their smallest id."""
-    pairs = lines.groupBy("k1", "k2", "site").agg(F.min("rid").alias("first"))
-    spread = pairs.groupBy("k1", "k2").agg(F.hll_sketch_agg("site").alias("sketch"), F.min("first").alias("first"))
+    spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site").alias("sketch"), F.min("rid").alias("first"))
     spread = spread.select("k1", "k2", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") * 2 >= min_sites)
-    sure = spread.where(F.col("sites") > 2 * min_sites).select("k1", "k2", "first")
+    spread = materialize(spread, "spread")
     close = spread.where(F.col("sites") <= 2 * min_sites).select("k1", "k2", "first")
-    exact = pairs.select("k1", "k2").join(close.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").count()
-    return sure.unionByName(close.join(exact.where(F.col("count") >= min_sites), ["k1", "k2"], "left_semi"))
+    exact = meeting(lines, close, broadcast_limit).groupBy("k1", "k2").agg(F.count_distinct("site").alias("sites"), F.min("first").alias("first"))
+    sure = spread.where(F.col("sites") > 2 * min_sites).select("k1", "k2", "first")
+    return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("k1", "k2", "first"))
 
 
 def marked(lines: DataFrame, keys: DataFrame, broadcast_limit: int) -> DataFrame:
     """Lines that are boilerplate and not in the first document of theirs."""
-    keys = materialize(keys, "boilerplate")
-    if keys.count() <= broadcast_limit:
-        found = lines.join(F.broadcast(keys), ["k1", "k2"])
-    else:
-        keys = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = lines.withColumn("salt", F.pmod(F.xxhash64("rid", "pos"), F.lit(SALTS)).cast("int")).join(keys, ["k1", "k2", "salt"])
-    return found.where("rid > first")
+    return meeting(lines, materialize(keys, "boilerplate"), broadcast_limit).where("rid > first")
 
 
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -81,7 +82,7 @@ def _keys(doc_id: Column, text: Column) -> list[Column]:
 
 def _cut(d: DataFrame, min_sites: int, broadcast_limit: int) -> DataFrame:
     lines = site_lines(d.where("text is not null"))
-    flags = marked(lines, boilerplate_keys(lines, min_sites), broadcast_limit).groupBy("rid", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    flags = marked(lines, boilerplate_keys(lines, min_sites, broadcast_limit), broadcast_limit).groupBy("rid", "th").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
     # positions to one flag a line: each gap is a run of kept lines before a removed one
     runs = F.transform("gone", lambda p, i: F.concat(F.array_repeat(F.lit(False), F.when(i == 0, p).otherwise(p - F.get(F.col("gone"), i - 1) - 1)), F.array(F.lit(True))))
     flags = flags.select("rid", "th", F.flatten(runs).alias("flags"))
