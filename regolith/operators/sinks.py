@@ -12,10 +12,15 @@ def append_feedback(rows: DataFrame, table_path: str, json_path: str) -> None:
     rows.write.mode("append").json(json_path)
 
 
-def append_accuracy(counts: DataFrame, path: str, as_of: str) -> None:
-    """Append a line of accuracy counts, with a percentage of one decimal, as CSV."""
+def accuracy_line(counts: DataFrame, as_of: str) -> DataFrame:
+    """Accuracy counts with their instant and a percentage of one decimal."""
     pct = F.round(F.try_divide(100.0 * F.col("correct"), F.col("total")), 1)
-    counts.select(F.lit(as_of).alias("at"), "total", "correct", "incorrect", "partially_correct", pct.alias("pct")).write.mode("append").option("header", True).csv(path)
+    return counts.select(F.lit(as_of).alias("at"), "total", "correct", "incorrect", "partially_correct", pct.alias("pct"))
+
+
+def append_accuracy(counts: DataFrame, path: str, as_of: str) -> None:
+    """Append a line of accuracy counts as CSV."""
+    accuracy_line(counts, as_of).write.mode("append").option("header", True).csv(path)
 
 
 def write_citations(rows: DataFrame, path: str) -> None:

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..operators import audit as U
 from ..operators import display as D
+from ..operators.store import accuracy, shared_path
+from ..operators.versioned import CitationStore, FeedbackLog, KeyedTable
+from ..streaming.tables import apply_batch
 from . import oracle as O
 from .catalog import QUERIES, SQL, on_citations
-from .views import CITATIONS_AS_OF, tables
+from .views import CITATIONS_AS_OF, signals, tables
 
 B = "::bigint"
 
@@ -80,3 +83,50 @@ on_citations(
   case when not p and not m then 'UNKNOWN — should not appear here' else concat_ws('; ', case when p then 'primary_gmp_category=''' || primary_gmp_category || '''' end, case when m then 'failure_mode=''' || failure_mode || '''' end) end as reason from e""",
     "full",
 )(lambda c: D.equipment_trace(c).select("rec_no", "has_evidence", "low_value", "reason"))
+
+
+# ---- incremental tables and committed sinks -----------------------------------------------
+
+
+def _incremental(spark, d):
+    """Four batches of signals through the keyed table; blank summaries are filled as they come in."""
+    s = signals(spark, d).select("source_id", "rec_no", "ai_summary")
+    table = KeyedTable(spark, shared_path(spark, "signals-by-key"), s.schema, "source_id", buckets=16)
+    answer = lambda rows: rows.select("source_id", F.concat(F.lit("told "), F.substring("source_id", 1, 4)).alias("ai_summary"))
+    for i in range(4):
+        # neighbouring batches share rows, of which the table keeps the first
+        apply_batch(table, s.where(F.pmod("rec_no", F.lit(4)).isin(i, (i + 1) % 4)), f"batch-{i}", "ai_summary", answer)
+    return table.read()
+
+
+QUERIES["str03_incremental"] = _incremental
+SQL["str03_incremental"] = f"{O.SIG} select source_id, rec_no, case when coalesce(ai_summary, '') = '' then 'told ' || substr(source_id, 1, 4) else ai_summary end as ai_summary from s"
+
+
+def _feedback(spark, d):
+    """Ratings of signals through the log in two steps, one of them twice; the table against its mirror."""
+    kinds = "case rec_no % 4 when 0 then 'correct' when 1 then 'incorrect' when 2 then 'partially_correct' else 'skipped' end"
+    rows = signals(spark, d).selectExpr("source_id", f"{kinds} as rating", "rec_no")
+    schema = "source_id string, rating string, rec_no long"
+    log = FeedbackLog(spark, shared_path(spark, "feedback"))
+    for step in (0, 1, 1):
+        log.feedback(str(step), rows.where(F.col("rec_no") % 2 == step))
+    log.accuracy("0", accuracy(log.table(schema)), "2024-01-31")
+    both = log.table(schema).groupBy("rating").agg(F.count("*").alias("n"), F.sum("rec_no").alias("sum_no")).join(log.mirror(schema).groupBy("rating").agg(F.count("*").alias("mirrored")), "rating")
+    return both.crossJoin(F.broadcast(log.figures().select("total", "pct")))  # one row
+
+
+QUERIES["snk05_06_feedback_log"] = _feedback
+SQL["snk05_06_feedback_log"] = f"""{O.SIG}, r as (select case rec_no % 4 when 0 then 'correct' when 1 then 'incorrect' when 2 then 'partially_correct' else 'skipped' end as rating, rec_no from s)
+select rating, count(*) as n, sum(rec_no){B} as sum_no, count(*) as mirrored, (select count(*) from r) as total, (select round(100.0::double * count(*) filter (rating = 'correct') / count(*), 1) from r) as pct from r group by 1"""
+
+
+@on_citations("snk08_citation_store", f"{O.CLUST} select authority, count(*) as n, count(distinct id) as ids, min(rec_no) as first_no from clus group by 1", "full")
+def _(c):
+    store = CitationStore(c.sparkSession, shared_path(c.sparkSession, "citation-store"))
+    names = ["id", "rec_no", "authority", "source_type", "priority", "date", "summary"]
+    store.publish("run", c.select(*names), "<script>const DATA = @DATA@;</script>", "@DATA@")
+    kind = c.select(*names).schema
+    back = c.sparkSession.read.schema(kind).json(store.newest("partitioned"))
+    flat = c.sparkSession.read.schema(kind).json(store.newest("flat")).groupBy("authority").agg(F.count_distinct("id").alias("ids"))
+    return back.groupBy("authority").agg(F.count("*").alias("n"), F.min("rec_no").alias("first_no")).join(flat, "authority")
