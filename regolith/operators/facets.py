@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -61,39 +61,76 @@ def is_valid_enforcement(c: DataFrame) -> Column:
     return F.col("source_type").isin(*R.ENFORCEMENT_TYPES) & ~F.lower(summary).isin(*R.JUNK_EXACT) & ~starts & ((words >= 5) | any_of(text, R.ACTION_VERBS))
 
 
-def predicate(c: DataFrame, f: Facets) -> Column:
-    """The conjunction of the options; equality facets reach the scan as pushed filters."""
-    out = F.lit(True)
+def conditions(c: DataFrame, f: Facets) -> dict[str, Column]:
+    """The restricting options by name; equality facets reach the scan as pushed filters."""
+    out: dict[str, Column] = {}
     if f.noise_filter:
-        out = out & ~is_low_value(c) & is_valid_enforcement(c)
+        out["noise_filter"] = ~is_low_value(c) & is_valid_enforcement(c)
         if "is_noise" in c.columns:
-            out = out & ~F.coalesce("is_noise", F.lit(False))
+            out["noise_filter"] = out["noise_filter"] & ~F.coalesce("is_noise", F.lit(False))
     for column, value in (("authority", f.authority), ("source_type", f.source_type), ("facility_type", f.facility_type)):
         if value != "all":
-            out = out & (F.col(column) == value)
+            out[column] = F.col(column) == value
     if f.severity != "all":
-        out = out & (F.lower("severity") == f.severity)
+        out["severity"] = F.lower("severity") == f.severity
     if f.category:
         legacy = F.coalesce(blank_to_null("category"), F.lit("Other")) if "category" in c.columns else F.lit("Other")
-        out = out & ((legacy == f.category) | (F.coalesce("primary_gmp_category", F.lit("")) == f.category))
+        out["category"] = (legacy == f.category) | (F.coalesce("primary_gmp_category", F.lit("")) == f.category)
     if f.di_capa:
-        out = out & is_di_capa(c)
+        out["di_capa"] = is_di_capa(c)
     if f.company:
-        out = out & _text(c, "company", "cluster_label", "facility_type").contains(f.company.lower())
+        out["company"] = _text(c, "company", "cluster_label", "facility_type").contains(f.company.lower())
     if f.priority != "all":
-        out = out & F.col("priority").isin(*([f.priority] if isinstance(f.priority, str) else f.priority))
+        out["priority"] = F.col("priority").isin(*([f.priority] if isinstance(f.priority, str) else f.priority))
     if f.failure_mode:
-        out = out & (F.col("failure_mode") == f.failure_mode)
+        out["failure_mode"] = F.col("failure_mode") == f.failure_mode
     if f.query:
         names = [n for n in (f.query_fields or SEARCHED) if n in c.columns]
         hay = F.lower(F.concat_ws(" ", *(map(blank_to_null, names) if f.query_fields is None else [F.coalesce(F.col(n), F.lit("")) for n in names])))
-        out = out & hay.contains(f.query.lower())
-    for bound, test in ((f.date_from, lambda d: F.col("date") >= d), (f.date_to, lambda d: F.col("date") <= d)):
+        out["query"] = hay.contains(f.query.lower())
+    for name, bound, test in (("date_from", f.date_from, lambda d: F.col("date") >= d), ("date_to", f.date_to, lambda d: F.col("date") <= d)):
         if bound:
-            out = out & (F.col("date").isNull() | test(F.lit(bound).cast("date")))
+            out[name] = F.col("date").isNull() | test(F.lit(bound).cast("date"))
+    return out
+
+
+def predicate(c: DataFrame, f: Facets) -> Column:
+    """The conjunction of the options."""
+    out = F.lit(True)
+    for x in conditions(c, f).values():
+        out = out & x
     return out
 
 
+def base_pool(c: DataFrame) -> DataFrame:
+    """All rows that the noise filter leaves, whatever facets are set."""
+    return c.where(predicate(c, Facets()))
+
+
+#: Facets that are offered with counts, and the column whose values they have.
+COUNTED = {"authority": "authority", "source_type": "source_type", "facility_type": "facility_type", "severity": "severity", "category": "primary_gmp_category", "priority": "priority", "failure_mode": "failure_mode"}
+
+
+def facet_counts(c: DataFrame, f: Facets, most: int = 1000) -> DataFrame:
+    """(facet, value, n): for each facet the rows by value that meet all options but the facet's own.
+
+    One scan: a row has a bit for each condition that it fails.  It counts in every facet if it fails none, in
+    one facet alone if it fails that one's condition, and else nowhere.  At most ``most`` values a facet."""
+    tests = conditions(c, f)
+    failed = F.lit(0)
+    bit = {}
+    for i, (name, test) in enumerate(tests.items()):
+        bit[name] = 1 << i
+        failed = failed.bitwiseOR(F.when(F.coalesce(test, F.lit(False)), 0).otherwise(1 << i))
+    rows = c.withColumn("_failed", failed).where(F.bit_count("_failed") <= 1)
+    own = lambda name: F.col("_failed").isin(0, bit.get(name, 0))
+    value = lambda column: F.nullif(F.lower(column) if column == "severity" else F.col(column), F.lit(""))
+    pairs = F.array_compact(F.array(*[F.when(own(name) & value(column).isNotNull(), F.struct(F.lit(name).alias("facet"), value(column).alias("value"))) for name, column in COUNTED.items()]))
+    g = rows.select(F.explode(pairs).alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
+    top = Window.partitionBy("facet").orderBy(F.desc("n"), "value")
+    return g.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= most).drop("rank")
+
+
 def search(c: DataFrame, f: Facets, sort: str = "date", ascending: bool = True) -> DataFrame:
     """Filtered rows; the default order is ascending with undated rows first."""
     rows = c.where(predicate(c, f))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.expr import any_of, blank_to_null, first_match
 from .display import is_generic
-from .facets import Facets, base_issue, collapse, display_issue
+from .facets import Facets, base_issue, base_pool, collapse, display_issue
 
 # The categories and failure modes that a trend label stands for
 TREND_FILTERS = {
@@ -30,14 +30,20 @@ FOCUS_FACETS = {"failure_mode": "failure_mode", "category": "category", "source_
 PRIORITIES = ["P1", "P2", "P3", "P4"]
 
 
-def category() -> Column:
-    return F.coalesce(blank_to_null("primary_gmp_category"), F.lit(""))
+def legacy_category(c: DataFrame) -> Column:
+    """The older category column where the table has it, else the primary one."""
+    return F.coalesce(blank_to_null("category" if "category" in c.columns else "primary_gmp_category"), F.lit(""))
 
 
-def trend_match(label: str) -> Column:
+def category(c: DataFrame) -> Column:
+    """The primary category, else the legacy one."""
+    return F.coalesce(blank_to_null("primary_gmp_category"), legacy_category(c))
+
+
+def trend_match(c: DataFrame, label: str) -> Column:
     """Whether a record's category or failure mode belongs to a trend label."""
     cats, modes = TREND_FILTERS[label]
-    return category().isin(*cats) | F.coalesce("failure_mode", F.lit("")).isin(*modes)
+    return category(c).isin(*cats) | F.coalesce("failure_mode", F.lit("")).isin(*modes)
 
 
 def trend_filters(c: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -45,7 +51,7 @@ def trend_filters(c: DataFrame, labels: Sequence[str]) -> DataFrame:
     the mode on a tie, then the value seen first; else the label as a category; none without a row.
 
     Rows are counted once by category and mode; only these few counts meet the labels."""
-    counts = c.groupBy(category().alias("cat"), F.coalesce("failure_mode", F.lit("")).alias("fm")).agg(F.count("*").alias("n"), F.min("rec_no").alias("first"))
+    counts = c.groupBy(category(c).alias("cat"), F.coalesce("failure_mode", F.lit("")).alias("fm")).agg(F.count("*").alias("n"), F.min("rec_no").alias("first"))
     both = counts.select(F.explode(F.array(F.struct(F.lit("failure_mode").alias("kind"), F.col("fm").alias("value")), F.struct(F.lit("primary_gmp_category").alias("kind"), F.col("cat").alias("value")))).alias("x"), "n", "first")
     both = both.where("x.value <> ''").groupBy("x.kind", "x.value").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     known = [(x, kind, v, i) for x in labels for i, (kind, vs) in enumerate(zip(("failure_mode", "primary_gmp_category"), TREND_FILTERS.get(x, ([], []))[::-1], strict=True)) for v in vs]
@@ -57,11 +63,12 @@ def trend_filters(c: DataFrame, labels: Sequence[str]) -> DataFrame:
     return hit.groupBy("label").agg(F.min_by(F.struct("kind", "value", "n"), rank).alias("x")).select("label", "x.*")
 
 
-def grouped_and_broader(pool: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """(label, grouped, broader): rows of the best filter among cluster primaries, and rows of the
-    label as a category in the whole pool."""
+def grouped_and_broader(c: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(label, grouped, broader) over the base pool, that is after the noise filter and without facets: rows
+    of the label's best filter among cluster primaries, and all rows whose legacy category is the label."""
+    pool = base_pool(c)
     best = trend_filters(pool.where("cluster_primary"), labels).select("label", F.col("n").alias("grouped"))
-    wide = pool.where(category().isin(*labels)).groupBy(category().alias("label")).agg(F.count("*").alias("broader"))
+    wide = pool.where(legacy_category(pool).isin(*labels)).groupBy(legacy_category(pool).alias("label")).agg(F.count("*").alias("broader"))
     all_labels = pool.sparkSession.createDataFrame([(x,) for x in labels], "label string")
     return all_labels.join(F.broadcast(best), "label", "left").join(F.broadcast(wide), "label", "left").fillna(0)
 
@@ -176,7 +183,7 @@ def immediate_actions(c: DataFrame, actions: Mapping[str, str]) -> DataFrame:
         F.count_if(prime & (F.col("priority") == "P1")).alias("p1"), F.count_if(prime & (F.col("priority") == "P2")).alias("p2"), F.count_if(F.col("severity") == "high").alias("high"),
         F.count_if(F.col("facility_type") == "Supplement / Nutraceutical").alias("supp"), F.count_if(F.col("authority") == "TGA").alias("tga"), F.lit(1).alias("one"),
     )
-    by = c.groupBy(category().alias("cat")).agg(F.count("*").alias("n"), F.min("rec_no").alias("first")).where(~F.col("cat").isin("", "Other", R.NO_DETAIL))
+    by = c.groupBy(category(c).alias("cat")).agg(F.count("*").alias("n"), F.min("rec_no").alias("first")).where(~F.col("cat").isin("", "Other", R.NO_DETAIL))
     lead = by.agg(F.min_by(F.struct("cat", "n"), F.struct((-F.col("n")).alias("n"), "first")).alias("lead"), F.lit(1).alias("one"))
     j = one.join(lead, "one")
     text = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])

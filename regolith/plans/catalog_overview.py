@@ -12,28 +12,48 @@ from ..operators import facets as T
 from ..operators import overview as V
 from ..operators import rollups as U
 from . import oracle as O
-from .catalog import ISSUE, on_citations, on_signals
+from .catalog import ISSUE, NOISELESS, on_citations, on_signals
 
 _MAP = ", ".join(f"({O.quoted(x)}, {O.quoted(k)}, {O.quoted(v)}, {i})" for x, (cats, modes) in V.TREND_FILTERS.items() for i, (k, vs) in enumerate((("failure_mode", modes), ("primary_gmp_category", cats))) for v in vs)
 _OWN = ", ".join(f"({O.quoted(x)}, 'primary_gmp_category', {O.quoted(x)}, 2)" for x in V.TREND_FILTERS)
-_TREND = f"""{O.CLUST}, tm(label, kind, value, tier) as (values {_MAP}, {_OWN}), pool as (select * from clus where {{where}}),
+_TREND = f"""{O.CLUST}, tm(label, kind, value, tier) as (values {_MAP}, {_OWN}), leg as (select * replace (case when rec_no % 5 = 0 then '' else primary_gmp_category end as primary_gmp_category), case when rec_no % 7 = 0 then '' when rec_no % 3 = 0 then 'GMP violations' else primary_gmp_category end as category from clus),
+ every as (select * replace (coalesce(nullif(primary_gmp_category, ''), category) as primary_gmp_category) from leg), pool as (select * from every where {{where}}),
  cnt as (select 'failure_mode' as kind, failure_mode as value, count(*) as n, min(rec_no) as first from pool where failure_mode <> '' group by 2 union all select 'primary_gmp_category', primary_gmp_category, count(*), min(rec_no) from pool where primary_gmp_category <> '' group by 2),
  best as (select label, kind, value, n from tm join cnt using (kind, value) qualify row_number() over (partition by label order by tier = 2, n desc, tier, first) = 1)"""
 LABELS = list(V.TREND_FILTERS)
 
 
+#: The noise filter over a table with the legacy category, whose words count as well.
+_CLEAN = NOISELESS.replace("regexp_matches(lower(summary), '", "regexp_matches(lower(coalesce(summary, '') || ' ' || category), '")
+
+
+def legacy(c: DataFrame) -> DataFrame:
+    """Some rows with the legacy category alone, some with one that differs."""
+    old = F.when(F.col("rec_no") % 7 == 0, "").when(F.col("rec_no") % 3 == 0, "GMP violations").otherwise(F.col("primary_gmp_category"))
+    return c.withColumns({"category": old, "primary_gmp_category": F.when(F.col("rec_no") % 5 == 0, "").otherwise(F.col("primary_gmp_category"))})
+
+
 def _matches(c: DataFrame) -> DataFrame:
-    return c.agg(*[F.count_if(V.trend_match(x)).alias(f"n{i}") for i, x in enumerate(LABELS)])
+    return c.agg(*[F.count_if(V.trend_match(c, x)).alias(f"n{i}") for i, x in enumerate(LABELS)])
 
 
 _MATCH = ", ".join(f"count(*) filter (primary_gmp_category in {O.in_list(cats)} or failure_mode in {O.in_list(modes)}) as n{i}" for i, (cats, modes) in enumerate(V.TREND_FILTERS.values()))
-on_citations("msc06_trend_match", f"{O.CLUST} select {_MATCH} from clus", "full")(_matches)
-on_citations("msc08_trend_filters", f"{_TREND.format(where='true')} select label, kind, value, n::bigint as n from best", "full")(lambda c: V.trend_filters(c, LABELS))
+on_citations("msc06_trend_match", f"{_TREND.format(where='true')} select {_MATCH} from every", "full")(lambda c: _matches(legacy(c)))
+on_citations("msc08_trend_filters", f"{_TREND.format(where='true')} select label, kind, value, n::bigint as n from best", "full")(lambda c: V.trend_filters(legacy(c), LABELS))
 on_citations(
     "msc09_grouped_broader",
-    f"{_TREND.format(where='cluster_primary')}, wide as (select primary_gmp_category as label, count(*) as broader from clus group by 1) select label, coalesce(n, 0)::bigint as grouped, coalesce(broader, 0)::bigint as broader from (select distinct label from tm) left join best using (label) left join wide using (label)",
+    f"{_TREND.format(where='cluster_primary and ' + _CLEAN.replace('{', '{{').replace('}', '}}'))}, wide as (select category as label, count(*) as broader from leg where {_CLEAN} group by 1) select label, coalesce(n, 0)::bigint as grouped, coalesce(broader, 0)::bigint as broader from (select distinct label from tm) left join best using (label) left join wide using (label)",
+    "full",
+)(lambda c: V.grouped_and_broader(legacy(c), LABELS))
+
+_FACETS = T.Facets(authority="FDA", severity="high", priority=("P1", "P2"), category="Sterility assurance")
+_OPEN = {"noise": NOISELESS, "authority": "authority = 'FDA'", "severity": "severity = 'high'", "priority": "priority in ('P1', 'P2')", "category": "primary_gmp_category = 'Sterility assurance'"}
+on_citations(
+    "msc10_facet_counts",
+    f"{O.CLUST} " + " union all ".join(f"select '{name}' as facet, {column} as value, count(*) as n from clus where {' and '.join(f'({x})' for k, x in _OPEN.items() if k != name)} and {column} <> '' group by 2" for name, column in T.COUNTED.items()),
     "full",
-)(lambda c: V.grouped_and_broader(c, LABELS))
+)(lambda c: T.facet_counts(c, _FACETS))
+on_citations("msc10_base_pool", f"{O.CLUST} select rec_no from clus where {NOISELESS}", "full")(lambda c: T.base_pool(c).select("rec_no"))
 
 _INTEL = {"Ingredient safety": "Identity and purity are open. Test first.", "Labelling & claims": "Claims need proof. Review."}
 _RED = "(length({0}) < 4 or (primary_gmp_category <> '' and (lower({0}) = lower(primary_gmp_category) or regexp_replace(lower({0}), '[.,;:\\s]+$', '') = lower(primary_gmp_category))))"
