@@ -9,6 +9,7 @@ from ..operators import audit as U
 from ..operators import display as D
 from ..operators.store import accuracy, shared_path
 from ..operators.versioned import CitationStore, FeedbackLog, KeyedTable
+from ..sources.archives import adverse_event_files
 from ..streaming.tables import apply_batch
 from . import oracle as O
 from .catalog import QUERIES, SQL, on_citations
@@ -130,3 +131,41 @@ def _(c):
     back = c.sparkSession.read.schema(kind).json(store.newest("partitioned"))
     flat = c.sparkSession.read.schema(kind).json(store.newest("flat")).groupBy("authority").agg(F.count_distinct("id").alias("ids"))
     return back.groupBy("authority").agg(F.count("*").alias("n"), F.min("rec_no").alias("first_no")).join(flat, "authority")
+
+
+# ---- archives ------------------------------------------------------------------------------
+
+
+def _zips(parts):
+    """Sixty parts an archive: a note, then two CSV members under changing column names."""
+    import io
+    import zipfile
+
+    def pack(key, rows):
+        import pandas as pd
+
+        rows = rows.sort_values("p_partkey")
+        names = [("PRODUCT", "REACTIONS"), ("product_name", "event_type"), ("Product", "AE_TYPE")][key[0] % 3]
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("note.txt", "nothing here")
+            z.writestr("data/events.CSV", rows[["p_name", "p_type"]].to_csv(index=False, header=names))
+            z.writestr("later.csv", "PRODUCT\nblue later\n")
+        return pd.DataFrame({"url": [f"https://example.test/{key[0]}.zip"], "body": [out.getvalue()]})
+
+    return parts.withColumn("g", F.expr("cast(p_partkey div 60 as int)")).groupBy("g").applyInPandas(pack, "url string, body binary")
+
+
+def _adverse_events(spark, d):
+    part = tables(spark, d, "part")["part"]
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
+    return adverse_event_files(_zips(part.select("p_partkey", "p_name", "p_type")), "caers", ["blue", "brass", "steel"], now).select("source_id", "url", "title", F.element_at(F.split("body_text", "\n"), 3).alias("reaction_line"))
+
+
+QUERIES["src10_zip_csv"] = _adverse_events
+SQL["src10_zip_csv"] = """
+with a as (select 'https://example.test/' || (p_partkey // 60) || '.zip' as url, p_name, p_type, row_number() over (partition by p_partkey // 60 order by p_partkey) - 1 as i from part),
+ f as (select *, lower(p_name || ' ' || p_type) as low from a where i < 20),
+ k as (select *, row_number() over (partition by url order by i) as k from f where contains(low, 'blue') or contains(low, 'brass') or contains(low, 'steel'))
+select substr(sha256('adverse_events::' || url || '::' || trim(p_name) || '::' || i), 1, 16) as source_id, url, 'Adverse Event: ' || substr(trim(p_name), 1, 100) as title, 'Adverse Event / Reactions: ' || trim(p_type) as reaction_line from k where k <= 10
+"""
