@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import audit as U
 from ..operators import display as D
+from ..operators import enrich as E
+from ..operators.answers import AnswerBook, instructions, prompts_of, within_budget
 from ..operators.store import accuracy, shared_path
 from ..operators.versioned import CitationStore, FeedbackLog, KeyedTable
 from ..sources.archives import adverse_event_files
@@ -169,3 +172,29 @@ with a as (select 'https://example.test/' || (p_partkey // 60) || '.zip' as url,
  k as (select *, row_number() over (partition by url order by i) as k from f where contains(low, 'blue') or contains(low, 'brass') or contains(low, 'steel'))
 select substr(sha256('adverse_events::' || url || '::' || trim(p_name) || '::' || i), 1, 16) as source_id, url, 'Adverse Event: ' || substr(trim(p_name), 1, 100) as title, 'Adverse Event / Reactions: ' || trim(p_type) as reaction_line from k where k <= 10
 """
+
+
+# ---- model answers -------------------------------------------------------------------------
+
+_ASKED = {"sentiment": "Rate the mood.", "brief": "Write a brief.", "claim": "Name the claim."}
+
+
+def _answered(c):
+    book = AnswerBook(c.sparkSession, shared_path(c.sparkSession, "answers"), buckets=16)
+    variants = instructions(_ASKED, "summary", "violation_details")
+    half = prompts_of(c.where(F.col("rec_no") % 2 == 0), variants)
+    book.learn(half)
+    book.learn(prompts_of(c, variants))  # the first half is known by now
+    got = book.answers(c, "rec_no", variants)
+    return E.sentiment_answers(got.withColumn("key", F.struct("rec_no", "variant")), "key").select("key.*", "sentiment", "sentiment_confidence", "ai_summary")
+
+
+_ASK = ", ".join(f"({O.quoted(v)}, {O.quoted(t)})" for v, t in _ASKED.items())
+on_citations(
+    "udx01_answers",
+    f"""{O.CIT}, p as (select rec_no, v as variant, concat_ws(chr(10), t, nullif(trim(summary), ''), nullif(trim(violation_details), '')) as prompt from raw, (values {_ASK}) x(v, t))
+ select rec_no, variant, case when regexp_matches(lower(prompt), 'recall|contamination|death|warning') then 'negative' else 'neutral' end as sentiment, least(1.0::double, length(prompt)::double / 100) as sentiment_confidence, substr(prompt, 1, 60) as ai_summary from p""",
+)(_answered)
+on_citations("udx03_budget", f"{O.CIT} select rec_no, rank() over (order by tier, id)::bigint as place from (select *, case severity when 'high' then 1 when 'medium' then 2 else 3 end as tier from raw) qualify row_number() over (order by tier, id) <= 400")(
+    lambda c: within_budget(c.withColumn("tier", F.when(F.col("severity") == "high", 1).when(F.col("severity") == "medium", 2).otherwise(3)), 400, most=50).select("rec_no", F.rank().over(Window.orderBy("tier", "id")).cast("long").alias("place"))
+)
