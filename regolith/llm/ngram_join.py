@@ -479,18 +479,33 @@ def rest_pairs(tiles: DataFrame, sigs: DataFrame, threshold: Fraction, spread: i
 _NO_ID = 1 << 62
 
 
-def _node(id_col: str, text_col: str) -> Column:
-    """The id, or for rows without one a number above all ids that tells texts apart."""
+def _shift(ids: Column, table: DataFrame) -> tuple[bool, int]:
+    """Whether rows lack an id, and what is then taken from ids so that they stay below ``_NO_ID``: 0 unless
+    there are ids from there on.  Nodes are longs, so such tables may not hold ids below ``-_NO_ID`` as well."""
+    r = table.agg(F.count_if(ids.isNull()).alias("none"), F.min(ids).alias("low"), F.max(ids).alias("high")).first()
+    if not r.none or r.high is None or r.high < _NO_ID:
+        return r.none > 0, 0
+    if r.low < -_NO_ID:
+        raise ValueError("a table with null ids spans 2^63 ids or more")
+    return True, _NO_ID
+
+
+def _node(id_col: str, text_col: str, shift: int) -> Column:
+    """The id, shifted, or for rows without one a number above all ids that tells texts apart."""
     own = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
-    return F.coalesce(F.col(f"`{id_col}`").cast("long"), own)
+    return F.coalesce(F.col(f"`{id_col}`").cast("long") - F.lit(shift), own)
 
 
 def ngram_join(docs: DataFrame, threshold: float = 0.75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id): set size, smallest id with the same set,
     and smallest id reachable over links of Jaccard ``>= threshold``; a row for each of ``docs``."""
-    rows = required(docs, id_col, text_col).toDF("doc_id", "text").select(_node("doc_id", "text").alias("doc_id"), "text")
+    rows = required(docs, id_col, text_col).toDF("doc_id", "text")
+    lacking, shift = _shift(F.col("doc_id").cast("long"), rows)
+    rows = rows.select(_node("doc_id", "text", shift).alias("doc_id"), "text")
     out = rows.select("doc_id").join(_components(rows, Fraction(threshold).limit_denominator(1000), k), "doc_id")
-    known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c)).alias(c)
+    if not lacking:
+        return out.select("doc_id", "n_shingles", "class_id", "component_id")
+    known = lambda c: F.when(F.col(c) < _NO_ID, F.col(c) + F.lit(shift)).alias(c)
     return out.select(known("doc_id"), "n_shingles", known("class_id"), known("component_id"))
 
 
@@ -535,10 +550,12 @@ def _components(docs: DataFrame, t: Fraction, k: int) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = 0.75, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its near-copy component; rows without an
     id go if a row with one is near."""
-    rows = required(docs, id_col, text_col).toDF("doc_id", "text").select(_node("doc_id", "text").alias("doc_id"), "text")
+    rows = required(docs, id_col, text_col).toDF("doc_id", "text")
+    _, shift = _shift(F.col("doc_id").cast("long"), rows)
+    rows = rows.select(_node("doc_id", "text", shift).alias("doc_id"), "text")
     groups = _components(rows, Fraction(threshold).limit_denominator(1000), k)
     lost = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
     names = docs.columns
     at = {c: f"_c{names.index(c)}" for c in (id_col, text_col)}
     named = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    return named.join(lost, _node(at[id_col], at[text_col]) == F.col("_lost"), "left_anti").toDF(*names)
+    return named.join(lost, _node(at[id_col], at[text_col], shift) == F.col("_lost"), "left_anti").toDF(*names)
