@@ -160,9 +160,28 @@ class PULinear:
         """Gradient of the non-negative risk and the value of its bracket."""
         zp = self.weight[bp].sum(axis=1) + self.bias
         plus = self.sums(bp, -prior * self.minus(-zp)[1] / len(zp))
-        minus = u[:-2] / max(1.0, u[-1]) - self.sums(bp, prior * self.minus(zp)[1] / len(zp))
         bracket = self.risk(bp, u, prior)[1]
-        return (plus + minus if bracket >= 0 else plus), bracket
+        return (plus + self.bracket_gradient(bp, u, prior) if bracket >= 0 else plus), bracket
+
+    def bracket_gradient(self, bp: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+        """Gradient of the bracket: the negative risk that U shows, less what positives in U add to it."""
+        zp = self.weight[bp].sum(axis=1) + self.bias
+        return u[:-2] / max(1.0, u[-1]) - self.sums(bp, prior * self.minus(zp)[1] / len(zp))
+
+    def newton(self, bp: np.ndarray, u: np.ndarray, prior: float, inverse: np.ndarray) -> float:
+        """One step by sums over all of U; the bracket before it.
+
+        A negative bracket means that the fit explains away more than U holds: the step then is the
+        non-negative estimator's ascent, along the bracket's own gradient and as far as brings it to zero."""
+        g, bracket = self.gradient(bp, u, prior)
+        if bracket >= 0:
+            g[:-1] += self.decay * self.weight
+            self.step(inverse @ g)
+        else:
+            up = self.bracket_gradient(bp, u, prior)
+            way = inverse @ up
+            self.step(way * (bracket / max(float(up @ way), 1e-12)))
+        return bracket
 
     def step(self, d: np.ndarray) -> None:
         self.weight -= d[:-1]
@@ -329,11 +348,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, trains: Column, max_rows: in
     model = PULinear(odds, cuts).start(p, u, prior)
     bp, inverse = model.bins(p), np.linalg.inv(model.curvature(u))
     for _ in range(passes):
-        g, bracket = model.gradient(bp, over_all(table, model), prior)
-        if bracket < 0:
-            break
-        g[:-1] += model.decay * model.weight
-        model.step(inverse @ g)
+        model.newton(bp, over_all(table, model), prior, inverse)
     return model
 
 
