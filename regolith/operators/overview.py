@@ -110,7 +110,7 @@ def meaningful_detail(c: DataFrame, implications: Mapping[str, str]) -> DataFram
     out = c.join(first, "cluster_id", "left")
     meaning = F.lit(None).cast("string")
     for label, told in implications.items():
-        meaning = F.when(category() == label, F.concat(F.substring_index(F.lit(told), ".", 1), F.lit("."))).otherwise(meaning)
+        meaning = F.when(category(c) == label, F.concat(F.substring_index(F.lit(told), ".", 1), F.lit("."))).otherwise(meaning)
     kind = F.regexp_replace(F.coalesce("source_type", F.lit("")), "_", " ")
     detail = (
         F.when(good(trimmed("violation_details")), F.substring(trimmed("violation_details"), 1, 130))
@@ -163,7 +163,7 @@ def card_preview(c: DataFrame, k: int = 5) -> DataFrame:
 
 def strip(c: DataFrame) -> DataFrame:
     """One row: most frequent category, authority and source type, rows and P1 rows before and after collapsing."""
-    count = c.groupBy(F.coalesce(F.nullif(category(), F.lit("")), F.lit("Other")).alias("category"), "authority", F.regexp_replace(F.coalesce("source_type", F.lit("other")), "_", " ").alias("source_type")).agg(F.count("*").alias("n"), F.min("rec_no").alias("first"))
+    count = c.groupBy(F.coalesce(F.nullif(category(c), F.lit("")), F.lit("Other")).alias("category"), "authority", F.regexp_replace(F.coalesce("source_type", F.lit("other")), "_", " ").alias("source_type")).agg(F.count("*").alias("n"), F.min("rec_no").alias("first"))
     total = c.agg(F.lit(1).alias("one"), F.count("*").alias("records"), F.count_if(F.col("priority") == "P1").alias("p1_records"))
     shown = collapse(c).agg(F.lit(1).alias("one"), F.count("*").alias("visible"), F.count_if(F.col("priority") == "P1").alias("p1_visible"))
     out = total.join(shown, "one")
