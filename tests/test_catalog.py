@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from regolith.plans import catalog, catalog_more, catalog_overview, catalog_reports, catalog_sources  # noqa: F401
+from regolith.plans import catalog, catalog_more, catalog_overview, catalog_pages, catalog_reports, catalog_sources  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
