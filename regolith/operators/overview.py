@@ -246,8 +246,9 @@ def prompt(template: str, most: int = 3000) -> Column:
 
 
 def own_words(label: Column) -> Column:
-    """A signal's summary, or, if it is generic, a text from its source, type, ingredient and sentiment."""
-    raw = F.coalesce(blank_to_null("ai_summary"), F.lit(""))
+    """A signal's summary, else its sentiment's reasoning, or, if that is generic, a text from its source,
+    type, ingredient and sentiment."""
+    raw = F.coalesce(blank_to_null("ai_summary"), blank_to_null("sentiment_reasoning"), F.lit(""))
     name = F.when(F.coalesce("ingredient_name", F.lit("")).isin("", "unknown"), F.lit("")).otherwise(F.col("ingredient_name"))
     kind = F.when(F.coalesce("event_type", F.lit("")).isin("", "other"), F.lit("research signal")).otherwise(F.regexp_replace("event_type", "_", " "))
     sent = F.lower(F.coalesce("sentiment", F.lit("")))

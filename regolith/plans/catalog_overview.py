@@ -142,12 +142,12 @@ _KIND = "case when coalesce(event_type, '') in ('', 'other') then 'research sign
 _NAME = "case when coalesce(ingredient_name, '') in ('', 'unknown') then '' else ingredient_name end"
 on_signals(
     "prj38_own_words",
-    f"""{O.SIG}, t as (select *, {_RAWT} as r, {_KIND} as kind, {_NAME} as nm, upper(authority) as lab from s)
- select rec_no, case when r <> '' and not contains(lower(r), 'positive signal for vms') then r
+    f"""{O.SIG}, t as (select *, coalesce(nullif({_RAWT}, ''), case when rec_no % 3 = 0 then 'Reason: ' || title when rec_no % 7 = 0 then 'Clinical trial on vitamin B' end, '') as r, {_KIND} as kind, {_NAME} as nm, upper(authority) as lab from s)
+ select rec_no, case when r <> '' and not regexp_matches(lower(r), 'positive signal for vms|clinical trial on vitamin b') then r
   when severity = 'high' then lab || ': ' || kind || if(nm <> '', ' on ' || nm, '') || ' — ' || if(sentiment = 'negative', 'Immediate portfolio review required', 'Monitor for compliance impact')
   when nm <> '' then lab || ': ' || kind || ' on ' || nm || ' — ' || case sentiment when 'positive' then 'Supports efficacy dossiers and marketing claims' when 'negative' then 'Flag for regulatory risk assessment' else 'Track for market and formulation implications' end
   else lab || ': ' || regexp_replace(substr(title, 1, 55), '\\s+\\S*$', '') || ' — ' || case sentiment when 'positive' then 'Positive evidence for claims substantiation' when 'negative' then 'Adverse signal requiring compliance monitoring' else 'Track for VMS regulatory implications' end end as why from t""",
-)(lambda s: s.withColumn("ai_summary", F.when(F.col("rec_no") % 4 == 0, "Positive signal for VMS").otherwise(F.col("ai_summary"))).select("rec_no", V.own_words(F.upper("authority")).alias("why")))
+)(lambda s: s.withColumn("ai_summary", F.when(F.col("rec_no") % 4 == 0, "Positive signal for VMS").otherwise(F.col("ai_summary"))).withColumn("sentiment_reasoning", F.when(F.col("rec_no") % 3 == 0, F.concat(F.lit("Reason: "), "title")).when(F.col("rec_no") % 7 == 0, "Clinical trial on vitamin B")).select("rec_no", V.own_words(F.upper("authority")).alias("why")))
 on_citations(
     "msc22_insight_counts",
     f"{O.CLUST} select count(*) as total, count(*) filter (priority = 'P1') as p1, count(*) filter (priority = 'P2') as p2, count(*) filter (severity = 'high') as high, count(*) filter (source_type = 'import_alert') as import_alerts, count(*) filter (source_type = 'warning_letter') as warning_letters, count(*) filter (signal_direction = 'escalating') as escalating, count(*) filter (classification_status = 'confirmed') as confirmed from clus",

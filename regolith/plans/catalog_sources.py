@@ -17,6 +17,7 @@ from ..sources import parsers as P
 from ..sources import registers as N
 from . import oracle as O
 from .catalog import QUERIES, SQL, on_citations, on_signals
+from .views import tables
 
 PER_PAGE = 200
 OLD = "1995-01-03"
@@ -311,15 +312,18 @@ on_citations(
     "src23_enforcement_json",
     f"{O.CIT} select 'https://www.accessdata.fda.gov/scripts/ires/?action=RecallAction&RecallNumber=Z-' || rec_no as url, strftime(date, '%Y-%m-%d') as date, case rec_no % 3 when 0 then 'high' when 1 then 'medium' else {severity(_ENF, chr(39) + 'drug_enforcement' + chr(39))} end as severity, {facility(_ENF)} as facility_type, substr({_ENF}, 1, 500) as violation_details from raw where date is null or date >= date '1995-06-01'",
 )(_enforcement)
-QUERIES["src32_watchlist"] = lambda spark, d: _watchlist(spark)
-SQL["src32_watchlist"] = "select * from (values (0::int, 'zinc supplement'), (2::int, 'iron supplement'), (3::int, 'fish oil supplement')) t(ord, query)"
+QUERIES["src32_watchlist"] = lambda spark, d: _watchlist(tables(spark, d, "part")["part"].withColumn("rec_no", F.col("p_partkey")))
+SQL["src32_watchlist"] = f"""with w as (select p_partkey, p_name, row_number() over (partition by p_partkey // {PER_PAGE} order by p_partkey) - 1 as ord from part)
+ select ord, case when contains(p_name, 'blue') then p_name else p_name || ' blue' end as query from w where p_partkey % 7 > 0"""
 
 
-def _watchlist(spark) -> DataFrame:
-    path = S.shared_path(spark, "watchlist")
-    body = '{"query_suffix": "supplement", "ingredients": ["zinc", "_comment", "iron", "fish oil supplement"]}'
-    spark.createDataFrame([(body,)], "value string").write.text(path)
-    return P.watchlist_queries(spark, path)
+def _watchlist(parts: DataFrame) -> DataFrame:
+    """Configurations of consecutive parts, every seventh a comment."""
+    path = S.shared_path(parts.sparkSession, "watchlist")
+    name = joined('"', F.when(F.col("rec_no") % 7 == 0, "_").otherwise(""), F.col("p_name"), '"')
+    docs = captured(parts, name, '{"query_suffix": "blue", "ingredients": [', "]}", ",", "value").select("value")
+    docs.write.option("maxRecordsPerFile", 1).text(path)  # a document a file
+    return P.watchlist_queries(parts.sparkSession, path)
 
 
 def _entries(c: DataFrame) -> DataFrame:
