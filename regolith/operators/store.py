@@ -79,8 +79,8 @@ def accuracy(feedback: DataFrame) -> DataFrame:
 
 
 def fresh_cache(cache: DataFrame, as_of: str, days: int = 30) -> DataFrame:
-    """Cache entries whose age in whole days is under ``days``."""
-    return cache.where(F.floor((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("cached_at").cast("timestamp"))) / 86400) < days)
+    """Cache entries whose age in whole days is under ``days``; parts of a second count."""
+    return cache.where(F.col("cached_at").cast("timestamp_ntz") > F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {days} days"))
 
 
 def unsent(table: DataFrame, as_of: str, hours: int = 24) -> DataFrame:

@@ -137,3 +137,8 @@ def test_cache_expires_with_the_watermark(spark, tmp_path):
     newest = spark.createDataFrame([(k, v) for k, v in live.items()], "key string, d int").selectExpr("key", "d", "timestamp_seconds(1704067200 + d * 86400L) as cached_at")
     fresh = {(r.key, r.d) for r in store.fresh_cache(newest, "2024-02-26 00:00:00").collect()}
     assert gone == {("b", 25), ("c", 20)} and {(k, d) for k, d in live.items() if (k, d) not in gone} == fresh
+
+
+def test_age_counts_parts_of_a_second(spark):
+    rows = spark.sql("select * from values (1, timestamp_ntz'2024-01-21 00:00:00'), (2, timestamp_ntz'2024-01-21 00:00:00.5'), (3, timestamp_ntz'2024-01-20 23:59:59.9'), (4, null) as t(i, cached_at)")
+    assert [r.i for r in store.fresh_cache(rows, "2024-01-31 00:00:00", 10).collect()] == [2]
