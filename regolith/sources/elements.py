@@ -11,17 +11,27 @@ import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import parse_date
+from .batches import bound_batches, pieces
 
 CELL = "text: string, href: string, header: boolean, origin: boolean"
 ELEMENT = (
     "pos: int, tag: string, class: string, text: string, href: string, link: string, head: string, head_href: string, teaser: string, stamp: string,"
     f" dated: string, under: int, grid: int, line: int, part: string, cells: array<struct<{CELL}>>, names: array<string>"
 )
+_KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
+def _struct(fields: str) -> pa.DataType:
+    return pa.struct([(n, _KINDS[k]) for n, k in (x.split(": ") for x in fields.split(", "))])
+
+
+_KINDS[f"array<struct<{CELL}>>"] = pa.list_(_struct(CELL))
+ELEMENTS = pa.list_(pa.struct([(n, _KINDS[k]) for n, k in re.findall(r"(\w+): (array<struct<.*?>>|array<string>|\w+)", ELEMENT)]))
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 HEADINGS = {"h2", "h3", "h4"}
 KEPT = {"article", "li", "tr", "a"} | HEADINGS
@@ -202,21 +212,27 @@ def walked(html: str | None) -> list[dict]:
     return w.elements()
 
 
+def _walk_with(kept: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                found = pa.array([walked(x) for x in part.column("html").to_pylist()], ELEMENTS)
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), found], names=[*kept, "elements"])
+
+    return walk
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """The pages without ``html`` and with ``elements``, an array in document order.
 
     ``under`` is the place of the heading above, ``names`` stands on a table's first row.  Texts are whole,
     whatever their length; that of a merged cell is repeated at each place it covers, that of nested
-    elements in each of them.  A null page has no elements."""
+    elements in each of them.  A null page has no elements.  A worker holds the elements of few pages at a time."""
+    bound_batches(pages.sparkSession)
     kept = [f for f in pages.schema if f.name != "html"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = pd.Series([walked(x) for x in batch.html], index=batch.index, dtype=object)
-            yield batch.drop(columns="html").assign(elements=found)
-
-    return pages.mapInPandas(walk, f"{schema}, elements array<struct<{ELEMENT}>>")
+    return pages.mapInArrow(_walk_with([f.name for f in kept]), ", ".join(filter(None, [schema, f"elements array<struct<{ELEMENT}>>"])))
 
 
 Rung = Callable[[Column], Column]
@@ -280,7 +296,8 @@ def table_rows(pages: DataFrame, listing: str = "listing", page: str = "page") -
     named = F.transform(F.filter("elements", lambda e: e["names"].isNotNull()), lambda e: F.struct(e["grid"].alias("grid"), e["names"].alias("names")))
     rows = d.select(*keep, F.filter("elements", lambda e: F.size(e["cells"]) > 0).alias("r"), named.alias("named"))
     rows = rows.withColumn("own", F.get(F.reverse("named"), 0)["names"]).withColumn("block", F.floor(F.col(page) / BLOCK))
-    heads = rows.select(listing, page, "block", "own")
+    # dealt once, so that both readers of the headings share one walk
+    heads = rows.select(listing, page, "block", "own").repartition(listing, "block")
     ends = heads.groupBy(listing, "block").agg(F.max_by("own", F.when(F.col("own").isNotNull(), F.col(page))).alias("end"))
     before = F.last("end", True).over(Window.partitionBy(listing).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     blocks = ends.select(listing, "block", before.alias("before"))

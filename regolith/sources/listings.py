@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import any_of, parse_date
+from .batches import bound_batches, rows_of_pages
 from .parsers import as_raw, canonical_url, text_of
 
 BLOCKS = ("li", "article", "tr")
@@ -71,14 +72,10 @@ class _Blocks(HTMLParser):
                 self.done.append((b["href"], squeeze(b["link"]), squeeze(b["text"], " "), b["time"], b["class"], self.heading))
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for page, html in zip(batch.page_id, batch.html, strict=True):
-            p = _Blocks()
-            p.feed(html or "")
-            out += [(page, i, *x) for i, x in enumerate(p.done)]
-        yield pd.DataFrame(out, columns=["page_id", "pos", "href", "title", "text", "time_attr", "date_text", "section"])
+def _blocks(html: str) -> list[tuple]:
+    p = _Blocks()
+    p.feed(html)
+    return p.done
 
 
 def html_listing(pages: DataFrame) -> DataFrame:
@@ -86,7 +83,9 @@ def html_listing(pages: DataFrame) -> DataFrame:
 
     The date comes from the first that parses: a time element, an element with a date class, a
     day-month-year or an ISO date in the block's text.  Undated blocks stay."""
-    rows = pages.select("page_id", "html").mapInPandas(_walk, "page_id long, pos int, href string, title string, text string, time_attr string, date_text string, section string")
+    bound_batches(pages.sparkSession)
+    walk = rows_of_pages(_blocks, [(n, pa.string()) for n in ("href", "title", "text", "time_attr", "date_text", "section")])
+    rows = pages.select(F.col("page_id").cast("long"), "html").mapInArrow(walk, "page_id long, pos int, href string, title string, text string, time_attr string, date_text string, section string")
     found = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
     date = F.coalesce(parse_date("time_attr"), parse_date("date_text"), parse_date(found(DAY_MONTH)), parse_date(found(ISO)))
     return rows.withColumn("date", date).drop("time_attr", "date_text")

@@ -8,14 +8,15 @@ tag walk go through :func:`html_links`, batched through Arrow.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import any_of, blank_to_null, parse_date, short_hash
+from .batches import bound_batches, rows_of_pages
 
 RAW_COLUMNS = ["source_id", "authority", "url", "title", "body_text", "scraped_at"]
 
@@ -217,19 +218,17 @@ class _Links(HTMLParser):
             self.href = None
 
 
-def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = []
-        for page, html in zip(b.page_id, b.html, strict=True):
-            p = _Links()
-            p.feed(html or "")
-            out += [(page, i, href, text) for i, (href, text) in enumerate(p.found)]
-        yield pd.DataFrame(out, columns=["page_id", "pos", "href", "text"])
+def _links(html: str) -> list[tuple]:
+    p = _Links()
+    p.feed(html)
+    return p.found
 
 
 def html_links(pages: DataFrame) -> DataFrame:
     """(page_id, pos, href, text) of every anchor with an address, in page order."""
-    return pages.select("page_id", "html").mapInPandas(_walk, "page_id long, pos int, href string, text string")
+    bound_batches(pages.sparkSession)
+    walk = rows_of_pages(_links, [("href", pa.string()), ("text", pa.string())])
+    return pages.select(F.col("page_id").cast("long"), "html").mapInArrow(walk, "page_id long, pos int, href string, text string")
 
 
 def hub_links(links: DataFrame, pattern: str, blocked: Sequence[str], least: int = 10) -> DataFrame:

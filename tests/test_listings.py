@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from regolith.operators import display, sinks
 from regolith.sources import listings as L
+from regolith.sources.batches import rows_of_pages
 
 
 def now():
@@ -76,3 +78,12 @@ def test_snippet(spark):
     cases = ["Intro text. You failed to clean (b)(4)  lines. Next One. More.", "Dear Sir, hello there", "Start here. A violation was seen.", "plain"]
     got = [r.s for r in spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string").select("i", display.violation_snippet(F.col("t")).alias("s")).orderBy("i").collect()]
     assert got == ["You failed to clean [redacted] lines. Next One. More.", "Dear Sir, hello there", "A violation was seen.", "plain"]
+
+
+def test_a_worker_holds_the_rows_of_few_pages():
+    html = "<li><a href='/a'>One</a></li>" * 5000
+    walk = rows_of_pages(L._blocks, [(n, pa.string()) for n in ("href", "title", "text", "time_attr", "date_text", "section")])
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(20)), "html": [html] * 19 + [None]})
+    out = list(walk(iter([pages])))
+    assert max(x.num_rows for x in out) <= 10_000 and sum(x.num_rows for x in out) == 95_000
+    assert out[0].slice(1, 1).to_pylist() == [{"page_id": 0, "pos": 1, "href": "/a", "title": "One", "text": "One", "time_attr": None, "date_text": None, "section": None}]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -210,3 +211,12 @@ def test_very_long_pages_and_clashing_columns(spark, old):
     long = "<article><h3><a href='/1'>Zinc " + "x" * 1_000_000 + "</a></h3></article>" + "<li>" * 3000
     pages = spark.createDataFrame([(0, long, "a", "b")], "page long, html string, HTML2 string, Elements2 string")
     assert [len(r.title) for r in R.safety_alerts(pages, old, RULES).collect()] == [1_000_005]
+
+
+def test_a_worker_holds_the_elements_of_few_pages():
+    html = "<article><h3><a href='/1'>Zinc</a></h3></article>" * 1000
+    pages = pa.RecordBatch.from_pydict({"page": list(range(50)), "html": [None, *[html] * 49]})
+    out = list(E._walk_with(["page"])(iter([pages])))
+    assert max(x.num_rows for x in out) <= 7 and [p for x in out for p in x.column("page").to_pylist()] == list(range(50))
+    assert [len(e) for x in out for e in x.column("elements").to_pylist()] == [0, *[3000] * 49]
+    assert list(E._walk_with(["page"])(iter([pages.slice(0, 0)]))) == []
