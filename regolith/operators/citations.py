@@ -168,7 +168,8 @@ def recurrence(c: DataFrame, as_of: str) -> DataFrame:
         out = out.join(side, out[name] == side["_k"], "left").drop("_k")
     out = out.withColumn("_co_key", F.coalesce("_co", F.concat(F.lit("\0"), "id")))
     side = counts(company).toDF("_k", "_n_co", "_now_co")
-    out = out.join(side, out["_co_key"] == side["_k"], "left").drop("_k")
+    # hashed: wide rows of a frequent company stream by and are not sorted
+    out = out.join(side.hint("shuffle_hash"), out["_co_key"] == side["_k"], "left").drop("_k")
     less = lambda n: F.greatest(F.coalesce(n, F.lit(0)) - 1, F.lit(0)).cast("long")
     now, n = F.coalesce("_nowprimary_gmp_category", F.lit(0)), F.coalesce("_nprimary_gmp_category", F.lit(0))
     prior = n - now
@@ -225,7 +226,7 @@ def clusters(c: DataFrame) -> DataFrame:
     prose = F.when((F.col("classification_confidence") >= 0.5) & (F.coalesce("decision_summary", F.lit("")) != ""), 0).otherwise(1)
     c = c.withColumns({"_rank": F.struct(prio.alias("p"), prose.alias("a"), (-mdy_sort_key(F.col("date"))).alias("d"), "id"), "_ym": F.date_format("date", "yyyy-MM")})
     g = c.groupBy("_key").agg(F.count("*").alias("cluster_size"), F.min("_rank").alias("_first"), F.min_by(F.struct("_entity", "failure_mode"), "_rank").alias("_lead"), F.count("date").alias("_dated"), F.min("_ym").alias("_from"), F.max("_ym").alias("_to"))
-    out = c.join(g, "_key")
+    out = c.join(g.hint("shuffle_hash"), "_key")
     many = F.col("cluster_size") > 1
     mode = F.regexp_replace(F.coalesce("_lead.failure_mode", F.lit("")), "_", " ")
     label = F.when(~mode.isin("insufficient detail", ""), F.concat(F.col("_lead._entity"), F.lit(" — "), mode)).otherwise(F.col("_lead._entity"))

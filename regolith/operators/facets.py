@@ -211,10 +211,18 @@ def keep_first(c: DataFrame, key: Column, *order: Column) -> DataFrame:
 
 def collapse(c: DataFrame) -> DataFrame:
     """A row per cluster: its primary, or its first row in rec_no order if that was filtered out."""
-    key = F.coalesce("cluster_id", "id")
-    rows = c.select("*", key.alias("_k"), F.struct((~F.col("cluster_primary")).alias("o"), "rec_no").alias("_o"))
-    g = rows.groupBy("_k").agg(F.min_by(F.struct(*c.columns), "_o").alias("_r"), F.count("*").alias("n"))
-    return g.select("_r.*", (F.col("n") - 1).alias("other_members"))
+    return first_of(c, F.coalesce("cluster_id", "id"))
+
+
+def first_of(c: DataFrame, *keys: Column) -> DataFrame:
+    """A row per key: its primary that comes first, else its first row in rec_no order, and how many others it has.
+
+    The row's number is found by aggregates of plain numbers and met by a join, so whole rows are neither sorted nor kept by key."""
+    named = {f"_k{i}": k for i, k in enumerate(keys)}
+    own = F.when(F.col("cluster_primary"), F.col("rec_no"))
+    g = c.select("rec_no", "cluster_primary", *[k.alias(n) for n, k in named.items()]).groupBy(*named).agg(F.coalesce(F.min(own), F.min("rec_no")).alias("_first"), F.count("*").alias("_n"))
+    g = g.select("_first", (F.col("_n") - 1).alias("other_members"))
+    return c.join(g.hint("shuffle_hash"), c["rec_no"] == g["_first"]).drop("_first")
 
 
 def display_groups(c: DataFrame) -> DataFrame:

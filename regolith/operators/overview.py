@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions.expr import any_of, blank_to_null, first_match
 from .display import is_generic
-from .facets import Facets, base_issue, base_pool, collapse, display_issue
+from .facets import Facets, base_issue, base_pool, collapse, display_issue, first_of
 
 # The categories and failure modes that a trend label stands for
 TREND_FILTERS = {
@@ -133,9 +133,7 @@ def visible_counts(c: DataFrame) -> DataFrame:
 
 def collapse_by(rows: DataFrame, key: str) -> DataFrame:
     """A row per (key, cluster): the primary, or the first in rec_no order if it isn't there."""
-    k = [F.col(key).alias("_a"), F.coalesce("cluster_id", "id").alias("_k")]
-    r = rows.select(*k, F.struct((~F.col("cluster_primary")).alias("o"), "rec_no").alias("_o"), F.struct(*rows.columns).alias("_r"))
-    return r.groupBy("_a", "_k").agg(F.min_by("_r", "_o").alias("_r")).select("_r.*")
+    return first_of(rows, F.col(key), F.coalesce("cluster_id", "id")).drop("other_members")
 
 
 def top_names(rows: DataFrame, key: str, column: str, k: int, out: str) -> DataFrame:

@@ -42,6 +42,11 @@ def on_signals(name: str, sql: str | None = None):
 _written: dict[tuple[str, str, str], str] = {}
 
 
+def _dealt(spark: SparkSession, d: str) -> DataFrame:
+    """Citations in even parts: a file is read by its row groups, and classification is far more work than reading."""
+    return citations(spark, d).repartition("rec_no")
+
+
 def _stored(spark: SparkSession, d: str, stage: str) -> DataFrame:
     """A stage of the citation store, written once per application and input.
 
@@ -50,9 +55,10 @@ def _stored(spark: SparkSession, d: str, stage: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, d, stage)
     if key not in _written:
         if stage == "priority":
-            rows = C.priority(C.classified(C.fix_source_types(citations(spark, d))))
+            rows = C.priority(C.classified(C.fix_source_types(_dealt(spark, d)))).drop("severity_text", "best_lower")  # derived, used by no later step
         else:
-            rows = C.clusters(C.trust_cap(C.low_detail_cap(C.fix_source_types(C.recurrence(_stored(spark, d, "priority"), CITATIONS_AS_OF)))))
+            capped = C.trust_cap(C.low_detail_cap(C.fix_source_types(C.recurrence(_stored(spark, d, "priority"), CITATIONS_AS_OF))))
+            rows = C.clusters(capped.drop("context_text"))
         _written[key] = S.write_shared(rows, f"citations-{stage}")
     return spark.read.parquet(_written[key])
 
@@ -62,8 +68,8 @@ def on_citations(name: str, sql: str | None = None, stage: str = "raw"):
     priority and full tables."""
     steps = {
         "raw": citations,
-        "classified": lambda spark, d: C.classified(C.fix_source_types(citations(spark, d))),
-        "severity": lambda spark, d: C.priority(C.classified(C.fix_source_types(citations(spark, d)))),
+        "classified": lambda spark, d: C.classified(C.fix_source_types(_dealt(spark, d))),
+        "severity": lambda spark, d: C.priority(C.classified(C.fix_source_types(_dealt(spark, d)))),
         "priority": lambda spark, d: _stored(spark, d, "priority"),
         "full": lambda spark, d: _stored(spark, d, "full"),
     }
